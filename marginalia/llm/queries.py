@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_cnn
+from . import bpe, exact_dedup, quality_cnn, simhash
 from .common import input_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the component of each under links of at most 2 differing bits."""
+    return simhash.near_duplicates(input_table(spark, sf_dir, "documents"))
+
+
+def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays of each group of equal texts, for every document."""
+    return exact_dedup.exact_duplicates(input_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the text decoded from them."""
     return bpe.encode_documents(input_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -27,8 +37,16 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op3_block_naming": op3_block_naming,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_cnn": op10_quality_cnn,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_block_naming": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+}
