@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality_cnn, simhash
+from . import bpe, exact_dedup, mixing, quality_cnn, sharding, simhash
 from .common import input_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -24,6 +24,17 @@ def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(input_table(spark, sf_dir, "documents"))
 
 
+def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of equal row counts that keep equal texts together."""
+    return sharding.shard_documents(input_table(spark, sf_dir, "documents"), 16)
+
+
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, sources weighing 5, 2, 1 in turn."""
+    mixed = mixing.mix(input_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the text decoded from them."""
     return bpe.encode_documents(input_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -39,6 +50,8 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_block_naming": op3_block_naming,
+    "op4_label_propagation": op4_label_propagation,
+    "op6_cube_mix": op6_cube_mix,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_cnn": op10_quality_cnn,
 }
