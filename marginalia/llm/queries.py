@@ -8,12 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_cnn, sharding, simhash
-from .common import input_table
+from . import bpe, exact_dedup, mixing, quality_cnn, sharding, simhash, warc
+from .common import Scratch, input_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to archives and reads them back: type, length and digest of each page's payload."""
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archive")
+    warc.write_warc(input_table(spark, sf_dir, "pages"), path, scratch)
+    read = warc.read_warc(spark, path, scratch)
+    response = F.col("record_type") == "response"
+    digest = F.when(response, F.sha2("payload", 256)).otherwise(F.col("digest"))
+    size = F.when(response, F.octet_length("payload")).otherwise(F.col("stated_bytes")).cast("long")
+    return read.select(F.col("record_id").cast("long").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the component of each under links of at most 2 differing bits."""
     return simhash.near_duplicates(input_table(spark, sf_dir, "documents"))
@@ -48,6 +60,7 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_chain": op1_warc_chain,
     "op2_simhash": op2_simhash,
     "op3_block_naming": op3_block_naming,
     "op4_label_propagation": op4_label_propagation,
@@ -57,6 +70,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc_chain": """
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest,
+                     min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+    """,
     "op3_block_naming": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
