@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_cnn, sharding, simhash, warc
+from . import bpe, exact_dedup, html_text, line_dedup, mixing, quality_cnn, quality_rules, sharding, simhash, warc
 from .common import Scratch, input_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -41,12 +41,28 @@ def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(input_table(spark, sf_dir, "documents"), 16)
 
 
+def op5_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(input_table(spark, sf_dir, "pages"))
+
+
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, sources weighing 5, 2, 1 in turn."""
     mixed = mixing.mix(input_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of three lines, or of fifty words, deleted from all documents but the first that holds them."""
+    clean = line_dedup.dedup_lines(input_table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "removed_lines", "runs", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of all rules for every document."""
+    return quality_rules.apply_rules(input_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the text decoded from them."""
     return bpe.encode_documents(input_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -64,7 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_block_naming": op3_block_naming,
     "op4_label_propagation": op4_label_propagation,
+    "op5_tag_ratio": op5_tag_ratio,
     "op6_cube_mix": op6_cube_mix,
+    "op7_line_runs": op7_line_runs,
+    "op8_rule_cascade": op8_rule_cascade,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_cnn": op10_quality_cnn,
 }
@@ -82,4 +101,23 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_rule_cascade": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+        g AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+        twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1),
+        rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+        line AS (SELECT r, l FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+        dup AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT l) AS d FROM line GROUP BY r),
+        f AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(d, 0) AS n_dup_lines,
+                     coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.n, 0) AS n_lines,
+                     length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS capitals
+              FROM t JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines
+                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * capitals > letters) AS kept
+        FROM b
+    """,
 }
