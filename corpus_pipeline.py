@@ -1,11 +1,60 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, mixing to target weights, byte-level BPE.
 
-STAGES = []
+Each stage reads all its predecessor kept, as Parquet. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from marginalia.llm import bpe, exact_dedup, mixing, quality_cnn, simhash
+from marginalia.llm.common import Scratch, input_table
+from marginalia.llm.queries import BPE_RANKS
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at least 0.5."""
+    net = quality_cnn.train(quality_cnn.training_rows(docs, input_table(spark, sf_dir, "labels")))
+    return quality_cnn.score_documents(docs, net, tuple(docs.columns), filter_below=0.5).drop("score")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document of the largest id."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document of the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none to three times."""
+    return mixing.take(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and digests of the ids and of the text decoded from them."""
+    return bpe.encode_documents(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, ("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing", mix),
+    ("byte-level BPE", tokens),
+]
+
+#: No SQL trains the classifier or hashes shingles; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are written and read again before the next."""
+    docs = input_table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -141,6 +141,8 @@ class Lines(HTMLParser):
             self._linked += len(data)
 
     def finish(self) -> list[Line]:
+        if re.match(r"<[A-Za-z/!?]", self.rawdata):
+            self.rawdata = ""  # a tag or comment that the page's end cut off is no text
         self.close()
         self._flush()
         return self.lines

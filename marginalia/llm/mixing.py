@@ -5,7 +5,8 @@ inclusion probability. The flight phase moves those probabilities through the nu
 (words and documents of the source): any three open units have a direction that keeps both totals, and moving along it
 until a unit reaches 0 or 1 settles a unit. Flights run in blocks of bounded size; the at most two units a block leaves
 open fly again together with other blocks' leftovers, and so on up a tree, until a source has one block left. What is open
-then, with a dozen units held back from the last flight, is landed by trying all outcomes and taking the one nearest the totals.
+then, with a dozen units held back from the last flight, is landed by trying all outcomes and taking the one
+nearest the totals; a few settled units change sides if giants left the words too far off.
 
 Blocks, orders and random numbers come from hashes of the rows and a seed, never from partitions, so reruns agree.
 """
@@ -21,12 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import Scratch, ensure_workers
 
 #: Units in a block of the flight, about.
 BLOCK = 4096
-#: Units that the last flight of a source leaves to the landing, besides those it leaves open.
+#: Units that the last flight of a source leaves to the landing, besides those it leaves open: the largest, which no others could make up for.
 HELD_BACK = 12
 #: The plan of at most this many sources is broadcast; a longer one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -89,6 +91,15 @@ def land(units: list[tuple[float, float]]) -> list[int]:
     return outcomes[np.lexsort((count, words))[0]].tolist()
 
 
+def repair(sizes: list[float], outcome: list[int], missing: float) -> None:
+    """What no outcome of the landing could reach: takes up (or drops) settled units, largest first, while that comes nearer the words."""
+    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+        step = sizes[k] if outcome[k] == 0 else -sizes[k]
+        if abs(missing - step) < abs(missing) and (step > 0) == (missing > 0):
+            outcome[k] = 1 - outcome[k]
+            missing -= step
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 42, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: its id, size (words), source_size, target (of its source) and copies, how often the mix takes it.
 
@@ -123,12 +134,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
         group = group.sort_values(["mixed", "id", "size", "p"], kind="stable", na_position="last").reset_index(drop=True)
         units = list(zip(group["size"].astype(float), group["p"], strict=True))
         last = group["blocks"].iloc[0] == 1
-        settled, open_ = fly(units[: max(0, len(units) - HELD_BACK)] if last else units, random.Random(f"{seed}/{turn}/{key}"))
+        held = set(sorted(range(len(units)), key=lambda k: (-units[k][0], k))[: HELD_BACK * last])
+        flying = [k for k in range(len(units)) if k not in held]
+        settled, open_ = ({flying[i]: v for i, v in part.items()} for part in fly([units[k] for k in flying], random.Random(f"{seed}/{turn}/{key}")))
         if last:
-            open_ |= {k: units[k][1] for k in range(max(0, len(units) - HELD_BACK), len(units))}
+            open_ |= {k: units[k][1] for k in held}
             left = sorted(open_)
             settled |= dict(zip(left, land([(units[k][0], open_[k]) for k in left]), strict=True))
-            open_ = {}
+            open_, outcome = {}, [settled[k] for k in range(len(units))]
+            sizes = [s for s, _ in units]
+            repair(sizes, outcome, sum(s * p for s, p in units) - sum(s * x for s, x in zip(sizes, outcome, strict=True)))
+            settled = dict(enumerate(outcome))
         group["extra"] = pd.array([settled.get(k) for k in range(len(group))], "Int32")
         for k, p in open_.items():
             group.loc[k, "p"] = p
@@ -152,3 +168,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     for part in done:
         fixed = fixed.unionByName(part)
     return fixed.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as ``mix`` takes it. Options are those of ``mix``.
+
+    Rows that agree in id, source and size share their copies as evenly as they go, in order of their texts.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    keys = ["__id", "__source", "__size"]
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    shares = scratch.save(mixed.groupBy(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col("size").alias("__z")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "shares")
+    rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": n_words(text_col)})
+    same = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+    rows = rows.join(shares.where("__copies > 0"), same)
+    copies = F.col("__copies")
+    if not shares.where("__rows > 1").isEmpty():
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(text_col)) - 1
+        rows = rows.withColumn("__at", at)
+        copies = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__at") < F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    return rows.withColumn("__one", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
