@@ -99,7 +99,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = scratch.save(runs.select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("runs").alias("__runs")), "runs")
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.join(runs, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__h")), "left")
+    # Documents meet their runs by a sort-merge join at every size; runs grow with the documents.
+    rows = rows.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__h")), "left")
     lines = F.split("text", "\n")
     inside = lambda i: F.exists("__runs", lambda r: (r["start"] <= i) & (i < r["end"]))
     clean = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
