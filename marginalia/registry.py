@@ -1,4 +1,398 @@
 """Registered queries of the notes engine and their SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import views as v
+from .functions import globs, hashing, matching, text
+from .operators import diff
+from .operators import links as lk
+from .operators import state as st
+from .views import with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query by its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _local(s: SparkSession, d: str) -> DataFrame:
+    return diff.local_changes(v.note_hashes(s, d), v.sync_state(s, d))
+
+
+def _all(s: SparkSession, d: str) -> DataFrame:
+    return diff.all_changes(v.note_hashes(s, d), v.sync_state(s, d), v.remote_pages(s, d))
+
+
+# hashing
+
+
+@query(with_views("SELECT path AS note_path, body_hash AS content_hash, fm_hash AS frontmatter_hash, full_hash FROM hashes", "hashes"))
+def content_hashes(s, d):
+    return v.note_hashes(s, d).drop("mtime")
+
+
+@query("SELECT sha256(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_bodies(s, d):
+    h = v.table(s, d, "documents").select("doc_id", hashing.raw_hash(F.col("text")).alias("text_hash"))
+    return h.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+# diff
+
+
+@query(with_views("SELECT path, old_path, type, direction, frontmatter_only FROM diff2", "diff2"))
+def detect_local_changes(s, d):
+    return _local(s, d).select("path", "old_path", "type", "direction", "frontmatter_only")
+
+
+@query(with_views("SELECT type, count(*) AS n FROM diff2 GROUP BY type", "diff2"))
+def change_counts_by_type(s, d):
+    return diff.count_by(_local(s, d), "type")
+
+
+@query(with_views("SELECT direction, count(*) AS n FROM diff3 GROUP BY direction", "diff3"))
+def change_counts_by_direction(s, d):
+    return diff.count_by(_all(s, d), "direction")
+
+
+@query(with_views("SELECT path FROM diff2 WHERE frontmatter_only", "diff2"))
+def frontmatter_only_changes(s, d):
+    return _local(s, d).where("frontmatter_only").select("path")
+
+
+@query(with_views("SELECT path, old_path FROM diff2 WHERE type = 'renamed'", "diff2"))
+def renames(s, d):
+    return diff.renames(v.note_hashes(s, d), v.sync_state(s, d)).select("path", "old_path")
+
+
+@query(with_views("SELECT path FROM diff2 WHERE type = 'deleted'", "diff2"))
+def deletions(s, d):
+    return diff.by_type(_local(s, d), "deleted").select("path")
+
+
+@query(with_views("SELECT note_path FROM state WHERE page_id <> '' AND status = 'synced' AND note_path NOT IN (SELECT path FROM hashes)", "state", "hashes"))
+def deletion_candidates(s, d):
+    return diff.vanished(v.note_hashes(s, d), v.sync_state(s, d)).select("note_path")
+
+
+@query(with_views("SELECT path, old_path, type, direction FROM diff3", "diff3"))
+def detect_all_changes(s, d):
+    return _all(s, d).select("path", "old_path", "type", "direction")
+
+
+@query(with_views("SELECT count(*) FILTER (type = 'conflict') > 0 AS has_conflicts FROM diff3", "diff3"))
+def has_conflicts(s, d):
+    return diff.has_conflicts(_all(s, d))
+
+
+@query(with_views("SELECT path, type FROM diff3 WHERE direction = 'pull'", "diff3"))
+def pull_direction(s, d):
+    return diff.by_direction(_all(s, d), "pull").select("path", "type")
+
+
+@query(with_views("SELECT s.note_path AS path, CASE WHEN s.status = 'conflict' THEN 'conflict' ELSE 'modified' END AS type FROM state s JOIN remote r ON r.page_id = s.page_id WHERE error IS NULL AND NOT archived AND last_edited > remote_mtime", "state", "remote"))
+def remote_changes(s, d):
+    return diff.remote_changes(v.sync_state(s, d), v.remote_pages(s, d)).select("path", "type")
+
+
+_PULL = """SELECT path, page_id, action FROM (SELECT s.note_path AS path, s.page_id, CASE WHEN r.page_id IS NULL OR archived OR coalesce(error LIKE '%not found%', false) THEN 'delete'
+    WHEN error IS NULL AND {edited} THEN 'pull' END AS action FROM state s LEFT JOIN remote r ON r.page_id = s.page_id WHERE s.page_id <> '') WHERE action IS NOT NULL"""
+
+
+@query(with_views(_PULL.format(edited="last_edited > remote_mtime"), "state", "remote"))
+def pull_candidates(s, d):
+    return diff.pull_candidates(v.sync_state(s, d), v.remote_pages(s, d))
+
+
+@query(with_views(_PULL.format(edited="true"), "state", "remote"))
+def pull_all(s, d):
+    return diff.pull_candidates(v.sync_state(s, d), v.remote_pages(s, d), pull_all=True)
+
+
+@query(with_views("SELECT path, type FROM diff2 UNION ALL SELECT note_path, CASE WHEN coalesce(page_id, '') = '' THEN 'created' ELSE 'modified' END FROM state WHERE status = 'pending' AND note_path NOT IN (SELECT path FROM diff2)", "diff2", "state"))
+def push_candidates(s, d):
+    return diff.push_candidates(v.note_hashes(s, d), v.sync_state(s, d))
+
+
+@query(with_views("SELECT path, CASE WHEN coalesce(page_id, '') = '' THEN 'created' ELSE 'modified' END AS type FROM hashes LEFT JOIN state ON path = note_path", "hashes", "state"))
+def push_all(s, d):
+    return diff.push_candidates(v.note_hashes(s, d), v.sync_state(s, d), push_all=True)
+
+
+_PLAN = "SELECT path, type, CASE WHEN type = 'conflict' THEN {settled} ELSE direction END AS action FROM diff3"
+
+
+@query(with_views(_PLAN.format(settled="CASE WHEN local_mtime > remote_mtime THEN 'push' ELSE 'pull' END"), "diff3"))
+def sync_plan_newer(s, d):
+    return diff.sync_plan(v.note_hashes(s, d), v.sync_state(s, d), v.remote_pages(s, d), "newer")
+
+
+@query(with_views(_PLAN.format(settled="'push'"), "diff3"))
+def sync_plan_ours(s, d):
+    return diff.sync_plan(v.note_hashes(s, d), v.sync_state(s, d), v.remote_pages(s, d), "ours")
+
+
+@query(with_views(_PLAN.format(settled="'pull'"), "diff3"))
+def sync_plan_theirs(s, d):
+    return diff.sync_plan(v.note_hashes(s, d), v.sync_state(s, d), v.remote_pages(s, d), "theirs")
+
+
+@query(with_views(_PLAN.format(settled="'conflict'"), "diff3"))
+def sync_plan_manual(s, d):
+    return diff.sync_plan(v.note_hashes(s, d), v.sync_state(s, d), v.remote_pages(s, d), "manual")
+
+
+@query(with_views("SELECT s.note_path AS path, CASE WHEN body_hash <> content_hash THEN CASE WHEN mtime > last_edited THEN 'keep' ELSE 'pull' END ELSE 'pull' END AS action FROM state s JOIN remote r ON r.page_id = s.page_id LEFT JOIN hashes h ON h.path = s.note_path WHERE error IS NULL AND NOT archived AND last_edited > remote_mtime", "state", "remote", "hashes"))
+def poll_conflicts_newer(s, d):
+    return diff.poll_conflicts(v.note_hashes(s, d), v.sync_state(s, d), v.remote_pages(s, d), "newer")
+
+
+@query(with_views("""SELECT r.page_id, coalesce(nullif(title, ''), 'Untitled') AS title,
+    coalesce(nullif(regexp_replace(trim(translate(coalesce(nullif(title, ''), 'Untitled'), '/:*?"<>|\\', '---------'), ' '), '^[.]+|[.]+$', '', 'g'), ''), 'Untitled') || '.md' AS path FROM remote r WHERE page_id NOT IN (SELECT page_id FROM state WHERE page_id <> '')""", "remote", "state"))
+def discover_untracked(s, d):
+    return diff.discover_untracked(v.sync_state(s, d), v.remote_pages(s, d))
+
+
+@query(with_views("SELECT i.page_id, CASE WHEN r.page_id IS NULL THEN 'page not found: ' || i.page_id ELSE error END AS error FROM (SELECT DISTINCT page_id FROM state WHERE page_id <> '') i LEFT JOIN remote r ON r.page_id = i.page_id WHERE r.page_id IS NULL OR error IS NOT NULL", "state", "remote"))
+def missing_pages(s, d):
+    from .sources.remote import batch_metadata
+
+    ids = v.sync_state(s, d).where("page_id <> ''").select("page_id").distinct()
+    return batch_metadata(ids, v.remote_pages(s, d)).where("error is not null").select("page_id", "error")
+
+
+@query(with_views("""SELECT CAST((SELECT count(*) FROM diff3 WHERE type = 'created') + (SELECT count(*) FROM state WHERE status = 'pending') AS BIGINT) AS new,
+    (SELECT count(*) FROM diff3 WHERE type = 'modified' AND direction = 'push') AS modified, (SELECT count(*) FROM diff3 WHERE type = 'modified' AND direction = 'pull') AS to_pull,
+    (SELECT count(*) FROM diff3 WHERE type = 'deleted') AS deleted, (SELECT count(*) FROM diff3 WHERE type = 'renamed') AS renamed, (SELECT count(*) FROM diff3 WHERE type = 'conflict') AS conflicts,
+    (SELECT count(*) FROM state WHERE status = 'synced') AS synced, (SELECT count(*) FROM state WHERE status = 'pending') AS pending, (SELECT count(*) FROM link) AS links,
+    (SELECT count(*) FROM link JOIN resolved ON target = target_name) AS resolved_links, (SELECT count(*) FROM link LEFT JOIN resolved ON target = target_name WHERE target IS NULL) AS unresolved_links""", "diff3", "state", "link", "resolved"))
+def status_summary(s, d):
+    resolved = _resolved(s, d)
+    return diff.status_summary(_all(s, d), v.sync_state(s, d), resolved)
+
+
+# links
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    return lk.resolve_all(_links(s, d), v.sync_state(s, d), v.aliases(s, d))
+
+
+def _links(s: SparkSession, d: str) -> DataFrame:
+    """Links of the notes by the page their target names."""
+    edges = lk.extract_links(v.notes(s, d)).withColumn("target", text.parse_target(F.col("target"))["page"])
+    return lk.register(edges)
+
+
+@query(with_views("SELECT source_path, CAST(pos AS BIGINT) AS pos, target, alias, heading FROM edge", "edge"))
+def extract_links(s, d):
+    return lk.extract_links(v.notes(s, d)).select("source_path", F.col("pos").cast("bigint").alias("pos"), "target", "alias", "heading")
+
+
+@query(with_views("SELECT path AS source_path, 'img-' || (doc_id % 50) || '.png' AS target, true AS image, false AS pdf, CAST(100 AS BIGINT) AS width, CAST(200 AS BIGINT) AS height FROM notes", "notes"))
+def extract_embeds(s, d):
+    return lk.extract_embeds(v.notes(s, d)).select("source_path", "target", "image", "pdf", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
+
+
+@query(r"""SELECT page_id, regexp_extract(h, '^[^#^]*') AS page, CASE WHEN contains(h, '#') THEN regexp_extract(h, '^[^#]*#([^^]*)', 1) ELSE '' END AS heading FROM (SELECT page_id, regexp_extract(url, '//[^/]*/(.*)$', 1) AS h FROM pages)""")
+def link_parts(s, d):
+    path = F.regexp_extract("url", "//[^/]*/(.*)$", 1)
+    return v.table(s, d, "pages").select("page_id", text.parse_target(path).alias("p")).select("page_id", "p.page", "p.heading")
+
+
+@query(with_views("SELECT source_path, target_name, page_id, target IS NOT NULL AS resolved FROM link LEFT JOIN resolved ON target = target_name", "link", "resolved"))
+def resolve_links(s, d):
+    return _resolved(s, d).select("source_path", "target_name", "page_id", "resolved")
+
+
+@query(with_views("SELECT target, CAST(arm AS BIGINT) AS arm, note_path, page_id FROM resolved", "resolved"))
+def resolution_arms(s, d):
+    found = lk.resolve(_links(s, d), v.sync_state(s, d), v.aliases(s, d))
+    return found.select("target", F.col("arm").cast("bigint").alias("arm"), "note_path", "page_id")
+
+
+@query(with_views("SELECT source_path, target_name FROM link WHERE target_name NOT IN (SELECT target FROM resolved)", "link", "resolved"))
+def unresolved_links(s, d):
+    return lk.unresolved(_resolved(s, d)).select("source_path", "target_name")
+
+
+@query(with_views("SELECT DISTINCT s.note_path, source_path, target_name FROM state s JOIN link ON target_name = regexp_replace(regexp_extract(note_path, '[^/]*$'), '[.]md$', '')", "state", "link"))
+def backlinks(s, d):
+    return lk.backlinks(_links(s, d), v.sync_state(s, d))
+
+
+@query(with_views("SELECT count(*) AS total, count(target) AS resolved, count(*) - count(target) AS unresolved FROM link LEFT JOIN resolved ON target = target_name", "link", "resolved"))
+def link_stats(s, d):
+    return lk.link_stats(_resolved(s, d))
+
+
+@query(with_views("SELECT source_path, count(*) AS n FROM link WHERE target_name NOT IN (SELECT target FROM resolved) GROUP BY source_path", "link", "resolved"))
+def unresolved_by_source(s, d):
+    return lk.unresolved_by_source(_resolved(s, d))
+
+
+@query(with_views("SELECT source_path, count(target) > 0 AS any_resolved FROM link LEFT JOIN resolved ON target = target_name GROUP BY source_path", "link", "resolved"))
+def newly_resolved_sources(s, d):
+    return lk.any_resolved(_resolved(s, d))
+
+
+@query(with_views("SELECT alias_name, note_path, page_id FROM alias JOIN page USING (note_path)", "alias", "page"))
+def alias_lookup(s, d):
+    return lk.alias_lookup(v.aliases(s, d), v.sync_state(s, d))
+
+
+@query(with_views("SELECT page_id, min(note_path) AS note_path FROM remote JOIN state USING (page_id) GROUP BY page_id", "remote", "state"))
+def reverse_lookup(s, d):
+    return lk.reverse_lookup(v.remote_pages(s, d), v.sync_state(s, d))
+
+
+@query("SELECT regexp_extract(href, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS links, count(DISTINCT page_id) AS sources FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1")
+def html_link_degree(s, d):
+    hrefs = v.table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
+    return hrefs.groupBy(F.regexp_extract("href", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("sources"))
+
+
+@query(with_views("SELECT target, note_path, page_id, CAST(score AS BIGINT) AS score, CAST(distance AS BIGINT) AS distance, rank FROM topk WHERE rank <= 3", "topk"))
+def fuzzy_topk(s, d):
+    best = lk.fuzzy_topk(_links(s, d), v.sync_state(s, d), 3)
+    return best.select("target", "note_path", "page_id", F.col("score").cast("bigint").alias("score"), F.col("distance").cast("bigint").alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(with_views("SELECT source_path, target_name, note_path AS new_path FROM link JOIN topk ON target = target_name WHERE rank = 1 AND target_name NOT IN (SELECT target FROM resolved)", "link", "topk", "resolved"))
+def repair_links(s, d):
+    return lk.repair(_resolved(s, d), v.sync_state(s, d)).select("source_path", "target_name", "new_path")
+
+
+@query(with_views("SELECT target, string_agg(note_path, ',' ORDER BY rank) AS suggestions FROM topk WHERE rank <= 3 AND target NOT IN (SELECT target FROM resolved) GROUP BY target", "topk", "resolved"))
+def link_suggestions(s, d):
+    return lk.suggestions(_resolved(s, d), v.sync_state(s, d), 3).select("target", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@query(with_views("SELECT CASE WHEN r.target IS NOT NULL THEN 'exact' WHEN k.target IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS how, count(*) AS n FROM link LEFT JOIN resolved r ON r.target = target_name LEFT JOIN (SELECT target FROM topk WHERE rank = 1) k ON k.target = target_name GROUP BY 1", "link", "resolved", "topk"))
+def resolve_all_fuzzy_counts(s, d):
+    found = lk.resolve_all_fuzzy(_links(s, d), v.sync_state(s, d), v.aliases(s, d))
+    return found.groupBy(F.coalesce("how", F.lit("none")).alias("how")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("SELECT t.target, coalesce(r.note_path, k.note_path) AS note_path, CASE WHEN r.target IS NOT NULL THEN 'exact' WHEN k.target IS NOT NULL THEN 'fuzzy' END AS how FROM (SELECT DISTINCT target FROM edge) t LEFT JOIN resolved r USING (target) LEFT JOIN (SELECT target, note_path FROM topk WHERE rank = 1) k USING (target)", "edge", "resolved", "topk"))
+def resolve_extended(s, d):
+    return lk.resolve_extended(_links(s, d), v.sync_state(s, d), v.aliases(s, d)).select("target", "note_path", "how")
+
+
+@query("SELECT r_name, n_name, levenshtein(lower(r_name), lower(n_name)) AS distance FROM region, nation WHERE levenshtein(lower(r_name), lower(n_name)) <= 6")
+def name_distances(s, d):
+    r, n = v.table(s, d, "region"), v.table(s, d, "nation")
+    dist = matching.distance(F.lower("r_name"), F.lower("n_name"))
+    # 5 regions and 25 nations: both sides are fixed by the schema.
+    return n.join(F.broadcast(r), dist <= 6).select("r_name", "n_name", dist.cast("bigint").alias("distance"))
+
+
+# state and history
+
+
+@query(with_views("SELECT note_path, status FROM state WHERE status = 'conflict'", "state"))
+def conflicts(s, d):
+    return st.conflicts(v.sync_state(s, d)).select("note_path", "status")
+
+
+@query(with_views("SELECT note_path, details FROM (SELECT *, row_number() OVER (PARTITION BY note_path ORDER BY ts DESC, seq DESC) AS k FROM history WHERE action = 'click') WHERE k = 1", "history"))
+def latest_action(s, d):
+    return st.latest_conflict(v.history(s, d), "click").select("note_path", "details")
+
+
+@query(with_views("SELECT seq, note_path, action FROM history ORDER BY ts DESC, seq DESC LIMIT 50", "history"))
+def history_topn(s, d):
+    return st.recent_history(v.history(s, d), 50).select("seq", "note_path", "action")
+
+
+@query(with_views("SELECT action, count(*) AS n FROM history WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 10 DAY GROUP BY action", "history"))
+def history_retention(s, d):
+    kept = st.retain_history(v.history(s, d), F.lit("2024-01-30").cast("timestamp_ntz"), F.expr("interval 10 days"))
+    return diff.count_by(kept, "action")
+
+
+@query(with_views("SELECT count(*) AS removed FROM history WHERE ts < TIMESTAMP '2024-01-30' - INTERVAL 10 DAY", "history"))
+def history_expired(s, d):
+    return st.expired_count(v.history(s, d), F.lit("2024-01-30").cast("timestamp_ntz"), F.expr("interval 10 days"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, -1, 'none' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def upsert_latest_order(s, d):
+    base = v.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(-1).cast("bigint").alias("o_orderkey"), F.lit("none").alias("o_orderstatus"), F.lit("1970-01-01").cast("timestamp_ntz").alias("o_orderdate"))
+    rows = v.table(s, d, "orders").select(*base.columns).withColumn("version", F.struct("o_orderdate", "o_orderkey"))
+    return st.upsert_latest(base, rows, ["o_custkey"], "version").drop("o_orderdate")
+
+
+@query(with_views("SELECT note_path, CASE WHEN note_path LIKE 'src1/%' THEN 'updated' ELSE status END AS status FROM state", "state"))
+def upsert_state(s, d):
+    state = v.sync_state(s, d)
+    new = state.where(F.col("note_path").startswith("src1/")).withColumn("status", F.lit("updated"))
+    return st.upsert(state, new, ["note_path"]).select("note_path", "status")
+
+
+@query(with_views("SELECT note_path FROM state WHERE note_path NOT LIKE 'gone/%'", "state"))
+def delete_state(s, d):
+    state = v.sync_state(s, d)
+    return st.delete(state, state.where(F.col("note_path").startswith("gone/")), ["note_path"]).select("note_path")
+
+
+@query(with_views("SELECT source_path, target_name FROM link", "link"))
+def insert_ignore_links(s, d):
+    links = _links(s, d)
+    half = links.where(F.pmod(F.xxhash64("source_path"), F.lit(2)) == 0)
+    return st.insert_ignore(half, links.unionByName(links), ["source_path", "target_name"]).select("source_path", "target_name")
+
+
+@query(with_views("SELECT coalesce(path, source_path) AS source_path, target_name FROM link LEFT JOIN (SELECT path, old_path FROM diff2 WHERE type = 'renamed') ON old_path = source_path", "link", "diff2"))
+def rename_links(s, d):
+    moves = diff.renames(v.note_hashes(s, d), v.sync_state(s, d)).select("old_path", F.col("path").alias("new_path"))
+    return st.rename_paths(_links(s, d), moves, "source_path").select("source_path", "target_name")
+
+
+@query(with_views("SELECT path, type FROM diff2 UNION ALL SELECT path, action FROM (" + _PULL.format(edited="last_edited > remote_mtime") + ")", "diff2", "state", "remote"))
+def union_changes(s, d):
+    pulls = diff.pull_candidates(v.sync_state(s, d), v.remote_pages(s, d)).select("path", F.col("action").alias("type"))
+    return _local(s, d).select("path", "type").unionByName(pulls)
+
+
+@query(with_views("SELECT path, CASE direction WHEN 'push' THEN 'archive_page' ELSE 'move_note' END AS action, CASE direction WHEN 'pull' THEN '_archive/' || regexp_extract(path, '[^/]*$') END AS \"to\" FROM diff3 WHERE type = 'deleted'", "diff3"))
+def deletion_plan(s, d):
+    return st.deletion_plan(_all(s, d)).select("path", "action", "to")
+
+
+@query(with_views("SELECT path, 'conflict' AS type FROM diff3 WHERE type = 'conflict' UNION SELECT s.note_path, 'conflict' FROM state s JOIN remote r ON r.page_id = s.page_id WHERE s.status = 'conflict' AND error IS NULL AND NOT archived AND last_edited > remote_mtime", "diff3", "state", "remote"))
+def merge_conflicts(s, d):
+    return diff.merge_conflicts(_all(s, d), diff.remote_changes(v.sync_state(s, d), v.remote_pages(s, d))).select("path", "type")
+
+
+# filters
+
+
+@query(with_views("SELECT path FROM notes WHERE NOT (path LIKE 'src1/%' OR regexp_matches(path, '/en-[^/]*[.]md$') OR regexp_matches(path, '^src2[^/]*/de[^/]*$'))", "notes"))
+def ignore_filter(s, d):
+    return v.notes(s, d).where(~globs.ignored(F.col("path"), ["src1/**", "en-*.md", "src2*/de*"])).select("path")
+
+
+@query(with_views("SELECT path FROM notes WHERE regexp_matches(path, '^src1[^/]/[^/]*-[0-9]*5[.]md$')", "notes"))
+def glob_filter(s, d):
+    return v.notes(s, d).where(globs.matches(F.col("path"), "src1?/*-*5.md")).select("path")
+
+
+@query("SELECT part.p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')) AS match_key FROM part")
+def match_keys(s, d):
+    return v.table(s, d, "part").select("p_partkey", F.lower(matching.match_key(F.col("p_name"))).alias("match_key"))
