@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space, as trimmed at both ends of a content.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_space(c: Column) -> Column:

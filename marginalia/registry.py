@@ -396,3 +396,143 @@ def glob_filter(s, d):
 @query("SELECT part.p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')) AS match_key FROM part")
 def match_keys(s, d):
     return v.table(s, d, "part").select("p_partkey", F.lower(matching.match_key(F.col("p_name"))).alias("match_key"))
+
+
+# properties, queries, rich text, blocks
+
+
+@query("""SELECT o_orderkey, coalesce(CAST(EXTRACT(year FROM d) AS BIGINT), 0) AS y, coalesce(CAST(EXTRACT(month FROM d) AS BIGINT), 0) AS m, coalesce(CAST(EXTRACT(day FROM d) AS BIGINT), 0) AS day FROM (
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN o_orderdate END AS d FROM orders)""")
+def parse_dates(s, d):
+    from .functions.dates import parse_date
+
+    k, t = F.col("o_orderkey"), F.col("o_orderdate")
+    shown = F.when(k % 5 == 0, F.date_format(t, "yyyy-MM-dd")).when(k % 5 == 1, F.date_format(t, "MM/dd/yyyy")).when(k % 5 == 2, F.date_format(t, "MMMM d, yyyy")).when(k % 5 == 3, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(t, "M-d-yy"))
+    day = v.table(s, d, "orders").select("o_orderkey", parse_date(shown).alias("d"))
+    part = lambda f, n: F.coalesce(f("d").cast("bigint"), F.lit(0)).alias(n)
+    return day.select("o_orderkey", part(F.year, "y"), part(F.month, "m"), part(F.dayofmonth, "day"))
+
+
+@query("""SELECT p_partkey, p_name AS title, CASE WHEN p_size > 0 THEN CAST(p_size AS DOUBLE) ELSE 0 END AS size, p_size % 2 = 0 AS even, p_brand || ',' || p_type AS tags FROM part""")
+def map_properties(s, d):
+    from .operators import properties as p
+
+    rules = (p.Rule("name", "Name", "title"), p.Rule("size", "Size", "number"), p.Rule("even", "Even", "checkbox"), p.Rule("tags", "Tags", "multi_select"), p.Rule("none", "None", "url"))
+    fm = F.create_map(F.lit("name"), F.col("p_name"), F.lit("size"), F.col("p_size").cast("string"), F.lit("even"), F.when(F.col("p_size") % 2 == 0, "Yes").otherwise("no"))
+    out = v.table(s, d, "part").select("p_partkey", p.to_properties(fm, F.array("p_brand", "p_type"), rules).alias("p"))
+    get = lambda name, field: F.element_at("p", name)[field]
+    return out.select("p_partkey", get("Name", "str").alias("title"), get("Size", "num").alias("size"), get("Even", "bool").alias("even"), F.array_join(get("Tags", "list"), ",").alias("tags"))
+
+
+@query("""SELECT p_partkey, 'Brand,Name' AS keys FROM part""")
+def properties_round_trip(s, d):
+    from .operators import properties as p
+
+    rules = (p.Rule("name", "Name", "title"), p.Rule("brand", "Brand", "select"))
+    fm = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))
+    props = v.table(s, d, "part").select("p_partkey", fm.alias("fm"), p.to_properties(fm, F.array().cast("array<string>"), rules).alias("p"))
+    back = props.select("p_partkey", "fm", "p", p.to_frontmatter(F.col("p"), rules).alias("back"))
+    return back.where((F.col("fm")["name"] == F.col("back")["name"]) & (F.col("fm")["brand"] == F.col("back")["brand"])).select("p_partkey", F.array_join(p.sorted_keys(F.col("p")), ",").alias("keys"))
+
+
+@query("""SELECT item_id, CAST(n AS BIGINT) AS n, CASE item_id % 5 WHEN 1 THEN 'LIST' WHEN 2 THEN 'TASK' WHEN 3 THEN 'CALENDAR' ELSE 'TABLE' END AS first_type, 'JS' AS second_type, 'INLINE' AS last_type FROM (SELECT item_id, 3 AS n FROM benchmark)""")
+def query_types(s, d):
+    word = F.element_at(F.array(*map(F.lit, ("table", " list", "Task", "calendar", "select"))), (F.col("item_id") % 5 + 1).cast("int"))
+    body = F.concat(F.lit("text `=this.file` more\n```dataviewjs\ndv.pages()\n```\n```dataview\n"), word, F.lit(" a\nfrom b\n```\n"))
+    q = v.table(s, d, "benchmark").select("item_id", text.queries(body).alias("q"))
+    return q.select("item_id", F.size("q").cast("bigint").alias("n"), F.col("q")[0]["type"].alias("first_type"), F.col("q")[1]["type"].alias("second_type"), F.col("q")[2]["type"].alias("last_type"))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '**' || t || '**' WHEN 1 THEN '<u>~~`' || t || '`~~</u>' WHEN 2 THEN '[***==' || t || '==***](http://x/' || turn || ')' WHEN 3 THEN '[[' || t || ']]' ELSE '$' || t || '$' END || '!' AS md
+    FROM (SELECT conv_id, turn, left(text, 20) AS t FROM conversations)""")
+def rich_text_markdown(s, d):
+    from .functions.richtext import markdown
+
+    k = F.col("turn") % 5
+    flag = lambda c, n: c.alias(n)
+    first = F.struct(F.when(k == 3, "mention").when(k == 4, "equation").otherwise("text").alias("type"), F.left("text", F.lit(20)).alias("content"), F.when(k == 2, F.concat(F.lit("http://x/"), "turn")).alias("link"), F.lit("none").alias("page_id"), flag(k.isin(0, 2), "bold"), flag(k == 2, "italic"), flag(k == 1, "strike"), flag(k == 1, "underline"), flag(k == 1, "code"), F.when(k == 2, "yellow_background").alias("color"))
+    null = F.lit(None).cast("string")
+    last = F.struct(F.lit("text").alias("type"), F.lit("!").alias("content"), null.alias("link"), null.alias("page_id"), *(F.lit(False).alias(n) for n in ("bold", "italic", "strike", "underline", "code")), null.alias("color"))
+    return v.table(s, d, "conversations").select("conv_id", "turn", markdown(F.array(first, last)).alias("md"))
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 3 AS batch_pos FROM conversations")
+def block_batches(s, d):
+    from .sources.remote import append_batches
+
+    blocks = v.table(s, d, "conversations").select(F.col("conv_id").alias("page_key"), "turn", F.array(F.col("turn").cast("int")).alias("block_path"), F.lit(0).alias("depth"))
+    return append_batches(blocks, 3).select(F.col("page_key").alias("conv_id"), "turn", "batch", "batch_pos")
+
+
+_EMBEDS = "SELECT c_custkey AS source, (c_custkey * 7 + 3) % 200 AS target FROM customer WHERE c_custkey <= 200"
+
+
+@query(f"""WITH RECURSIVE e AS ({_EMBEDS}), w AS (SELECT source AS root, target, 1 AS depth, [source, target] AS trail, source = target AS cycle FROM e
+    UNION ALL SELECT root, e.target, depth + 1, list_append(trail, e.target), list_contains(trail, e.target) FROM w JOIN e ON e.source = w.target WHERE NOT cycle AND depth < 10)
+    SELECT root, target, CAST(depth AS BIGINT) AS depth, cycle FROM w""")
+def embed_closure(s, d):
+    from .operators.embeds import embed_closure as closure
+
+    edges = v.table(s, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("source"), ((F.col("c_custkey") * 7 + 3) % 200).alias("target"), F.lit(False).alias("media"))
+    return closure(edges).select("root", "target", F.col("depth").cast("bigint").alias("depth"), "cycle")
+
+
+@query("""SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g""")
+def debounce_sessions(s, d):
+    from .streaming.events import debounce
+
+    events = v.table(s, d, "events").select("user_id", "ts", F.col("event_type").alias("op"))
+    return debounce(events, "30 minutes", "user_id").drop("op")
+
+
+@query(with_views("SELECT path, CASE WHEN path LIKE 'src1/%' THEN 'one' WHEN regexp_matches(path, '^src2[^/]*/fr-[^/]*$') THEN 'french' ELSE 'default' END AS database FROM notes", "notes"))
+def folder_mapping(s, d):
+    from .sources.config import DEFAULTS, database_of
+
+    config = DEFAULTS | {"remote": {"default_database": "default"}, "mappings": [{"path": "src1", "database": "one"}, {"path": "src2*/fr-*", "database": "french"}, {"path": "src1/*", "database": "late"}]}
+    return v.notes(s, d).select("path", database_of(F.col("path"), config).alias("database"))
+
+
+@query("SELECT item_id, '[!info]' AS head FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, '[query:' FROM benchmark WHERE item_id % 2 = 1")
+def query_placeholders(s, d):
+    shown = text.query_placeholder(F.concat(F.lit("list "), "item_id"), F.col("item_id") % 2 == 1)
+    return v.table(s, d, "benchmark").select("item_id", F.regexp_extract(shown, r"(\[!info\]|\[query:)", 1).alias("head"))
+
+
+@query()
+def note_blocks(s, d):
+    from .operators import blocks, extract
+
+    parsed = extract.parse_notes(v.notes(s, d))
+    return blocks.note_blocks(parsed).groupBy("type", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def blocks_to_markdown(s, d):
+    from .operators import blocks, extract
+
+    raw = blocks.note_blocks(extract.parse_notes(v.notes(s, d)))
+    found = lk.resolve(_links(s, d), v.sync_state(s, d), v.aliases(s, d))
+    return blocks.blocks_markdown(blocks.render_links(raw, found), v.sync_state(s, d))
+
+
+@query(with_views("SELECT path, 'Doc ' || doc_id AS title, lang || ',' || source AS tags, CAST(2 AS BIGINT) AS n_links, CAST(1 AS BIGINT) AS n_embeds FROM notes", "notes"))
+def parse_notes(s, d):
+    from .functions import frontmatter as fm
+    from .operators import extract
+
+    parsed = extract.parse_notes(v.notes(s, d))
+    return parsed.select("path", fm.title(F.col("frontmatter")).alias("title"), F.array_join(fm.get_list(F.col("frontmatter"), "tags"), ",").alias("tags"), F.size("links").cast("bigint").alias("n_links"), F.size("embeds").cast("bigint").alias("n_embeds"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 1 THEN CAST(n_nationkey * 10 AS VARCHAR) END AS result, CASE WHEN n_nationkey % 2 = 0 THEN 'even' END AS error FROM nation")
+def parallel_map(s, d):
+    from .plans.runtime import parallel_map as run
+
+    def ten(x):
+        if x % 2 == 0:
+            raise ValueError("even")
+        return str(x * 10)
+
+    return run(v.table(s, d, "nation").select("n_nationkey"), ten, "n_nationkey")
