@@ -29,8 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+#: Rows in a batch that goes to a Python worker. Texts are long, so Spark's 10,000 rows can be hundreds of megabytes.
+BATCH_ROWS = 1000
+
+
 def ensure_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and keep their batches small.
+
+    The session's own batch size stays if it is smaller.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:

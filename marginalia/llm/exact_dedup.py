@@ -28,7 +28,7 @@ from .common import Scratch, ensure_workers, text_or_empty
 BLOCK_BYTES = 4096
 BUCKETS = 1 << 20
 #: A task forgets the blocks it has seen beyond this many bytes; it then only sends some again.
-SEEN_BYTES = 64 << 20
+SEEN_BYTES = 32 << 20
 _TASK_SHIFT = 40
 
 

@@ -174,12 +174,13 @@ def score_documents(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc
     """
     ensure_workers(docs.sparkSession)
     schema = docs.select(*keep).schema.add("score", "double", False)
-    at = [docs.columns.index(c) for c in keep]
+    # A text that is kept goes to the worker once.
+    columns, where = (list(keep), keep.index(text_col)) if text_col in keep else ([*keep, text_col], len(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([probability(net, t.as_py()) for t in batch.column(batch.num_columns - 1)], np.float64)
-            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(at))), pa.array(scores)], names=[*keep, "score"])
+            scores = np.array([probability(net, t.as_py() or "") for t in batch.column(where)], np.float64)
+            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores)], names=[*keep, "score"])
             yield out if filter_below is None else out.filter(pa.array(scores >= filter_below))
 
-    return docs.select(*keep, text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
