@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 from collections.abc import Iterator
 from pathlib import Path
@@ -67,7 +68,7 @@ def read(files: DataFrame) -> DataFrame:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Notes of a folder in any store Spark reads: path, content, mtime. Names that begin with ``_`` or a dot stay hidden."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
-    root = F.lit(path.rstrip("/") + "/")
+    root = re.sub(r"^[a-z0-9]+:/*(?=/)", "", path).rstrip("/") + "/"
     return files.select(F.substring_index("path", root, -1).alias("path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("mtime"))
 
 
