@@ -39,21 +39,6 @@ def _row(**values: Column) -> list[Column]:
     return [values.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in CHANGE]
 
 
-def _aligned(notes: DataFrame, state: DataFrame) -> DataFrame:
-    """Notes and state side by side, a full outer join on the path."""
-    n = notes.select("note_path", F.struct("content_hash", "frontmatter_hash", "full_hash", "mtime").alias("n"))
-    s = state.select("note_path", F.struct("page_id", "content_hash", "frontmatter_hash", "status", "remote_mtime", "local_mtime", "last_sync").alias("s"))
-    return n.join(s, "note_path", "full_outer")
-
-
-def modified(notes: DataFrame, state: DataFrame) -> DataFrame:
-    both = _aligned(notes, state).where("n is not null and s is not null")
-    body = F.col("n.content_hash") != _text("s.content_hash")
-    front = F.col("n.frontmatter_hash") != _text("s.frontmatter_hash")
-    conflict = F.coalesce(F.col("s.status"), F.lit("pending")) == "conflict"
-    return both.where(body | front).select(*_row(path=F.col("note_path"), type=F.when(conflict, "conflict").otherwise("modified"), direction=F.when(conflict, "both").otherwise("push"), local_hash=F.col("n.full_hash"), local_mtime=F.col("n.mtime"), remote_mtime=F.col("s.remote_mtime"), frontmatter_only=front & ~body, page_id=F.col("s.page_id")))
-
-
 def new_notes(notes: DataFrame, state: DataFrame) -> DataFrame:
     return notes.join(state, "note_path", "left_anti")
 
@@ -75,18 +60,56 @@ def renames(notes: DataFrame, state: DataFrame, rename_on: str = "full_hash") ->
     return new.withColumnRenamed("note_path", "path").join(old, ["hash", "__r"]).drop("__r")
 
 
+def _change(**values: Column) -> Column:
+    return F.struct(*_row(**values))
+
+
+def _changes(notes: DataFrame, state: DataFrame, seen: DataFrame | None, rename_on: str) -> DataFrame:
+    """All changes in one pass: notes and state meet in one full outer join on the path; new and vanished notes of equal hash are
+    ranked by path within their side and meet by (hash, rank); every meeting emits its changes.
+
+    ``seen``: note_path, last_edited, archived of state rows whose page changed remotely.
+    """
+    n = notes.select("note_path", F.struct("content_hash", "frontmatter_hash", "full_hash", "mtime").alias("n"))
+    s = state.select("note_path", "page_id", "content_hash", "frontmatter_hash", "status", "remote_mtime")
+    if seen is not None:
+        s = s.join(seen.select("note_path", "last_edited", "archived", F.lit(True).alias("seen")), "note_path", "left")
+    else:
+        s = s.withColumns({"last_edited": F.lit(None).cast("timestamp"), "archived": F.lit(None).cast("boolean"), "seen": F.lit(None).cast("boolean")})
+    s = s.select("note_path", F.struct(*s.columns[1:]).alias("s"))
+    gone = F.col("n").isNull() & (_text("s.page_id") != "") & (F.coalesce(F.col("s.status"), F.lit("")) == "synced")
+    side = F.when(F.col("s").isNull(), "new").when(gone, "gone").otherwise("both")
+    hash_ = F.when(F.col("side") == "new", F.col(f"n.{rename_on}")).when(F.col("side") == "gone", F.col("s.content_hash"))
+    rows = n.join(s, "note_path", "full_outer").withColumn("side", side)
+    rows = rows.withColumn("meet", F.coalesce(F.concat(F.lit("h"), hash_), F.concat(F.lit("p"), "note_path")))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("meet", "side").orderBy("note_path")))
+    one = lambda kind: F.first(F.when(F.col("side") == kind, F.struct("note_path", "n", "s")), ignorenulls=True).alias(kind)
+    met = rows.groupBy("meet", "rank").agg(one("new"), one("gone"), one("both"))
+
+    n, s = F.col("both.n"), F.col("both.s")
+    body, front = n["content_hash"] != _text(s["content_hash"]), n["frontmatter_hash"] != _text(s["frontmatter_hash"])
+    differs = n.isNotNull() & (body | front)
+    touched = F.coalesce(s["seen"], F.lit(False))
+    conflict = touched | (F.coalesce(s["status"], F.lit("pending")) == "conflict")
+    changed = _change(path=F.col("both.note_path"), type=F.when(conflict, "conflict").otherwise("modified"), direction=F.when(conflict, "both").otherwise("push"), local_hash=n["full_hash"], local_mtime=n["mtime"], remote_mtime=F.when(touched, s["last_edited"]).otherwise(s["remote_mtime"]), frontmatter_only=front & ~body, page_id=s["page_id"])
+    remote_only = lambda path, s: _change(path=path, type=F.when(s["archived"], "deleted").otherwise("modified"), direction=F.lit("pull"), remote_mtime=s["last_edited"], frontmatter_only=F.lit(False), page_id=s["page_id"])
+    new, old = F.col("new"), F.col("gone")
+    renamed = _change(path=new["note_path"], old_path=old["note_path"], type=F.lit("renamed"), direction=F.lit("push"), local_hash=new["n"][rename_on], local_mtime=new["n"]["mtime"], frontmatter_only=F.lit(False), page_id=old["s"]["page_id"])
+    created = _change(path=new["note_path"], type=F.lit("created"), direction=F.lit("push"), local_hash=new["n"]["full_hash"], local_mtime=new["n"]["mtime"], frontmatter_only=F.lit(False))
+    old_seen = F.coalesce(old["s"]["seen"], F.lit(False))
+    deleted = _change(path=old["note_path"], type=F.when(old_seen, "conflict").otherwise("deleted"), direction=F.when(old_seen, "both").otherwise("push"), remote_hash=old["s"]["content_hash"], remote_mtime=F.when(old_seen, old["s"]["last_edited"]), frontmatter_only=F.lit(False), page_id=old["s"]["page_id"])
+    moved = new.isNotNull() & old.isNotNull()
+    out = F.array(
+        F.when(F.col("both").isNotNull(), F.when(differs, changed).when(touched, remote_only(F.col("both.note_path"), s))),
+        F.when(moved, renamed).when(new.isNotNull(), created).when(old.isNotNull(), deleted),
+        F.when(moved & old_seen, remote_only(old["note_path"], old["s"])),
+    )
+    return met.select(F.explode(F.filter(out, lambda c: c.isNotNull())).alias("c")).select("c.*")
+
+
 def local_changes(notes: DataFrame, state: DataFrame, rename_on: str = "full_hash") -> DataFrame:
     """Every change a push would carry: modified and conflicting, renamed, created, deleted; a path is in one row at most."""
-    moved = renames(notes, state, rename_on)
-    created = new_notes(notes, state).join(moved.select(F.col("path").alias("note_path")), "note_path", "left_anti")
-    deleted = vanished(notes, state).join(moved.select(F.col("old_path").alias("note_path")), "note_path", "left_anti")
-    parts = [
-        modified(notes, state),
-        moved.select(*_row(path=F.col("path"), old_path=F.col("old_path"), type=F.lit("renamed"), direction=F.lit("push"), local_hash=F.col("hash"), local_mtime=F.col("mtime"), frontmatter_only=F.lit(False), page_id=F.col("page_id"))),
-        created.select(*_row(path=F.col("note_path"), type=F.lit("created"), direction=F.lit("push"), local_hash=F.col("full_hash"), local_mtime=F.col("mtime"), frontmatter_only=F.lit(False))),
-        deleted.select(*_row(path=F.col("note_path"), type=F.lit("deleted"), direction=F.lit("push"), remote_hash=F.col("content_hash"), frontmatter_only=F.lit(False), page_id=F.col("page_id"))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return _changes(notes, state, None, rename_on)
 
 
 def _edited(remote: str, local: str) -> Column:
@@ -99,21 +122,10 @@ def all_changes(notes: DataFrame, state: DataFrame, remote: DataFrame, rename_on
     """Local changes overlaid with remote ones. A remote row with an error counts as unseen.
 
     Archived pages: a local change becomes a conflict, else the note is deleted by the pull. Pages edited since: a local
-    change becomes a conflict; else a missing note is pulled, one whose hashes differ conflicts, others are pulled.
+    change becomes a conflict; an unchanged or missing note is pulled.
     """
-    local = local_changes(notes, state, rename_on)
     seen = state.where(_text("page_id") != "").join(remote.where(F.col("error").isNull()).select("page_id", "last_edited", "archived"), "page_id")
-    seen = seen.where(F.col("archived") | _edited("last_edited", "remote_mtime"))
-    seen = seen.select(F.col("note_path").alias("path"), "last_edited", "archived", F.col("page_id").alias("r_page"), F.col("content_hash").alias("s_body"), F.col("frontmatter_hash").alias("s_front"))
-    hit = F.col("last_edited").isNotNull() | F.col("archived").isNotNull()
-    overlaid = local.join(seen.select("path", "last_edited", "archived"), "path", "left")
-    overlaid = overlaid.withColumns({"type": F.when(hit, "conflict").otherwise(F.col("type")), "direction": F.when(hit, "both").otherwise(F.col("direction")), "remote_mtime": F.when(hit, F.col("last_edited")).otherwise(F.col("remote_mtime"))}).select(*CHANGE)
-    rest = seen.join(local.select("path"), "path", "left_anti").join(notes.select(F.col("note_path").alias("path"), F.col("content_hash").alias("n_body"), F.col("frontmatter_hash").alias("n_front"), F.col("full_hash").alias("n_full")), "path", "left")
-    differs = F.col("n_body").isNotNull() & ((F.col("n_body") != _text("s_body")) | (F.col("n_front") != _text("s_front")))
-    conflict = ~F.col("archived") & differs
-    kind = F.when(F.col("archived"), "deleted").when(conflict, "conflict").otherwise("modified")
-    extra = rest.select(*_row(path=F.col("path"), type=kind, direction=F.when(conflict, "both").otherwise("pull"), local_hash=F.when(conflict, F.col("n_full")), remote_mtime=F.col("last_edited"), frontmatter_only=F.lit(False), page_id=F.col("r_page")))
-    return overlaid.unionByName(extra)
+    return _changes(notes, state, seen.where(F.col("archived") | _edited("last_edited", "remote_mtime")), rename_on)
 
 
 def remote_changes(state: DataFrame, remote: DataFrame) -> DataFrame:
