@@ -179,3 +179,19 @@ def title(fm: Column) -> Column:
 
 def has(fm: Column, key: str) -> Column:
     return F.try_variant_get(fm, f"$.{key}", "variant").isNotNull()
+
+
+# frontmatter as a map of strings
+
+
+def set_key(mapping: Column, key: str, value: Column) -> Column:
+    return F.map_concat(F.map_filter(mapping, lambda k, _: k != key), F.create_map(F.lit(key), value))
+
+
+def delete_key(mapping: Column, key: str) -> Column:
+    return F.map_filter(mapping, lambda k, _: k != key)
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """The right side wins."""
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)

@@ -172,3 +172,15 @@ def duration(seconds: Column) -> Column:
     whole = F.floor(s)
     short = F.when(s < 1, F.format_string("%dms", F.floor(s * 1000))).when(s < 60, F.format_string("%.1fs", s))
     return short.when(s < 3600, F.format_string("%dm%ds", F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%dh%dm", F.floor(whole / 3600), F.floor(whole / 60) % 60))
+
+
+def replace_links(body: Column, pages: Column) -> Column:
+    """Links whose page ``pages`` (a map from target to new target) names point to its new target; alias, heading and block stay."""
+    pieces = F.split(body, r"(?=\[\[)|(?<=\]\])")
+
+    def piece(p: Column) -> Column:
+        inner = F.regexp_extract(p, r"(?s)^\[\[([^\]|#^]+)", 1)
+        new = F.element_at(pages, inner)
+        return F.when(p.startswith("[[") & p.endswith("]]") & new.isNotNull(), F.concat(F.lit("[["), new, F.substr(p, F.length(inner) + 3))).otherwise(p)
+
+    return F.array_join(F.transform(pieces, piece), "")

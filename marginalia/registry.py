@@ -536,3 +536,85 @@ def parallel_map(s, d):
         return str(x * 10)
 
     return run(v.table(s, d, "nation").select("n_nationkey"), ten, "n_nationkey")
+
+
+@query(with_views("SELECT path, replace(replace('[[' || lang || '-1|a]] [[Doc#H^b]] ![[x]]', '[[' || lang || '-1|', '[[one|'), '[[Doc#', '[[Title#') AS body FROM notes", "notes"))
+def replace_links(s, d):
+    lang = F.regexp_extract("path", "/([a-z]+)-", 1)
+    body = F.concat(F.lit("[["), lang, F.lit("-1|a]] [[Doc#H^b]] ![[x]]"))
+    names = F.create_map(F.concat(lang, F.lit("-1")), F.lit("one"), F.lit("Doc"), F.lit("Title"))
+    return v.notes(s, d).select("path", text.replace_links(body, names).alias("body"))
+
+
+@query("SELECT n_name, n_name AS target, 'a' || n_nationkey AS alias, CASE WHEN n_nationkey % 2 = 0 THEN 'H' ELSE '' END AS heading, n_nationkey % 3 = 0 AS is_embed FROM nation")
+def parse_links(s, d):
+    k = F.col("n_nationkey")
+    raw = F.concat(F.when(k % 3 == 0, "!").otherwise(""), F.lit("[["), "n_name", F.when(k % 2 == 0, "#H").otherwise(""), F.lit("|a"), k, F.lit("]]"))
+    return v.table(s, d, "nation").select("n_name", text.parse_link(raw).alias("p")).select("n_name", "p.target", "p.alias", "p.heading", "p.is_embed")
+
+
+@query("SELECT n_name, '[[' || n_name || '#H|' || r_name || ']]' AS link, r_name AS shown FROM nation JOIN region ON n_regionkey = r_regionkey")
+def format_links(s, d):
+    joined = v.table(s, d, "nation").join(F.broadcast(v.table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.select("n_name", text.format_link(F.col("n_name"), F.col("r_name"), F.lit("H"), F.lit(""), F.lit(False)).alias("link"), text.display(F.col("n_name"), F.col("r_name")).alias("shown"))
+
+
+@query("SELECT p_partkey, 'Name' AS name, 'title' AS type, p_name AS value FROM part UNION ALL SELECT p_partkey, 'Brand', 'select', p_brand FROM part")
+def mapping_rules(s, d):
+    from .operators.properties import rule_join
+
+    fm = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("other"), F.lit("x"))
+    rules = s.createDataFrame([("name", "Name", "title"), ("brand", "Brand", "select"), ("gone", "Gone", "url")], "key string, name string, type string")
+    found = rule_join(v.table(s, d, "part").select(F.col("p_partkey").alias("path"), fm.alias("fm")), rules)
+    return found.select(F.col("path").alias("p_partkey"), "name", "type", "value")
+
+
+@query(with_views("SELECT page_id, title FROM remote WHERE contains(lower(title), 'title 1')", "remote"))
+def search_pages(s, d):
+    from .sources.remote import search
+
+    return search(v.remote_pages(s, d), "Title 1").select("page_id", "title")
+
+
+@query(with_views("SELECT page_id, archived OR page_id IN (SELECT page_id FROM state WHERE status = 'conflict' AND page_id IS NOT NULL) AS archived FROM remote", "remote", "state"))
+def archive_pages(s, d):
+    from .sources.remote import archive
+
+    return archive(v.remote_pages(s, d), st.conflicts(v.sync_state(s, d)).where("page_id is not null")).select("page_id", "archived")
+
+
+@query(with_views("SELECT page_id, coalesce(max('Renamed ' || s.note_path), max(title)) AS title FROM remote LEFT JOIN (SELECT page_id, note_path FROM state WHERE status = 'pending') s USING (page_id) GROUP BY page_id", "remote", "state"))
+def update_titles(s, d):
+    from .sources.remote import update_titles as update
+
+    new = st.lookup(v.sync_state(s, d), "status", "pending").where("page_id is not null").select("page_id", F.concat(F.lit("Renamed "), "note_path").alias("title"))
+    return update(v.remote_pages(s, d), new).select("page_id", "title")
+
+
+@query("SELECT conv_id, count(*) AS blocks, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def full_pages(s, d):
+    from .sources.remote import full_pages as pages
+
+    rows = v.table(s, d, "conversations")
+    blocks = rows.select(F.col("conv_id").alias("page_key"), F.array(F.col("turn").cast("int")).alias("block_path"), F.lit(0).alias("depth"), F.col("role").alias("type"), F.lit(None).cast("map<string,string>").alias("attrs"), F.lit(None).cast("string").alias("rich_text"))
+    found = pages(rows.select(F.col("conv_id").alias("page_key")).distinct(), blocks.drop("attrs").withColumn("attrs", F.lit("")))
+    return found.select(F.col("page_key").alias("conv_id"), F.size("blocks").cast("bigint").alias("blocks"), F.array_join(F.transform("blocks", lambda b: b["type"]), ",").alias("roles"))
+
+
+@query("SELECT event_id, props FROM events WHERE false UNION ALL SELECT event_id, upper(event_type) || ':' || CAST(event_id % 7 AS VARCHAR) FROM events")
+def frontmatter_values(s, d):
+    from .functions import frontmatter as fm
+
+    j = fm.variant(F.concat(F.lit('{"kind": "'), F.upper("event_type"), F.lit('", "n": '), F.col("event_id") % 7, F.lit(".5}")))
+    typed = v.table(s, d, "events").select("event_id", j.alias("j"))
+    return typed.select("event_id", F.concat(fm.get_string(F.col("j"), "kind"), F.lit(":"), fm.get_int(F.col("j"), "n")).alias("props"))
+
+
+@query("SELECT c_custkey, 'b,c' AS keys, c_mktsegment AS c FROM customer")
+def frontmatter_maps(s, d):
+    from .functions import frontmatter as fm
+    from .operators.properties import sorted_keys
+
+    base = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
+    merged = fm.merge_maps(fm.delete_key(fm.set_key(base, "b", F.lit("3")), "a"), F.create_map(F.lit("c"), F.col("c_mktsegment")))
+    return v.table(s, d, "customer").select("c_custkey", F.array_join(sorted_keys(merged), ",").alias("keys"), merged["c"].alias("c"))
