@@ -127,7 +127,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     verdicts = scratch.save(exact_duplicates(docs, id_col, text_col), "verdicts")
     stay = verdicts.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
     out = docs.withColumn("__own", F.sha2(text_or_empty(text_col).cast("binary"), 256))
-    out = out.join(stay, F.col("__own").eqNullSafe(F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    # A sort-merge join at every size: what stays grows with the documents.
+    out = out.join(stay.hint("merge"), F.col("__own").eqNullSafe(F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     if not verdicts.where(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id"))).isEmpty():
         out = out.dropDuplicates([id_col, "__own"])  # an id repeats with the same text
     return out.drop("__own")

@@ -181,7 +181,8 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     shares = scratch.save(mixed.groupBy(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col("size").alias("__z")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "shares")
     rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": n_words(text_col)})
     same = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    rows = rows.join(shares.where("__copies > 0"), same)
+    # A sort-merge join at every size: the shares grow with the documents.
+    rows = rows.join(shares.where("__copies > 0").hint("merge"), same)
     copies = F.col("__copies")
     if not shares.where("__rows > 1").isEmpty():
         at = F.row_number().over(Window.partitionBy(*keys).orderBy(text_col)) - 1

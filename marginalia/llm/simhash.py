@@ -165,7 +165,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession, "simhash-kept")
     found = near_duplicates(docs, id_col, text_col, words, seed, radius)
     stay = scratch.save(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "stay")
-    out = docs.join(stay.select("__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    # A sort-merge join at every size: what stays grows with the documents.
+    out = docs.join(stay.select("__id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     if not stay.where("__n > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     return out
