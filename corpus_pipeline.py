@@ -16,7 +16,7 @@ from marginalia.llm.queries import BPE_RANKS
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at least 0.5."""
     net = quality_cnn.train(quality_cnn.training_rows(docs, input_table(spark, sf_dir, "labels")))
-    return quality_cnn.score_documents(docs, net, tuple(docs.columns), filter_below=0.5).drop("score")
+    return quality_cnn.score_documents(docs, net, tuple(docs.columns), score_col="__score", filter_below=0.5).drop("__score")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

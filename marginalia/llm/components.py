@@ -26,6 +26,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         hop = scratch.save(best.select(F.col("u").alias("old"), F.least("near", ranked("u")).getField("n").alias("new")), "hop")
         step = edges.join(hop, F.col("u") == F.col("old")).select(F.col("new").alias("u"), "v")
         step = step.join(hop, F.col("v") == F.col("old")).select("u", F.col("new").alias("v"))
+        past = (edges, hop, at)
         edges = scratch.save(step.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
         at = scratch.save(at.join(hop, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "nodes")
+        for table in past:
+            scratch.drop(table)
     return at

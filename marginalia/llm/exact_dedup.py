@@ -102,6 +102,7 @@ def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
         pairs = scratch.save(pairs.agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b")), "pairs")
         names = pairs.select("a", "b").distinct().withColumn("bucket", _bucket("a", "b")).select("a", "b", _name("bucket", "a", "b").alias("name"))
         level = scratch.save(pairs.join(names, ["a", "b"]).select("key", "n", "pos", "name"), "level")
+        scratch.drop(pairs)
         whole.append(level.where("n = 1").select("key", "name"))
     names = whole[0]
     for part in whole[1:]:

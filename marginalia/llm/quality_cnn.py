@@ -165,22 +165,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_
     return [(r["text"], r["quality"]) for r in sorted(got.limit(max_rows).collect(), key=lambda r: r["doc_id"])]
 
 
-def score_documents(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", filter_below: float | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score_col: str = "score", filter_below: float | None = None) -> DataFrame:
     """Columns ``keep`` of every row and its ``score``; whole texts, no shuffle.
 
     Null text counts as empty; an empty text is one chunk of zero bytes and gets a score too. Null and repeated ids pass
-    through. An empty table gives an empty one. A column named ``score`` in ``docs`` may not be in ``keep``.
+    through. An empty table gives an empty one. ``score_col`` names the score, for tables that keep a column so called.
     filter_below: rows that score less are left out, which is how a pipeline rejects them.
     """
     ensure_workers(docs.sparkSession)
-    schema = docs.select(*keep).schema.add("score", "double", False)
+    schema = docs.select(*keep).schema.add(score_col, "double", False)
     # A text that is kept goes to the worker once.
     columns, where = (list(keep), keep.index(text_col)) if text_col in keep else ([*keep, text_col], len(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.array([probability(net, t.as_py() or "") for t in batch.column(where)], np.float64)
-            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores)], names=[*keep, "score"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores)], names=[*keep, score_col])
             yield out if filter_below is None else out.filter(pa.array(scores >= filter_below))
 
     return docs.select(*columns).mapInArrow(run, schema)

@@ -93,17 +93,20 @@ def reachable(chain: DataFrame, scratch: Scratch) -> DataFrame:
     """(file, at) of what pointer jumping reaches from at = 0 in ``chain`` (file, at, next)."""
     jump = scratch.save(chain, "jump")
     reached = scratch.save(chain.where("at = 0").select("file", "at").distinct(), "reached")
-    new = reached
     count = reached.count()
     while count:
         ahead = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
         new = ahead.join(chain.select("file", "at"), ["file", "at"], "left_semi").join(reached, ["file", "at"], "left_anti")
+        past = [reached]
         reached, before = scratch.save(reached.unionByName(new.distinct()), "reached"), count
         count = reached.count()
         if count == before:
             break
         over = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
+        past.append(jump)
         jump = scratch.save(jump.join(over, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "jump")
+        for table in past:
+            scratch.drop(table)
     return reached
 
 
