@@ -85,11 +85,11 @@ def _shouts(d: Document) -> bool:
     return 2 * sum(map(str.isupper, letters)) > len(letters)
 
 
-#: Rejected: a tenth of the characters are symbols; over three tenths of the lines repeat; words of under 2 or over 15
+#: Rejected: over a twentieth of the characters are symbols; over half the lines repeat; words of under 2 or over 15
 #: characters on average; over half the letters are capitals.
 RULES = (
-    Rule("symbols", lambda d: 10 * d.n_symbols > d.word_chars),
-    Rule("repeated_lines", lambda d: 10 * d.n_dup_lines > 3 * len(d.lines)),
+    Rule("symbols", lambda d: 20 * d.n_symbols > d.word_chars),
+    Rule("repeated_lines", lambda d: 2 * d.n_dup_lines > len(d.lines)),
     Rule("word_length", lambda d: not 2 * len(d.words) <= d.word_chars <= 15 * len(d.words)),
     Rule("capitals", _shouts),
 )

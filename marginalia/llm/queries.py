@@ -116,7 +116,7 @@ ORACLE: dict[str, str] = {
               FROM t JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
         b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT (base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines
+               NOT (base_failed OR 20 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines
                     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * capitals > letters) AS kept
         FROM b
     """,
