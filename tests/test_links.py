@@ -92,3 +92,16 @@ def test_topk_and_repair(spark):
     assert fuzzy["MyNot"] == ("fuzzy", "MyNote.md", True) and fuzzy["nothing like it"] == (None, None, False)
     wide = {r["target"]: (r["page"], r["heading"], r["how"]) for r in links.resolve_extended(links_of(spark, [("s", "MyNot#H"), ("s", "MyNote^b")]), state, none).collect()}
     assert wide == {"MyNot#H": ("MyNot", "H", "fuzzy"), "MyNote^b": ("MyNote", "", "exact")}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_topk_equals_all_matches(spark, k):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choice("abc1 ") for _ in range(rng.randint(1, 9))).strip() for _ in range(80)} - {""})
+    state = state_of(spark, {f"{d}/{n}.md": f"{d}{n}" for n in names for d in ("x", "y")})
+    table = links_of(spark, [("s", n[:-1] + "z") for n in names] + [("s", n) for n in names[:20]] + [("s", ""), ("s", "no such name")])
+    best = {}
+    for r in links.fuzzy_matches(table, state).collect():
+        best.setdefault(r["target"], []).append((-r["score"], r["distance"], r["note_path"]))
+    want = {(t, i + 1, p) for t, rows in best.items() for i, (_, _, p) in enumerate(sorted(rows)[:k])}
+    assert {(r["target"], r["rank"], r["note_path"]) for r in links.fuzzy_topk(table, state, k).collect()} == want
