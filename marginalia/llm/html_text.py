@@ -32,8 +32,12 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 DROP = frozenset("script style noscript template head title nav footer aside menu dialog form button select textarea fieldset iframe object svg math canvas audio video map datalist".split())
 REGION = frozenset(("article", "main"))
 #: Words of class and id values that mark what is not content.
-DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent dialog disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pagination pager popup popups promo promoted promotion promotions related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split())
+DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent dialog discussion feedback paywall disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pagination pager popup popups promo promoted promotion promotions related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status note".split())
+#: Of those the ones that may hold an article's own headings.
+HEADER_WORDS = frozenset(("header", "masthead"))
+#: A class with one of these in front tells of something elsewhere on the page.
+_ABOUT = re.compile(r"(?:has|with|no|without|hide|show)[-_]", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -47,14 +51,18 @@ class Line:
     region: int
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(attrs: list[tuple[str, str | None]]) -> str | None:
+    """What marks an element as no content: ``header`` if that alone does, else ``other``."""
+    found = None
     for name, value in attrs:
         if name in ("class", "id") and value:
-            if any(w.lower() in DROP_WORDS for w in _WORDS.findall(value)):
-                return True
+            words = {w.lower() for part in value.split() if not _ABOUT.match(part) for w in _WORDS.findall(part)} & DROP_WORDS
+            if words - HEADER_WORDS:
+                return "other"
+            found = "header" if words else found
         elif (name == "role" and (value or "").lower() in DROP_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+            return "other"
+    return found
 
 
 class Lines(HTMLParser):
@@ -63,12 +71,12 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._open: list[tuple[str, bool, int]] = []  # element, dropped from here on, region
+        self._open: list[tuple[str, bool, int, str | None]] = []  # element, dropped from here on, region, why it drops
         self._parts: list[str] = []
         self._tags = self._linked = self._regions = self._links = 0
 
     def _state(self) -> tuple[bool, int]:
-        return self._open[-1][1:] if self._open else (False, 0)
+        return self._open[-1][1:3] if self._open else (False, 0)
 
     def _flush(self) -> None:
         text = " ".join("".join(self._parts).split())
@@ -88,17 +96,19 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         dropped, region = self._state()
-        marked = bool(attrs) and tag not in ("html", "body") and _marked(attrs)
-        if tag in REGION and not marked:
+        why = _marked(attrs) if attrs and tag not in ("html", "body") else None
+        if tag in REGION and not why:
             # An article stands on its own even where an element before it was never closed; inside comments it is one.
             if not region:
                 self._regions += 1
                 dropped, region = False, self._regions
-        elif tag in DROP or tag == "header" or marked:
+        elif tag in DROP or tag == "header" or why:
+            why = "other" if tag in DROP else why or "header"
             dropped = True
-        elif tag in _HEADINGS and region and self._open and self._open[-1][0] == "header":
-            dropped = any(d for name, d, _ in self._open if name != "header")
-        self._open.append((tag, dropped, region))
+        elif tag in _HEADINGS and region:
+            # An article's own header keeps its headings.
+            dropped = any(x[3] == "other" for x in self._open if x[2] == region)
+        self._open.append((tag, dropped, region, why))
         self._links += tag == "a"
 
     def _close_implied(self, tag: str) -> None:

@@ -55,3 +55,10 @@ def test_table(spark):
     odd = spark.createDataFrame([(None, None, None, "t"), (1, "u", "", "t"), (1, "u", "", "t")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in html_text.extract(odd).collect()] == [("", 0)] * 3
     assert html_text.extract(odd.limit(0)).count() == 0
+
+
+def test_headers_and_wrappers():
+    page = f"<div class='page has-sidebar'><div class='article-header'><p>by me</p></div><p>{P1}</p><p>{P2}</p></div>"
+    assert html_text.main_text(page) == f"{P1}\n{T2}"
+    page = f"<nav>n</nav><article><div class='entry-header'><div><h1>T</h1></div><p>by me</p></div><p>{P1}</p><div class='share'><h2>Share</h2></div></article>"
+    assert html_text.main_text(page) == f"T\n{P1}"
