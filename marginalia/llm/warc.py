@@ -90,13 +90,16 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def reachable(chain: DataFrame, scratch: Scratch) -> DataFrame:
-    """(file, at) of what pointer jumping reaches from at = 0 in ``chain`` (file, at, next)."""
+    """(file, at) of what pointer jumping reaches from at = 0 in ``chain`` (file, at, next).
+
+    All joins are sort-merge: file names compress so well that a table looks small enough to broadcast long after it isn't.
+    """
     jump = scratch.save(chain, "jump")
     reached = scratch.save(chain.where("at = 0").select("file", "at").distinct(), "reached")
     count = reached.count()
     while count:
-        ahead = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        new = ahead.join(chain.select("file", "at"), ["file", "at"], "left_semi").join(reached, ["file", "at"], "left_anti")
+        ahead = reached.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at"))
+        new = ahead.join(chain.select("file", "at").hint("merge"), ["file", "at"], "left_semi").join(reached.hint("merge"), ["file", "at"], "left_anti")
         past = [reached]
         reached, before = scratch.save(reached.unionByName(new.distinct()), "reached"), count
         count = reached.count()
@@ -104,7 +107,7 @@ def reachable(chain: DataFrame, scratch: Scratch) -> DataFrame:
             break
         over = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
         past.append(jump)
-        jump = scratch.save(jump.join(over, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "jump")
+        jump = scratch.save(jump.join(over.hint("merge"), ["file", "next"]).select("file", "at", F.col("far").alias("next")), "jump")
         for table in past:
             scratch.drop(table)
     return reached
@@ -148,7 +151,7 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     placed = narrow.join(splits, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s"))).select("file", "split", "local", at.alias("at"), "head_len", "body_len", (at + _SEP + F.col("head_len") + F.col("body_len") + 4).alias("next"), (F.col("seg_len") >= F.col("head_len") + F.col("body_len")).alias("whole"))
     placed = scratch.save(placed, "placed")
     reached = reachable(placed.where("head_len is not null").select("file", "at", "next"), scratch)
-    marked = scratch.save(placed.join(reached.withColumn("real", F.lit(True)), ["file", "at"], "left"), "marked")
+    marked = scratch.save(placed.join(reached.withColumn("real", F.lit(True)).hint("merge"), ["file", "at"], "left"), "marked")
 
     # All candidates are records with their stretches whole, but for those in ``odd``.
     odd = marked.where("real is null or not whole").select("file", "split", "local")
