@@ -119,6 +119,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     named = identities(docs, scratch, id_col, text_col, block_bytes)
     groups = named.groupBy("n_bytes", "name").agg(F.max(F.struct("id", "key")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join has an exchange on both sides and a group of a third of all rows can be split.
+    groups = scratch.save(groups, "groups")
     return named.join(groups, ["n_bytes", "name"]).select(F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", (F.col("key") == F.col("keep.key")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
