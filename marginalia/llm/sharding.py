@@ -43,6 +43,7 @@ def _propagate(linked: DataFrame, quotas: list[int], scratch: Scratch, rounds: i
     for _ in range(rounds):
         votes = linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
         lead = votes.groupBy(F.col("grp").alias("g")).agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("h"), F.col("shard").alias("to"))).getField("to").alias("to"))
+        lead = scratch.save(lead, "lead")  # so that the join has an exchange on both sides and a hot group can be split
         asked = scratch.save(linked.join(lead, F.col("grp") == F.col("g")).select("key", "grp", "shard", "to", _cell("grp", CELLS).alias("cell"), F.pmod(F.xxhash64("key"), F.lit(CELLS)).cast("int").alias("sub")), "asked")
         # At most n_shards * n_shards counts, and n_shards * CELLS of requests.
         stay = [0] * n_shards
@@ -88,7 +89,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 6, id_col
     rows = scratch.save(base.withColumn("key", F.monotonically_increasing_id()), "rows")
     total = rows.count()
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    groups = rows.groupBy(F.col("sha").alias("g")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    groups = rows.groupBy(F.col("sha").alias("g")).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("g")
+    groups = scratch.save(groups, "groups")  # so that the join has an exchange on both sides and a hot group can be split
     linked = rows.join(groups, F.col("sha") == F.col("g")).select("key", F.col("sha").alias("grp"), F.pmod(F.xxhash64("id", "key"), F.lit(n_shards)).cast("int").alias("shard"))
     linked = _propagate(scratch.save(linked, "linked"), quotas, scratch, rounds)
     placed = rows.join(linked.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").drop("k", "grp", "sha")
