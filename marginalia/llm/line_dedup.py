@@ -77,7 +77,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     for size in sorted(ranks):
         # A rank's places are worth deleting all or none: their lines are equal.
         at = worth(size)
-        first = at.groupBy("rank").agg(F.min(place).alias("first"))
+        # Written, so that the join has an exchange on both sides and a hot rank can be split.
+        first = scratch.save(at.groupBy("rank").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
         later = at.join(first, "rank").where(~place.eqNullSafe(F.col("first"))).select("doc", "h", F.col("pos").alias("start"), (F.col("pos") + size).alias("end"))
         cover = later if cover is None else cover.unionByName(later)
     # Stretches of a document merge where they touch; a document's stretches are fewer than its lines.
