@@ -1,11 +1,13 @@
 """Shards by balanced label propagation.
 
 Documents of a group (equal texts) are linked; a document alone in its group has no links. Linked documents start on the
-shard their id hashes to. In each round every group counts its members per shard (aggregated before the shuffle, so a group
-of a third of all rows is a few counts), and the members elsewhere ask to move to the group's fullest shard. A shard grants
-moves in the order of the groups' hashes until its quota is full: the quota's cut is found in a histogram of bounded size,
-so no shard's requests meet in one task. Rounds end when no move is granted. Documents without links then fill what is
-left of each quota, so they even out the shards at no cost in cut edges.
+shard their id hashes to, and every group counts its members per shard (aggregated before the shuffle, so a group of a third
+of all rows is a few counts). Groups of over a ``HEAVY``-th of a quota, bounded in number, are placed first, one by one: on
+the shard of most members of those they fit, or over as few shards as hold them. The others ask in rounds for the shard of
+most members of those with room. A shard grants cells of groups by their hash, all that still fit; who was refused
+asks again, for shards that have room then. Rounds end when no cell is granted or so few groups are left that they are
+placed one by one. Documents without links then fill what is left of each quota, so they even out the shards at
+no cost in cut edges; groups that no shard could take lie side by side among them.
 
 The law is ``rows``: counts of any two shards differ by one at most. Slots number each shard's rows from 0 without gaps.
 """
@@ -20,10 +22,8 @@ from .common import Scratch, text_or_empty
 
 #: Histogram cells a shard; with the shards they bound what is broadcast or brought to the driver.
 CELLS = 4096
-
-
-def _cell(key: str, cells: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(5), key), F.lit(cells)).cast("int")
+#: Groups of over this part of a quota are placed one by one.
+HEAVY = 16
 
 
 def _numbered(df: DataFrame, by: str, cell: str, order: list[str]) -> DataFrame:
@@ -37,50 +37,52 @@ def _numbered(df: DataFrame, by: str, cell: str, order: list[str]) -> DataFrame:
     return joined.withColumn("at", F.col("__before") + F.col("__here") - 1).drop("__by", "__cell", "__before", "__here")
 
 
-def _propagate(linked: DataFrame, quotas: list[int], scratch: Scratch, rounds: int) -> DataFrame:
-    """Moves linked rows (key, grp, shard) towards their groups' shards within the quotas."""
-    n_shards = len(quotas)
-    for _ in range(rounds):
-        votes = linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
-        lead = votes.groupBy(F.col("grp").alias("g")).agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("h"), F.col("shard").alias("to"))).getField("to").alias("to"))
-        lead = scratch.save(lead, "lead")  # so that the join has an exchange on both sides and a hot group can be split
-        asked = scratch.save(linked.join(lead, F.col("grp") == F.col("g")).select("key", "grp", "shard", "to", _cell("grp", CELLS).alias("cell"), F.pmod(F.xxhash64("key"), F.lit(CELLS)).cast("int").alias("sub")), "asked")
-        # At most n_shards * n_shards counts, and n_shards * CELLS of requests.
-        stay = [0] * n_shards
-        for r in asked.where("shard = to").groupBy("to").count().collect():
-            stay[r["to"]] = r["count"]
-        requests: dict[int, list[tuple[int, int]]] = {}
-        for r in asked.where("shard <> to").groupBy("to", "cell").count().collect():
-            requests.setdefault(r["to"], []).append((r["cell"], r["count"]))
-        if not requests:
-            break
-        # Those that ask to leave may be refused, so they count as staying until they are gone.
-        leaving = {r["shard"]: r["count"] for r in asked.where("shard <> to").groupBy("shard").count().collect()}
-        granted, part = [-1] * n_shards, [0.0] * n_shards
-        for to, cells in requests.items():
-            room = quotas[to] - stay[to] - leaving.get(to, 0)
-            for cell, n in sorted(cells):
-                if n > room:
-                    part[to] = max(0, room) / n  # of the cell that overflows, this share by the rows' hashes
-                    break
-                room -= n
-                granted[to] = cell
-        cut = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("to") + 1)
-        next_cell = F.col("cell") == F.element_at(F.array(*[F.lit(min((c for c, _ in requests.get(s, []) if c > granted[s]), default=-1)) for s in range(n_shards)]), F.col("to") + 1)
-        move = (F.col("shard") != F.col("to")) & ((F.col("cell") <= cut(granted, "int")) | (next_cell & (F.col("sub") < F.floor(cut(part, "double") * CELLS * 0.98))))
-        moved = scratch.save(asked.select("key", "grp", F.when(move, F.col("to")).otherwise(F.col("shard")).alias("shard"), move.alias("moved")), "moved")
-        linked = moved.select("key", "grp", "shard")
-        if moved.where("moved").isEmpty():
-            break
-    return linked
-
-
-def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pack(groups: list, room: list[int]) -> list[tuple[str, int, int, int]]:
+    """(group, first, end, shard) of ``groups`` (g, members, at), largest first: which of a group's rows go where. Takes from ``room``."""
+    out = []
+    for r in sorted(groups, key=lambda r: (-r["members"], r["g"])):
+        done = 0
+        while done < r["members"]:
+            left = r["members"] - done
+            fits = [s for s in range(len(room)) if room[s] >= left]
+            to = max(fits, key=lambda s: (r["at"][s], -room[s])) if fits else max(range(len(room)), key=lambda s: (room[s], r["at"][s]))
+            n = min(left, room[to])
+            out.append((r["g"], done, done + n, to))
+            room[to] -= n
+            done += n
+    return out
+
+
+def _propagate(light: DataFrame, room: list[int], scratch: Scratch) -> tuple[list[DataFrame], list]:
+    """Tables (g, to) of the groups ``light`` (g, members, at) that were granted a shard, and the last few groups. Takes from ``room``."""
+    settled, turn = [], 0
+    while True:
+        if light.limit(CELLS + 1).count() <= CELLS and turn:
+            return settled, light.collect()
+        turn += 1
+        free = F.array(*[F.lit(n).cast("long") for n in room])
+        wish = lambda n, s: F.when(F.element_at(free, s + 1) >= F.col("members"), F.struct(n.alias("n"), F.xxhash64(F.lit(turn), F.col("g"), s).alias("h"), s.alias("to")))  # noqa: B023, E731
+        asked = light.withColumn("to", F.array_max(F.transform("at", wish)).getField("to")).withColumn("cell", F.pmod(F.xxhash64(F.lit(turn), F.lit(5), "g"), F.lit(CELLS)).cast("int"))
+        asked = scratch.save(asked, "asked")
+        granted = [bytearray(b"0" * CELLS) for _ in room]
+        # At most n_shards * CELLS counts.
+        for r in sorted(asked.where("to is not null").groupBy("to", "cell").agg(F.sum("members").alias("n")).collect(), key=lambda r: (r["to"], r["cell"])):
+            if r["n"] <= room[r["to"]]:
+                room[r["to"]] -= r["n"]
+                granted[r["to"]][r["cell"]] = ord("1")
+        if not any(b"1" in g for g in granted):
+            return settled, []
+        yes = F.coalesce(F.substring(F.element_at(F.array(*[F.lit(g.decode()) for g in granted]), F.col("to") + 1), F.col("cell") + 1, F.lit(1)) == "1", F.lit(False))
+        settled.append(asked.where(yes).select("g", "to"))
+        light = asked.where(~yes).select("g", "members", "at")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, size (UTF-8 bytes of the text and 1), text_crc32, law, shard, slot and grown_shard (null).
 
     Null text has no bytes: size 1, and it is linked to empty texts. Repeated rows are rows like others; null ids too. An empty
     table gives an empty one. Only the two named columns are read. Groups of equal texts stay on one shard as far as quotas let
-    them: a group larger than a shard's quota spreads over as many as it needs.
+    them: a group larger than a shard's quota fills shard after shard.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -89,21 +91,41 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 6, id_col
     rows = scratch.save(base.withColumn("key", F.monotonically_increasing_id()), "rows")
     total = rows.count()
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    groups = rows.groupBy(F.col("sha").alias("g")).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("g")
-    groups = scratch.save(groups, "groups")  # so that the join has an exchange on both sides and a hot group can be split
-    linked = rows.join(groups, F.col("sha") == F.col("g")).select("key", F.col("sha").alias("grp"), F.pmod(F.xxhash64("id", "key"), F.lit(n_shards)).cast("int").alias("shard"))
-    linked = _propagate(scratch.save(linked, "linked"), quotas, scratch, rounds)
-    placed = rows.join(linked.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").drop("k", "grp", "sha")
-
-    # Linked rows over a quota (hash noise when nearly all rows are linked) join the free rows.
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("id", "key"), F.lit(CELLS)).cast("int"))
-    held = scratch.save(_numbered(placed.where("shard is not null"), "shard", "cell", ["id", "key"]), "held")
-    quota_of = F.element_at(F.array(*[F.lit(q).cast("long") for q in quotas]), F.col("shard") + 1)
-    fits = held.where(F.col("at") < quota_of)
-    free = placed.where("shard is null").unionByName(held.where(F.col("at") >= quota_of).withColumn("shard", F.lit(None).cast("int")).drop("at"))
-    free = _numbered(free.withColumn("all", F.lit(0)), "all", "cell", ["id", "key"]).drop("all")
+    start = F.pmod(F.xxhash64("id", "key"), F.lit(n_shards)).cast("int")
+    votes = rows.groupBy(F.col("sha").alias("g"), start.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    groups = votes.groupBy("g").agg(F.sum("n").alias("members"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("m")).where("members > 1")
+    at = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0)))
+    groups = scratch.save(groups.select("g", "members", at.alias("at")), "groups")
+
+    room, bar = list(quotas), max(1, total // n_shards // HEAVY)
+    # At most n_shards * 2 * HEAVY groups.
+    placed = _pack(groups.where(F.col("members") > bar).collect(), room)
+    settled, last = _propagate(groups.where(F.col("members") <= bar), room, scratch)
+    placed += _pack(last, room)
+    parts = spark.createDataFrame(placed, "g string, first long, end long, to int")
+    names = parts.groupBy("g").agg(F.count(F.lit(1)).alias("parts"), F.min("to").alias("shard"))
+
+    known = rows.join(F.broadcast(names), F.col("sha") == F.col("g"), "left").drop("g").withColumn("cell", F.pmod(F.xxhash64("id", "key"), F.lit(CELLS)).cast("int"))
+    known = scratch.save(known, "known")
+    # Few groups have parts: those beyond a quota, and what meets the end of the last room.
+    cut = _numbered(known.where("parts > 1").drop("shard").withColumn("cell", F.col("cell") % 256), "sha", "cell", ["id", "key"])
+    cut = cut.join(F.broadcast(parts), (F.col("sha") == F.col("g")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("end"))).select("id", "size", "crc", "sha", "key", F.col("to").alias("shard"))
+    rest = known.where("parts is null").select("id", "size", "crc", "sha", "key")
+    grants = groups.where("false").select("g", F.lit(0).alias("to"))
+    for table in settled:
+        grants = grants.unionByName(table)
+    light = groups.where(F.col("members") <= bar).select("g").join(scratch.save(grants, "grants"), "g", "left")
+    rest = rest.join(light, F.col("sha") == F.col("g"), "left").select("id", "size", "crc", "sha", "key", F.col("to").alias("shard"), F.col("g").isNotNull().alias("linked"))
+    held = known.where("parts = 1").select("id", "size", "crc", "sha", "key", "shard").unionByName(cut)
+    placed = rest.unionByName(held.withColumn("linked", F.lit(True)))
+
+    # Groups that no shard could take share a cell, so that they lie side by side.
+    spread = F.when(F.col("shard").isNull() & F.col("linked"), F.xxhash64("sha")).otherwise(F.xxhash64("id", "key"))
+    placed = scratch.save(placed.withColumn("cell", F.pmod(spread, F.lit(CELLS)).cast("int")), "placed")
+    held = _numbered(placed.where("shard is not null"), "shard", "cell", ["id", "key"])
+    free = _numbered(placed.where("shard is null").withColumn("all", F.lit(0)), "all", "cell", ["sha", "id", "key"])
     taken = [0] * n_shards
-    for r in fits.groupBy("shard").count().collect():
+    for r in placed.where("shard is not null").groupBy("shard").count().collect():
         taken[r["shard"]] = r["count"]
     shard, slot, start = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
     for s in range(n_shards):
@@ -111,5 +133,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 6, id_col
         shard, slot = F.when(here, F.lit(s)).otherwise(shard), F.when(here, F.col("at") - start + taken[s]).otherwise(slot)
         start += quotas[s] - taken[s]
     free = free.select("id", "size", "crc", shard.alias("shard"), slot.alias("slot"))
-    out = fits.select("id", "size", "crc", "shard", F.col("at").alias("slot")).unionByName(free)
+    out = held.select("id", "size", "crc", "shard", F.col("at").alias("slot")).unionByName(free)
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
