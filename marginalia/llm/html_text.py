@@ -6,6 +6,9 @@ The ratios are smoothed with a Gaussian over the page order and split into two c
 logarithms best; lines of the higher cluster mark the content. The regions selected are the article elements that hold
 such lines, or on pages without any the stretch between the first and the last. Within a region all lines stay but
 those of zero ratio by their element.
+
+A word that is only part of a class (``category-social``, ``layout-with-sidebar``) drops no article or main element that
+stands on its own, and on pages without these none that holds most of the text.
 """
 
 from __future__ import annotations
@@ -37,7 +40,9 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 #: Of those the ones that may hold an article's own headings.
 HEADER_WORDS = frozenset(("header", "masthead"))
 #: A class with one of these in front tells of something elsewhere on the page.
-_ABOUT = re.compile(r"(?:has|with|no|without|hide|show)[-_]", re.I)
+_ABOUT = re.compile(r"(?:has|with|no|without|hide|show)[-_]|.*[-_](?:open|closed|enabled|disabled|free|off)$", re.I)
+#: Of the words those whose elements may well hold more text than the content.
+LONG_WORDS = frozenset("comment comments commentlist discussion disqus replies respond".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -49,40 +54,50 @@ class Line:
     linked: int
     dropped: bool
     region: int
+    sure: bool = False  # dropped whatever becomes of the doubts
+    doubts: tuple[int, ...] = ()
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> str | None:
-    """What marks an element as no content: ``header`` if that alone does, else ``other``."""
-    found = None
+def _marked(attrs: list[tuple[str, str | None]]) -> tuple[str | None, str]:
+    """What marks an element as no content (``header`` if that alone does, else ``other``), and if a ``whole`` class or
+    attribute says so, or a ``part`` of a class, or one of the ``long`` words in a part."""
+    found, how = None, "part"
     for name, value in attrs:
         if name in ("class", "id") and value:
-            words = {w.lower() for part in value.split() if not _ABOUT.match(part) for w in _WORDS.findall(part)} & DROP_WORDS
-            if words - HEADER_WORDS:
-                return "other"
-            found = "header" if words else found
+            for part in value.split():
+                words = set() if _ABOUT.match(part) else {w.lower() for w in _WORDS.findall(part)} & DROP_WORDS
+                if not words:
+                    continue
+                found = "other" if words - HEADER_WORDS else found or "header"
+                if part.lower() in DROP_WORDS:
+                    how = "whole"
+                elif words & LONG_WORDS and how == "part":
+                    how = "long"
         elif (name == "role" and (value or "").lower() in DROP_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return "other"
-    return found
+            return "other", "whole"
+    return found, how
 
 
 class Lines(HTMLParser):
     """Collects the lines of a page."""
 
-    def __init__(self) -> None:
+    def __init__(self, excused: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._open: list[tuple[str, bool, int, str | None]] = []  # element, dropped from here on, region, why it drops
+        # Element, dropped from here on, region, why it drops, surely dropped, doubts: numbers of the elements marked by a part of a class.
+        self._open: list[tuple[str, bool, int, str | None, bool, tuple[int, ...]]] = []
+        self._excused, self._doubts = excused, 0
         self._parts: list[str] = []
         self._tags = self._linked = self._regions = self._links = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return self._open[-1][1:3] if self._open else (False, 0)
+    def _state(self) -> tuple[bool, int, bool, tuple[int, ...]]:
+        return (*self._open[-1][1:3], *self._open[-1][4:]) if self._open else (False, 0, False, ())
 
     def _flush(self) -> None:
         text = " ".join("".join(self._parts).split())
         if text:
-            dropped, region = self._state()
-            self.lines.append(Line(text, self._tags, self._linked, dropped, region))
+            dropped, region, sure, doubts = self._state()
+            self.lines.append(Line(text, self._tags, self._linked, dropped, region, sure, doubts))
             self._tags = self._linked = 0
         self._parts = []
 
@@ -95,20 +110,31 @@ class Lines(HTMLParser):
             self._parts.append(" ")
         if tag in VOID:
             return
-        dropped, region = self._state()
-        why = _marked(attrs) if attrs and tag not in ("html", "body") else None
+        dropped, region, sure, doubts = self._state()
+        why, how = _marked(attrs) if attrs and tag not in ("html", "body") else (None, "")
+        if tag in REGION:
+            # Part of a class tells of a comment only in an article or in what is marked.
+            if how != "whole" and not region and not any(x[3] and x[4] and x[0] not in DROP and x[0] != "header" for x in self._open):
+                why = None
+        elif why and how == "part" and tag not in DROP and tag != "header":
+            self._doubts += 1
+            if self._doubts in self._excused:
+                why = None
+            else:
+                doubts = (*doubts, self._doubts)
         if tag in REGION and not why:
             # An article stands on its own even where an element before it was never closed; inside comments it is one.
             if not region:
                 self._regions += 1
                 dropped, region = False, self._regions
         elif tag in DROP or tag == "header" or why:
+            sure = sure or tag in DROP or tag == "header" or how != "part"
             why = "other" if tag in DROP else why or "header"
             dropped = True
         elif tag in _HEADINGS and region:
             # An article's own header keeps its headings.
             dropped = any(x[3] == "other" for x in self._open if x[2] == region)
-        self._open.append((tag, dropped, region, why))
+        self._open.append((tag, dropped, region, why, sure, doubts))
         self._links += tag == "a"
 
     def _close_implied(self, tag: str) -> None:
@@ -184,12 +210,29 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1((logs[cut] + logs[cut + 1]) / 2))
 
 
-def main_text(html: str) -> str:
-    """The blocks of the content regions, in page order, joined by one line feed."""
-    parser = Lines()
+def _lines(html: str, excused: frozenset[int] = frozenset()) -> list[Line]:
+    parser = Lines(excused)
     for at in range(0, len(html), PIECE):
         parser.feed(html[at : at + PIECE])
-    lines = parser.finish()
+    return parser.finish()
+
+
+def _excused(lines: list[Line]) -> frozenset[int]:
+    """Doubts that hold most of the text that isn't surely dropped."""
+    held: dict[int, int] = {}
+    for x in lines:
+        if not x.sure:
+            for d in x.doubts:
+                held[d] = held.get(d, 0) + len(x.text)
+    most = sum(len(x.text) for x in lines if not x.sure) / 2
+    return frozenset(d for d, n in held.items() if n > most)
+
+
+def main_text(html: str) -> str:
+    """The blocks of the content regions, in page order, joined by one line feed."""
+    lines = _lines(html)
+    if not any(x.region for x in lines) and (excused := _excused(lines)):
+        lines = _lines(html, excused)
     usable = [i for i, x in enumerate(lines) if not x.dropped]
     if not usable:
         return ""
