@@ -49,17 +49,20 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return sum(1 << i for i in range(64) if 2 * int(counts[i]) > n)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp) per row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, digest: bool = False) -> DataFrame:
+    """(id, fp) per row; fp is the fingerprint as a signed long. With ``digest`` also sha, the text's SHA-256."""
     ensure_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            out = {"id": batch.column(0), "fp": pa.array(fps)} | ({"sha": batch.column(2)} if digest else {})
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), *[T.StructField("sha", T.BinaryType())] * digest])
+    text = text_or_empty(text_col)
+    sha = [F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha")] * digest
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), *sha).mapInArrow(run, schema)
 
 
 def _tile(fp: str) -> Column:
@@ -142,6 +145,16 @@ def links(fps: DataFrame, scratch: Scratch, radius: int = 2, block: int = BLOCK)
     return pairs.mapInArrow(run, "u long, v long")
 
 
+def _placed(rows: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """``rows`` (id, fp and others) with root, a fingerprint of the component, and component_id."""
+    least = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = components(scratch.save(links(least, scratch, radius), "links"), scratch)
+    placed = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = scratch.save(placed.join(best, "root").select("fp", "root", "component_id"), "components")
+    return rows.join(of_fp, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """One row per row of ``docs``: its id, fingerprint (16 hex digits) and component_id, the smallest id of all it is linked to.
 
@@ -152,21 +165,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ensure_workers(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    least = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(scratch.save(links(least, scratch, radius), "links"), scratch)
-    placed = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = scratch.save(placed.join(best, "root").select("fp", "component_id"), "components")
-    return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _placed(rows, scratch, radius).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component the row of the smallest id, one if the id repeats."""
+    """The rows of ``docs`` that stay, with all columns: of each component one row of the smallest id, that of the least text hash if
+    the id repeats in it. Rows of other components stay whatever their ids, null ones too."""
     scratch = Scratch(docs.sparkSession, "simhash-kept")
-    found = near_duplicates(docs, id_col, text_col, words, seed, radius)
-    stay = scratch.save(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "stay")
+    rows = scratch.save(fingerprints(docs, id_col, text_col, words, seed, digest=True), "fingerprints")
+    first = _placed(rows, scratch, radius).where(F.col("id").eqNullSafe(F.col("component_id")))
+    stay = scratch.save(first.groupBy("root").agg(F.first("id").alias("__id"), F.min("sha").alias("__sha"), F.count(F.lit(1)).alias("__n")), "stay")
+    out = docs.withColumn("__own", F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
     # A sort-merge join at every size: what stays grows with the documents.
-    out = docs.join(stay.select("__id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    out = out.join(stay.select("__id", "__sha").hint("merge"), (F.col("__own") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     if not stay.where("__n > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    return out
+        out = out.dropDuplicates([id_col, "__own"])  # an id repeats, perhaps with the same text
+    return out.drop("__own")
