@@ -33,6 +33,15 @@ def _header_value(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
+def _marked(c: Column) -> Column:
+    """A value that ends in the version text would, with its line's end, make the reader's delimiter: that gets a percent sign
+    (``WARC/%1.0``), and one more what already has some, so that the reader can undo it."""
+    return F.regexp_replace(c, r"WARC/(%*)1\.0\z", r"WARC/%$11.0")
+
+
+_MARKED = re.compile(r"WARC/%(%*)1\.0\Z")
+
+
 def _checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -57,7 +66,7 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, id_col: str = "pag
     record = F.concat(
         F.lit(VERSION + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), urn("id"),
-        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), _header_value(text_or_empty("url")),
+        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), _marked(_header_value(text_or_empty("url"))),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: "), urn("first"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length,
@@ -125,7 +134,7 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stated = _LENGTH.search(http)
             urn = lambda name: (m[1] or None) if (m := re.fullmatch(r"<urn:page:(.*)>", head.get(name, ""))) else None  # noqa: B023, E731
             digest = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
-            out.append((file, at, head.get("warc-type"), urn("warc-record-id"), head.get("warc-target-uri"), urn("warc-refers-to"), digest, int(stated[1]) if stated else len(payload), payload))
+            out.append((file, at, head.get("warc-type"), urn("warc-record-id"), None if (url := head.get("warc-target-uri")) is None else _MARKED.sub(r"WARC/\g<1>1.0", url), urn("warc-refers-to"), digest, int(stated[1]) if stated else len(payload), payload))
         kinds = (pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary())
         columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], ["file", "offset", "record_type", "record_id", "url", "refers_to", "digest", "stated_bytes", "payload"])
