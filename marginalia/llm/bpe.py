@@ -1,21 +1,19 @@
 """Byte-level BPE as a monoid over text pieces.
 
-``encode`` halves a text until a piece is a leaf, encodes the leaves, and joins
-neighbours up the tree. A join re-encodes a window around the seam. The window
-grows on each side until it ends at a *stable cut*: a place that ends a
-pre-token whatever stands left or right of it. Tokens outside the window are
-then provably those of the whole text.
-
-Stable cuts for the pre-token pattern (letters L, numbers N, white space S, other O):
-no match holds a non-space character and white space after it, none that holds an
-L or N goes on into another class, and one that holds an O goes on into L only as a
-contraction, which starts with an apostrophe. So a cut stands before white space that
-follows a non-space, between N and anything but N, between L and anything but L, and
-between O (not an apostrophe) and L or N.
-
-A single pre-token may itself be huge. Inside it the same tree runs over bytes.
-There a seam is stable when the pair of tokens across it encodes to itself: a token
-sequence is the BPE encoding iff all adjacent pairs are.
+``encode`` halves a text until a piece is a leaf of at most ``LEAF`` characters, encodes the leaves and joins neighbours up
+the tree. A join looks at a window around the seam that grows on each side until it ends at a *stable cut*: a place that
+ends a pre-token whatever stands left or right of it. Tokens outside the window are then provably those of the whole text.
+
+Stable cuts for the pre-token pattern (letters L, numbers N, white space S, other O): no match holds a non-space character
+and white space after it, none that holds an L or N goes on into another class, and one that holds an O goes on into L only
+as a contraction, which starts with an apostrophe. So a cut stands before white space that follows a non-space, between N
+and anything but N, between L and anything but L, and between O (not an apostrophe) and L or N.
+
+The window is cut into pre-tokens anew. One that either side had already encoded up to the seam is joined from those
+tokens, so a pre-token of any length is never encoded twice: the join re-encodes a window of a few tokens at the seam and
+lets it grow until the pair of tokens across each of its ends encodes to itself. A token sequence is the encoding of its
+bytes iff all adjacent pairs are, so the rest stands. Other pre-tokens are encoded from their halves of bytes by the
+same join, down to leaves of ``LEAF_BYTES`` bytes merged by rank, and remembered.
 
 Decoding concatenates byte strings up the same kind of tree.
 """
@@ -25,26 +23,26 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+import heapq
+import itertools
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ensure_workers, text_or_empty
 
-LEAF_CHARS = 4096
-LEAF_BYTES = 2048
-FIRST_WINDOW = 32
-#: Pre-tokens beyond this many characters go through the byte tree.
-HUGE = 4096
+LEAF = 128
+LEAF_BYTES = 16
+LEAF_IDS = 64
+#: Pre-tokens of up to this many characters are remembered, so many at a time.
+MEMO_CHARS, MEMO_SIZE = 64, 1 << 17
 
 _SPACE = regex.compile(r"\s")
 _LETTER = regex.compile(r"\p{L}")
 _NUMBER = regex.compile(r"\p{N}")
-_HUGE_RUN = regex.compile(rf"\S{{{HUGE}}}|\s{{{HUGE}}}")
 
 
 @functools.cache
@@ -69,108 +67,157 @@ class BytePairCodec:
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self._enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._pattern = regex.compile(pattern)
-        self._decimal = [str(i) for i in range(max(ranks.values()) + 1)]
-
-    # encoding
-
-    def encode(self, text: str) -> list[int]:
-        if len(text) >= HUGE and _HUGE_RUN.search(text):
-            return self._with_huge_pieces(text)
-        return self._tree(text, 0, len(text))
-
-    def _tree(self, text: str, lo: int, hi: int) -> list[int]:
-        if hi - lo <= LEAF_CHARS:
-            return self._enc.encode_ordinary(text[lo:hi])
-        mid = (lo + hi) // 2
-        return self._join(text, lo, mid, hi, self._tree(text, lo, mid), self._tree(text, mid, hi))
-
-    def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        start = self._cut_before(text, lo, mid)
-        end = self._cut_after(text, mid, hi)
-        code = self._enc.encode_ordinary
-        n_left, n_right = len(code(text[start:mid])), len(code(text[mid:end]))
-        return left[: len(left) - n_left] + code(text[start:end]) + right[n_right:]
-
-    @staticmethod
-    def _cut_before(text: str, lo: int, mid: int) -> int:
-        """The nearest stable cut inside the left piece; its start if there is none."""
-        size = FIRST_WINDOW
-        at = mid - 1
-        while at > lo:
-            stop = max(lo, mid - size)
-            while at > stop:
-                if is_stable_cut(text, at):
-                    return at
-                at -= 1
-            size *= 2
-        return lo
-
-    @staticmethod
-    def _cut_after(text: str, mid: int, hi: int) -> int:
-        size = FIRST_WINDOW
-        at = mid + 1
-        while at < hi:
-            stop = min(hi, mid + size)
-            while at < stop:
-                if is_stable_cut(text, at):
-                    return at
-                at += 1
-            size *= 2
-        return hi
-
-    def _with_huge_pieces(self, text: str) -> list[int]:
-        """Runs between huge pre-tokens go through the text tree, the huge ones through the byte tree."""
-        ids: list[int] = []
-        run = 0
-        for m in self._pattern.finditer(text):
-            if m.end() - m.start() >= HUGE:
-                ids += self._exact_run(text, run, m.start())
-                ids += self._byte_tree(m.group().encode())
-                run = m.end()
-        return ids + self._exact_run(text, run, len(text))
-
-    def _exact_run(self, text: str, lo: int, hi: int) -> list[int]:
-        """text[lo:hi] begins and ends at pre-tokens of the text; alone, only a white-space tail could differ."""
-        if lo == hi:
-            return []
-        tail = hi
-        while tail > lo and _kind(text[tail - 1]) == "S":
-            tail -= 1
-        ids = self._tree(text, lo, tail) if tail > lo else []
-        for m in self._pattern.finditer(text, tail):
-            if m.start() >= hi:
-                break
-            ids += self._enc._encode_single_piece(m.group())
+            self._ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self._words = [b""] * (max(self._ranks.values()) + 1)
+        for word, i in self._ranks.items():
+            self._words[i] = word
+        self._lengths = [len(w) for w in self._words]
+        self._split = regex.compile(pattern).findall
+        self._decimal = [str(i) for i in range(len(self._words))]
+        self._memo: dict[str, list[int]] = {}
+        self._merged: dict[bytes, list[int]] = {}
+
+    # bytes of one pre-token
+
+    def _merge(self, data: bytes) -> list[int]:
+        """The encoding of some bytes: the adjacent pair of least rank merges, the first of equals, until none can."""
+        if (ids := self._merged.get(data)) is not None:
+            return ids
+        ranks, n = self._ranks, len(data)
+        # A part is known by its first byte; pairs wait in a heap and are void once either part has merged.
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        waiting = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, stop = heapq.heappop(waiting)
+            middle = end[i]
+            if middle <= 0 or middle >= n or end[middle] != stop:
+                continue
+            end[i], end[middle], before[stop] = stop, 0, i
+            if i > 0 and (rank := ranks.get(data[before[i] : stop])) is not None:
+                heapq.heappush(waiting, (rank, before[i], stop))
+            if stop < n and (rank := ranks.get(data[i : end[stop]])) is not None:
+                heapq.heappush(waiting, (rank, i, end[stop]))
+        ids, i = [], 0
+        while i < n:
+            ids.append(ranks[data[i : end[i]]])
+            i = end[i]
+        if n <= MEMO_CHARS:
+            if len(self._merged) >= MEMO_SIZE:
+                self._merged.clear()
+            self._merged[data] = ids
         return ids
 
-    def _byte_tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF_BYTES:
-            return self._enc._encode_single_piece(piece)
-        mid = len(piece) // 2
-        return self._join_bytes(self._byte_tree(piece[:mid]), self._byte_tree(piece[mid:]))
+    def _bytes(self, data: bytes, lo: int, hi: int) -> list[int]:
+        if hi - lo <= LEAF_BYTES:
+            return self._merge(data[lo:hi])
+        mid = (lo + hi) // 2
+        return self._join_bytes(self._bytes(data, lo, mid), self._bytes(data, mid, hi))
 
     def _join_bytes(self, left: list[int], right: list[int]) -> list[int]:
-        word, code = self._enc.decode_single_token_bytes, self._enc._encode_single_piece
-        size = 4
+        words, size = self._words, 1
         while True:
             i, j = max(0, len(left) - size), min(len(right), size)
-            seam = code(b"".join(map(word, left[i:])) + b"".join(map(word, right[:j])))
-            left_holds = i == 0 or code(word(left[i - 1]) + word(seam[0])) == [left[i - 1], seam[0]]
-            right_holds = j == len(right) or code(word(seam[-1]) + word(right[j])) == [seam[-1], right[j]]
+            seam = self._merge(b"".join([words[t] for t in left[i:]] + [words[t] for t in right[:j]]))
+            left_holds = i == 0 or self._merge(words[left[i - 1]] + words[seam[0]]) == [left[i - 1], seam[0]]
+            right_holds = j == len(right) or self._merge(words[seam[-1]] + words[right[j]]) == [seam[-1], right[j]]
             if left_holds and right_holds:
                 return left[:i] + seam + right[j:]
             size *= 2
 
+    def _piece(self, piece: str) -> list[int]:
+        """The encoding of a pre-token."""
+        ids = self._memo.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = self._ranks.get(data)
+            ids = [whole] if whole is not None else self._bytes(data, 0, len(data))
+            self._remember(piece, ids)
+        return ids
+
+    def _remember(self, piece: str, ids: list[int]) -> None:
+        if len(piece) <= MEMO_CHARS:
+            if len(self._memo) >= MEMO_SIZE:
+                self._memo.clear()
+            self._memo[piece] = ids
+
+    # text
+
+    def encode(self, text: str) -> list[int]:
+        return self._tree(text, 0, len(text))
+
+    def _tree(self, text: str, lo: int, hi: int) -> list[int]:
+        if hi - lo <= LEAF:
+            memo, ids = self._memo, []
+            for piece in self._split(text[lo:hi]):
+                ids += memo.get(piece) or self._piece(piece)
+            return ids
+        mid = (lo + hi) // 2
+        left = self._tree(text, lo, mid)
+        self._join(text, lo, mid, hi, left, self._tree(text, mid, hi))
+        return left
+
+    def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> None:
+        """Joins ``right`` to ``left``, in place."""
+        start, end = mid - 1, mid + 1
+        while start > lo and not is_stable_cut(text, start):
+            start -= 1
+        while end < hi and not is_stable_cut(text, end):
+            end += 1
+        before, after = text[start:mid], text[mid:end]
+        m, n = len(left) - self._count(before, reversed(left)), self._count(after, right)
+        window = self._window(before, after, left[m:], right[:n])
+        left[m:] = window
+        left += right[n:]
+
+    def _window(self, before: str, after: str, a: list[int], b: list[int]) -> list[int]:
+        """The ids of before + after, which stands between stable cuts, from those of its two sides."""
+        pieces = self._split(before + after)
+        known = [self._memo.get(p) for p in pieces]
+        had: dict[tuple[int, int], list[int]] = {}
+        seam = len(before)
+        if None in known:
+            for place, side, ids in ((0, before, a), (seam, after, b)):
+                at = 0
+                for piece in self._split(side):
+                    n = self._count(piece, itertools.islice(ids, at, None))
+                    had[place, place + len(piece)] = ids[at : at + n]
+                    at, place = at + n, place + len(piece)
+        out: list[int] = []
+        place = 0
+        for piece, ids in zip(pieces, known, strict=True):
+            until = place + len(piece)
+            if ids is None:
+                ids = had.get((place, until))
+            if ids is None and (place, seam) in had and (seam, until) in had:
+                whole = self._ranks.get(piece.encode("utf-8", "surrogatepass"))
+                ids = [whole] if whole is not None else self._join_bytes(had[place, seam], had[seam, until])
+                self._remember(piece, ids)
+            out += self._piece(piece) if ids is None else ids
+            place = until
+        return out
+
+    def _count(self, text: str, ids: Iterable[int]) -> int:
+        """How many of the ids make up the text's bytes."""
+        left, n = len(text.encode("utf-8", "surrogatepass")), 0
+        for i in ids:
+            if left <= 0:
+                break
+            left -= self._lengths[i]
+            n += 1
+        return n
+
     # decoding
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= LEAF_CHARS:
-            return self._enc.decode_bytes(ids)
-        mid = len(ids) // 2
-        return self.decode(ids[:mid]) + self.decode(ids[mid:])
+        return self._untree(ids, 0, len(ids))
+
+    def _untree(self, ids: list[int], lo: int, hi: int) -> bytes:
+        if hi - lo <= LEAF_IDS:
+            words = self._words
+            return b"".join([words[i] for i in ids[lo:hi]])
+        mid = (lo + hi) // 2
+        return self._untree(ids, lo, mid) + self._untree(ids, mid, hi)
 
     def decimal(self, ids: list[int]) -> str:
         names = self._decimal
