@@ -2,9 +2,10 @@
 
 A text is its UTF-8 bytes. Each learned filter spans ``WIDTH`` bytes; as a byte has 256 values, a filter is a table
 per tap and a convolution is a sum of table look-ups. Rectified responses are averaged over overlapping chunks of
-``2 * STEP`` bytes that start every ``STEP`` bytes and cover the whole text. One further channel holds, per chunk, the
-largest share of bytes equal to the byte ``lag`` places on, over all lags up to ``MAX_LAG``: a filter of the text over
-itself that sees repetition. Channels are max-pooled over the chunks, and a dense layer makes one probability of them.
+``2 * STEP`` bytes that start every ``STEP`` bytes and cover the whole text. Channels are max-pooled over the chunks, and a
+dense layer makes one probability of them.
+
+Texts are laid end to end with ``WIDTH - 1`` zeros after each, so that one pass convolves a whole batch of them.
 """
 
 from __future__ import annotations
@@ -19,11 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import ensure_workers, text_or_empty
 
-WIDTH, FILTERS, STEP, MAX_LAG = 4, 12, 256, 40
-#: Bytes convolved at once; long texts go through in slices, so memory is bounded.
+WIDTH, FILTERS, STEP = 4, 12, 256
+#: Bytes convolved at once; longer texts go through in slices of whole steps, so memory is bounded.
 SLICE = 1 << 18
-#: Puts the self-match channel on the scale of the filters' means, so that both learn at one rate.
-MATCH_SCALE = 4.0
 #: Bounds of the training sample: labelled rows, and bytes of a text used to learn from.
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 4000, 1 << 16
 
@@ -32,34 +31,20 @@ MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 4000, 1 << 16
 class Network:
     taps: np.ndarray  # WIDTH x 256 x FILTERS
     bias: np.ndarray  # FILTERS
-    dense: np.ndarray  # FILTERS + 1
+    dense: np.ndarray  # FILTERS
     offset: float
 
     @classmethod
     def blank(cls, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
-        return cls(rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS + 1, np.float32), 0.0)
+        return cls(rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), 0.0)
 
     def parameters(self) -> list[np.ndarray]:
         return [self.taps, self.bias, self.dense]
 
 
-def _blocks(per_byte: np.ndarray, n: int) -> np.ndarray:
-    """Sums over blocks of STEP rows; the last block may be short."""
-    return np.add.reduceat(per_byte, np.arange(0, n, STEP), axis=0)
-
-
-def _chunks(sums: np.ndarray, n: int) -> np.ndarray:
-    """Means over chunks of two adjacent blocks; a text of one block is one chunk."""
-    counts = np.full(len(sums), STEP, np.float32)
-    counts[-1] = n - STEP * (len(sums) - 1)
-    if len(sums) > 1:
-        sums, counts = sums[:-1] + sums[1:], counts[:-1] + counts[1:]
-    return sums / counts.reshape(-1, *[1] * (sums.ndim - 1))
-
-
 def respond(net: Network, x: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Rectified filter responses at bytes lo..hi of x, which ends in WIDTH - 1 zeros."""
+    """Rectified filter responses at bytes lo..hi of x, which goes on for WIDTH - 1 bytes."""
     out = net.taps[0].take(x[lo:hi], axis=0)
     for k in range(1, WIDTH):
         out += net.taps[k].take(x[lo + k : hi + k], axis=0)
@@ -67,54 +52,107 @@ def respond(net: Network, x: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return np.maximum(out, 0, out=out)
 
 
-def _padded(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass") + b"\0" * (WIDTH - 1 if text else WIDTH), np.uint8)
+def _encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass") or b"\0"
 
 
-def self_match(x: np.ndarray) -> np.ndarray:
-    """Per chunk, the largest share over the lags of bytes that equal the byte a lag later."""
-    n = len(x) - WIDTH + 1
-    best = np.zeros(len(_chunks(np.zeros(-(-n // STEP), np.float32), n)), np.float32)
-    for lag in range(1, min(MAX_LAG, n - 1) + 1):
-        same = np.zeros(n, np.uint16)
-        np.equal(x[: n - lag], x[lag:n], out=same[: n - lag], casting="unsafe")
-        np.maximum(best, _chunks(_blocks(same, n).astype(np.float32), n), out=best)
-    return MATCH_SCALE * best
+@dataclass
+class Chunks:
+    """Where the chunks of a batch of texts lie in its bytes ``x``."""
 
+    x: np.ndarray
+    steps: np.ndarray  # first byte of each step
+    ends: np.ndarray  # and its end; a text's last step may be short
+    lo: np.ndarray  # first and last step of each chunk
+    hi: np.ndarray
+    owner: np.ndarray  # first chunk of each text
 
-def pooled(net: Network, text: str) -> np.ndarray:
-    x = _padded(text)
-    n = len(x) - WIDTH + 1
-    sums = np.concatenate([_blocks(respond(net, x, lo, min(n, lo + SLICE)), min(n, lo + SLICE) - lo) for lo in range(0, n, SLICE)])
-    return np.append(_chunks(sums, n).max(axis=0), self_match(x).max())
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Chunks:
+        x = np.frombuffer((b"\0" * (WIDTH - 1)).join(texts) + b"\0" * (WIDTH - 1), np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        start = np.cumsum(sizes + WIDTH - 1) - sizes - WIDTH + 1
+        n_steps = -(-sizes // STEP)
+        n_chunks = np.maximum(n_steps - 1, 1)
+        first_step, first_chunk = np.cumsum(n_steps) - n_steps, np.cumsum(n_chunks) - n_chunks
+        nth = lambda counts, firsts: np.arange(counts.sum()) - np.repeat(firsts, counts)
+        steps = np.repeat(start, n_steps) + STEP * nth(n_steps, first_step)
+        ends = np.minimum(steps + STEP, np.repeat(start + sizes, n_steps))
+        lo = np.repeat(first_step, n_chunks) + nth(n_chunks, first_chunk)
+        return cls(x, steps, ends, lo, lo + np.repeat(n_steps > 1, n_chunks), first_chunk)
+
+    def means(self, net: Network) -> np.ndarray:
+        """Mean response of each chunk to each filter. Bytes between texts belong to no step."""
+        n = len(self.x) - WIDTH + 1
+        sums = np.zeros((len(self.steps), FILTERS), np.float32)
+        at = 0
+        while at < len(self.steps):
+            base = self.steps[at]
+            stop = max(at + 1, int(np.searchsorted(self.ends, base + SLICE, "right")))
+            out = respond(net, self.x, base, min(n, int(self.ends[stop - 1])))
+            # Sums of bytes up to each step's end, without the gap that may follow.
+            cuts = np.stack([self.steps[at:stop], self.ends[at:stop]], axis=1).ravel() - base
+            padded = np.concatenate([out, np.zeros((1, FILTERS), np.float32)])
+            sums[at:stop] = np.add.reduceat(padded, cuts, axis=0)[::2]
+            at = stop
+        total, size = sums[self.lo].copy(), (self.ends - self.steps)[self.lo]
+        two = self.hi > self.lo
+        total[two] += sums[self.hi[two]]
+        size = size + np.where(two, (self.ends - self.steps)[self.hi], 0)
+        return total / size[:, None].astype(np.float32)
+
+
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def probabilities(net: Network, texts: list[str]) -> np.ndarray:
+    """The score of each text, whole; as many at a time as make a slice."""
+    out, batch, held = [], [], 0
+
+    def flush() -> None:
+        chunks = Chunks.of(batch)
+        pool = np.maximum.reduceat(chunks.means(net), chunks.owner, axis=0)
+        out.append(_probability(pool.astype(np.float64) @ net.dense + net.offset))
+        batch.clear()
+
+    for text in texts:
+        batch.append(_encoded(text))
+        held += len(batch[-1])
+        if held >= SLICE:
+            flush()
+            held = 0
+    if batch:
+        flush()
+    return np.concatenate([np.zeros(0), *out])
 
 
 def probability(net: Network, text: str) -> float:
-    z = float(pooled(net, text) @ net.dense) + net.offset
-    return 1 / (1 + np.exp(-max(-60.0, min(60.0, z))))
+    return float(probabilities(net, [text])[0])
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 6, least_steps: int = 300, batch: int = 32, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> Network:
-    """Adam on the log loss. rows: (text, 0 or 1), in an order that doesn't depend on the run. No rows: every score is 0.5. Few rows are gone through until least_steps."""
+def train(rows: list[tuple[str, int]], epochs: int = 6, least_steps: int = 300, batch: int = 32, rate: float = 0.06, decay: float = 1e-4, seed: int = 7) -> Network:
+    """Adam on the log loss. rows: (text, 0 or 1), in an order that doesn't depend on the run. No rows: every score is 0.5. Few rows
+    are gone through until least_steps. Rows count by the inverse of their label's share, so that neither label drowns the other.
+    """
     net = Network.blank(seed)
     if not rows:
         return net
     rng = np.random.default_rng(seed)
-    net.dense[:] = rng.normal(0, 0.5, FILTERS + 1)
-    share = np.clip(np.mean([y for _, y in rows]), 0.02, 0.98)
-    net.offset = float(np.log(share / (1 - share)))
+    net.dense[:] = rng.normal(0, 0.5, FILTERS)
+    labels = np.array([y for _, y in rows], np.float64)
+    share = np.clip(labels.mean(), 0.02, 0.98)
+    weights = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
     epochs = max(epochs, -(-least_steps * batch // len(rows)))
-    encoded = [(x := _padded(t), float(y), self_match(x).max()) for t, y in rows]
+    encoded = [_encoded(t) for t, _ in rows]
     params = [*net.parameters(), np.array([net.offset], np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         order = rng.permutation(len(encoded))
         for at in range(0, len(order), batch):
-            grads = [np.zeros_like(p) for p in params]
             chosen = order[at : at + batch]
-            for i in chosen:
-                x, y, repeat = encoded[i]
-                _one(net, params[3][0], x, y, repeat, grads)
+            net.offset = float(params[3][0])
+            grads = _gradients(net, [encoded[i] for i in chosen], labels[chosen], weights[chosen])
             step += 1
             lr = rate * min(1, step / 20) * (1 - epoch / epochs)
             for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -126,26 +164,28 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, least_steps: int = 300,
     return net
 
 
-def _one(net: Network, offset: float, x: np.ndarray, y: float, repeat: float, grads: list[np.ndarray]) -> None:
-    """Adds a text's gradients; through the max pool only each filter's winning chunk gets any."""
-    n = len(x) - WIDTH + 1
-    chunks = _chunks(_blocks(respond(net, x, 0, n), n), n)
-    won = chunks.argmax(axis=0)
-    pool = np.append(chunks.max(axis=0), repeat)
-    error = 1 / (1 + np.exp(-np.clip(pool @ net.dense + offset, -60, 60))) - y
-    grads[2] += error * pool
-    grads[3] += error
-    back = error * net.dense[:FILTERS]
-    for c in np.unique(won):
-        lo, hi = c * STEP, min(n, (c + 2) * STEP)
-        alive = respond(net, x, lo, hi) > 0
-        mine = won == c
-        g = alive[:, mine] * (back[mine] / (hi - lo))
-        grads[1][mine] += g.sum(axis=0)
+def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Sums of a batch's gradients; through the max pool only each filter's winning chunk of a text gets any."""
+    chunks = Chunks.of(texts)
+    means = chunks.means(net)
+    pool = np.maximum.reduceat(means, chunks.owner, axis=0)
+    error = (_probability(pool @ net.dense + net.offset) - labels) * weights
+    ends = np.append(chunks.owner[1:], len(means))
+    taps, bias = np.zeros((WIDTH, 256, FILTERS)), np.zeros(FILTERS)
+    # The bytes of all winning chunks, filter by filter.
+    won = np.stack([means[a:b].argmax(axis=0) + a for a, b in zip(chunks.owner, ends, strict=True)])
+    for f in range(FILTERS):
+        lo, hi = chunks.steps[chunks.lo[won[:, f]]], chunks.ends[chunks.hi[won[:, f]]]
+        sizes = hi - lo
+        at = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        out = np.full(len(at), net.bias[f])
+        for k in range(WIDTH):
+            out += net.taps[k, :, f].take(chunks.x[at + k])
+        back = np.repeat(error * net.dense[f] / sizes, sizes) * (out > 0)
+        bias[f] = back.sum()
         for k in range(WIDTH):
-            hot = np.zeros((256, hi - lo), np.float32)
-            hot[x[lo + k : hi + k], np.arange(hi - lo)] = 1
-            grads[0][k][:, mine] += hot @ g
+            taps[k, :, f] = np.bincount(chunks.x[at + k], weights=back, minlength=256)
+    return [taps.astype(np.float32), bias.astype(np.float32), (error @ pool).astype(np.float32), np.array([error.sum()], np.float32)]
 
 
 def held_out(id_col: str) -> F.Column:
@@ -156,7 +196,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_
     """A bounded sample of labelled rows outside the held-out third.
 
     The ``max_rows`` label rows of smallest hash, so the same ones in every run; texts over ``max_bytes`` are left out of
-    learning (never of scoring). A document labelled both ways counts as 0. The sample's ids are broadcast: max_rows bounds them.
+    learning (never of scoring). A document labelled both ways counts as 0, and of rows that repeat an id with different texts the
+    least text is learned from. The sample's ids are broadcast: max_rows bounds them.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -179,7 +220,7 @@ def score_documents(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([probability(net, t.as_py() or "") for t in batch.column(where)], np.float64)
+            scores = probabilities(net, [t.as_py() or "" for t in batch.column(where)])
             out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores)], names=[*keep, score_col])
             yield out if filter_below is None else out.filter(pa.array(scores >= filter_below))
 
