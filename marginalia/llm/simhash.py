@@ -5,15 +5,19 @@ the radius differ by at most the radius in the sum of those counts' differences,
 by more is skipped without loss. Tiles are cut into blocks of bounded size; each remaining pair of blocks is compared
 whole with numpy's exclusive-or and bit counts. From a pair of blocks only a spanning forest of its links is kept, never
 all pairs, which loses no component. Components are then found over the links.
+
+``near_duplicates`` links 64-bit fingerprints. ``drop_similar`` finds near copies by the similarity of their shingles: 256-bit
+fingerprints give the candidates, whose shingles are then compared.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,20 +53,17 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return sum(1 << i for i in range(64) if 2 * int(counts[i]) > n)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, digest: bool = False) -> DataFrame:
-    """(id, fp) per row; fp is the fingerprint as a signed long. With ``digest`` also sha, the text's SHA-256."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """(id, fp) per row; fp is the fingerprint as a signed long."""
     ensure_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64).view(np.int64)
-            out = {"id": batch.column(0), "fp": pa.array(fps)} | ({"sha": batch.column(2)} if digest else {})
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), *[T.StructField("sha", T.BinaryType())] * digest])
-    text = text_or_empty(text_col)
-    sha = [F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha")] * digest
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), *sha).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _tile(fp: str) -> Column:
@@ -168,16 +169,228 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _placed(rows, scratch, radius).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component one row of the smallest id, that of the least text hash if
-    the id repeats in it. Rows of other components stay whatever their ids, null ones too."""
+# Near copies by shingle similarity: wide fingerprints.
+
+WIDE_WORDS, WIDE_RADIUS = 4, 56
+#: Fingerprints in a block of the grid: about a twelfth of all, within these bounds.
+GRID, GRID_LEAST, GRID_MOST = 12, 4096, 1 << 17
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)  # fixed constants of the splitmix64 generator
+
+
+def shingle_hashes(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of the text's word shingles (A-Z lower-cased; fewer words: the whole sequence; none: nothing)."""
+    data = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+    if not data:
+        return np.zeros(0, np.uint64)
+    cuts = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(data)]
+    k = min(words, len(starts))
+    view, hash64 = memoryview(data), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hash64(view[a:b], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(starts) - k + 1))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, each set in over half of a text's shingles, as four 64-bit words; each shingle's hash seeds four steps of splitmix64.
+
+    Two texts whose sets of shingles have Jaccard similarity s differ in about arccos(2 s / (1 + s)) / pi of the bits: 39 at
+    0.8, 128 if they share nothing. No shingles: zeros.
+    """
+    counts = np.zeros(64 * WIDE_WORDS, np.int64)
+    for at in range(0, len(hashes), _MASK_BATCH):
+        x = hashes[at : at + _MASK_BATCH, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(_MIX[2])
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[0])
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[1])
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of hashes; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def wide_distance(a: np.ndarray, b: np.ndarray) -> int:
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _wide_hits(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of a's and b's fingerprints within the radius, a strip of a at a time. The first words sort out most pairs."""
+    strip = max(1, (1 << 20) // max(1, len(b)))
+    for at in range(0, len(a), strip):
+        part = a[at : at + strip]
+        far = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0])
+        far += np.bitwise_count(part[:, None, 1] ^ b[None, :, 1])
+        i, j = np.nonzero(far <= radius)
+        if len(i):
+            near = np.bitwise_count(part[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
+            yield i[near] + at, j[near]
+
+
+class Side:
+    """One side of a cell of the grid."""
+
+    def __init__(self, table: pa.Table):
+        self.words = np.stack([table.column(c).to_numpy() for c in _W], axis=1).view(np.uint64)
+        self.node, self.label = table.column("node").to_numpy(), table.column("label").to_numpy()
+
+
+def _forest_links(a: Side, b: Side, same: bool, radius: int) -> tuple[np.ndarray, ...]:
+    """A spanning forest of the links, grown strip by strip, so that never all links are held."""
+    names = a.node if same else np.concatenate([a.node, b.node])
+    label, shift = np.arange(len(names)), 0 if same else len(a.node)
+    for i, j in _wide_hits(a.words, b.words, radius):
+        j = j + shift
+        while True:
+            low = np.minimum(label[i], label[j])
+            before = label.copy()
+            np.minimum.at(label, label[i], low)
+            np.minimum.at(label, label[j], low)
+            while (label[label] != label).any():
+                label = label[label]
+            if (label == before).all():
+                break
+    inner = np.flatnonzero(label != np.arange(len(label)))
+    return names[inner], names[label[inner]], np.zeros(len(inner), np.int64)
+
+
+def _nearest(a: Side, b: Side, same: bool, radius: int) -> tuple[np.ndarray, ...]:
+    """For each node the nearest of another label within the radius, and its distance."""
+    out = []
+    for one, two in ((a, b),) if same else ((a, b), (b, a)):
+        for i, j in _wide_hits(one.words, two.words, radius):
+            cross = one.label[i] != two.label[j]
+            i, j = i[cross], j[cross]
+            far = np.bitwise_count(one.words[i] ^ two.words[j]).sum(axis=1, dtype=np.int64)
+            order = np.lexsort((two.node[j], far, i))
+            first = order[np.flatnonzero(np.diff(i[order], prepend=-1))] if len(order) else order
+            out.append((one.node[i[first]], two.node[j[first]], far[first]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *column]) for column in zip(*out, strict=True)) if out else (none,) * 3
+
+
+def _crossing(a: Side, b: Side, same: bool, radius: int) -> tuple[np.ndarray, ...]:
+    """All links between nodes of different labels."""
+    out = [(np.zeros(0, np.int64),) * 2]
+    for i, j in _wide_hits(a.words, b.words, radius):
+        cross = a.label[i] != b.label[j]
+        out.append((a.node[i[cross]], b.node[j[cross]]))
+    u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+    return np.minimum(u, v), np.maximum(u, v), np.zeros(len(u), np.int64)
+
+
+_W = tuple(f"w{k}" for k in range(WIDE_WORDS))
+
+
+def compare(nodes: DataFrame, scratch: Scratch, work: Callable[..., tuple[np.ndarray, ...]], radius: int = WIDE_RADIUS, block: int | None = None) -> DataFrame:
+    """What ``work`` finds (u, v, far) among all ``nodes`` (node, label, w0 to w3) within the radius of each other.
+
+    Tiles are bands of population counts, one more than the radius wide, so tiles that aren't next to each other are skipped.
+    A tile's blocks and its neighbour's make a grid of pairs of blocks; a node goes once to each of its pairs.
+    """
+    count = F.bit_count(_W[0])
+    for c in _W[1:]:
+        count = count + F.bit_count(c)
+    tiled = scratch.save(nodes.select("node", "label", *_W, F.floor(count / (radius + 1)).cast("int").alias("tile")), "bands")
+    block = block or min(GRID_MOST, max(GRID_LEAST, -(-tiled.count() // GRID)))
+    # At most 257 tiles.
+    sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).collect()
+    cells = F.map_from_entries(F.array(*[F.struct(F.lit(r["tile"]), F.lit(r["blocks"])) for r in sizes])) if sizes else F.lit(None).cast("map<int,int>")
+    blocks = lambda t: F.try_element_at(cells, t)
+    partners = lambda t: F.when(blocks(t).isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce(blocks(t), F.lit(1)) - 1), lambda k: F.struct(t.alias("t"), k.alias("k")))).otherwise(F.array().cast("array<struct<t:int,k:int>>"))
+    me = F.struct(F.col("tile").alias("t"), F.pmod(F.xxhash64("node"), blocks(F.col("tile"))).cast("int").alias("k"))
+    sent = tiled.select("node", "label", *_W, me.alias("me"), F.explode(F.concat(*[partners((F.col("tile") + d).cast("int")) for d in (-1, 0, 1)])).alias("other"))
+    sent = sent.select(F.least("me", "other").alias("one"), F.greatest("me", "other").alias("two"), (F.col("me") <= F.col("other")).alias("first"), "node", "label", *_W)
+
+    def run(table: pa.Table) -> pa.Table:
+        same = table.column("one")[0] == table.column("two")[0]
+        a = Side(table if same else table.filter(table.column("first")))
+        b = a if same else Side(table.filter(pc.invert(table.column("first"))))
+        return pa.table(dict(zip(("u", "v", "far"), work(a, b, same, radius), strict=True)))
+
+    return sent.groupBy("one", "two").applyInArrow(run, "u long, v long, far long")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of ``pairs`` (u, v) those whose ``sets`` (node, hashes) have a similarity of ``least`` or more."""
+    side = lambda c, h: sets.select(F.col("node").alias(c), F.col("hashes").alias(h))
+    both = pairs.select("u", "v").distinct().join(side("u", "a").hint("merge"), "u").join(side("v", "b").hint("merge"), "v").select("u", "v", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: float = 0.8, radius: int = WIDE_RADIUS, block: int | None = None) -> DataFrame:
+    """(node, root) of ``nodes`` (node, w0 to w3) linked to others: links are pairs within the radius whose ``sets`` are alike by ``least``.
+
+    A comparison of all nodes gives the components under the radius alone. Inside those, nodes are checked against the root,
+    then in rounds each against the nearest node of another group, which merges groups without listing their pairs; at last
+    all pairs that are left between different groups are checked, so no link is lost.
+    """
+    own = F.col("node").alias("label")
+    wide = components(scratch.save(compare(nodes.select("node", own, *_W), scratch, _forest_links, radius, block), "links"), scratch)
+    wide = scratch.save(wide, "wide")
+    inside = scratch.save(nodes.join(wide.select("node"), "node", "left_semi").select("node", *_W), "inside")
+    total = inside.count()
+    if not total:
+        return wide
+    links = scratch.save(_alike(wide.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), sets, least), "alike")
+
+    def labelled() -> DataFrame:
+        roots = components(links, scratch)
+        return scratch.save(inside.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("label"), *_W), "labelled")
+
+    while True:
+        at = labelled()
+        near = compare(at, scratch, _nearest, radius, block).groupBy("u").agg(F.min(F.struct("far", "v")).alias("near"))
+        new = scratch.save(_alike(near.select(F.least("u", "near.v").alias("u"), F.greatest("u", "near.v").alias("v")), sets, least), "alike")
+        merged = new.count()
+        links = scratch.save(links.unionByName(new), "alike")
+        if merged * 50 < total:
+            break
+    rest = scratch.save(compare(labelled(), scratch, _crossing, radius, block), "crossing")
+    links = scratch.save(links.unionByName(_alike(rest, sets, least)), "alike")
+    return components(links, scratch)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, seed: int = 42, radius: int = WIDE_RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: of each group of texts linked by a Jaccard similarity of ``least`` or more of
+    their sets of word shingles one row of the smallest id, that of the least text hash if the id repeats in it.
+
+    Candidates are texts whose wide fingerprints lie within the radius, three standard deviations beyond a similarity of 0.8;
+    their similarity is then checked. Null text counts as empty, and texts without words are alike. A null id stays only if
+    its group has no other. Of wholly repeated rows one stays. An empty table gives an empty one. Other columns pass through,
+    whatever their names.
+    """
+    ensure_workers(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash-kept")
-    rows = scratch.save(fingerprints(docs, id_col, text_col, words, seed, digest=True), "fingerprints")
-    first = _placed(rows, scratch, radius).where(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = scratch.save(first.groupBy("root").agg(F.first("id").alias("__id"), F.min("sha").alias("__sha"), F.count(F.lit(1)).alias("__n")), "stay")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py(), words, seed) for t in batch.column(1)]
+            fps = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            hashes = pa.array([h.tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), hashes, *(pa.array(fps[:, k]) for k in range(WIDE_WORDS))], ["id", "sha", "hashes", *_W])
+
+    text = text_or_empty(text_col)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("sha", T.BinaryType()), T.StructField("hashes", T.BinaryType()), *[T.StructField(w, T.LongType()) for w in _W]])
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha")).mapInArrow(run, schema)
+    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    # A node is a text, known by one of its rows; equal texts are compared once.
+    nodes = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"), F.min("row").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(w).alias(w) for w in _W])
+    nodes = scratch.save(nodes, "nodes")
+    groups = similar_groups(nodes, rows.select(F.col("row").alias("node"), "hashes"), scratch, least, radius)
+    placed = nodes.select(F.col("node").alias("one"), "sha", "least").join(groups, F.col("one") == F.col("node"), "left").select("sha", "least", F.coalesce("root", "one").alias("root"))
+    stay = placed.groupBy("root").agg(F.min(F.struct("least", "sha")).alias("one"))
+    stay = scratch.save(stay.select(F.col("one.least.id").alias("__id"), F.col("one.sha").alias("__sha")), "stay")
     out = docs.withColumn("__own", F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
     # A sort-merge join at every size: what stays grows with the documents.
-    out = out.join(stay.select("__id", "__sha").hint("merge"), (F.col("__own") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    if not stay.where("__n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__own"])  # an id repeats, perhaps with the same text
+    out = out.join(stay.hint("merge"), (F.col("__own") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    if not nodes.where("n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__own"])  # an id may repeat with the same text
     return out.drop("__own")

@@ -1,5 +1,9 @@
+import math
+import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 
 from marginalia.llm import simhash
@@ -62,13 +66,61 @@ def test_small_blocks_lose_no_link(spark):
     assert rows
 
 
-def test_one_of_each_component_stays(spark):
-    rows = awkward_rows()
-    kept = simhash.drop_near_duplicates(frame(spark, rows))
+def brute_similar(rows, least=0.8):
+    """The ids that stay: of each group linked by shingle similarity the smallest."""
+    sets, ids = {}, {}
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or ""))
+        sets[r[1] or ""] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+        ids.setdefault(r[1] or "", []).append(r[0])
+    texts, group = list(sets), {t: {t} for t in sets}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            either = len(sets[a] | sets[b])
+            if group[a] is not group[b] and (len(sets[a] & sets[b]) >= least * either if either else True):
+                group[a] |= group[b]
+                for t in group[b]:
+                    group[t] = group[a]
+    groups = {id(g): g for g in group.values()}.values()
+    return sorted(str(min((i for t in g for i in ids[t] if i is not None), default=None)) for g in groups)
+
+
+def near_copies(seed=3):
+    """Families of copies with more and more words changed, so that some are alike only by way of others."""
+    rng = random.Random(seed)
+    rows = []
+    for family in range(6):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([6, 40, 150, 600]))]
+        for _ in range(25):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(500)}"
+            rows.append((len(rows), " ".join(words), f"f{family}", "k", "s"))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block", [7, None])
+def test_groups_of_near_copies(spark, monkeypatch, block):
+    rows = awkward_rows() + [(1000 + r[0], *r[1:]) for r in near_copies()]
+    if block:
+        compare = simhash.compare
+        monkeypatch.setattr(simhash, "compare", lambda nodes, scratch, work, radius, _: compare(nodes, scratch, work, radius, block * 9))
+    kept = simhash.drop_similar(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "source", "kept", "score"]
-    components_ = {c for i, _, c in brute_components(rows)}
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, components_))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == brute_similar(rows)
+
+
+def test_distance_stands_for_similarity():
+    rng = random.Random(8)
+    for s in (0.8, 0.9):
+        far = []
+        for _ in range(40):
+            base = [rng.getrandbits(64) for _ in range(900)]
+            a, b = (np.unique(np.array(base[: round(900 * s)] + [rng.getrandbits(64) for _ in range(round(450 * (1 - s)))], np.uint64)) for _ in range(2))
+            assert abs(simhash.similarity(a, b) - s) < 0.02
+            far.append(simhash.wide_distance(simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)))
+        assert abs(sum(far) / 40 - 256 * math.acos(2 * s / (1 + s)) / math.pi) < 4 and max(far) <= simhash.WIDE_RADIUS
 
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
+    assert simhash.drop_similar(frame(spark, [])).count() == 0
