@@ -83,15 +83,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     Null text has no bytes: size 1, and it is linked to empty texts. Repeated rows are rows like others; null ids too. An empty
     table gives an empty one. Only the two named columns are read. Groups of equal texts stay on one shard as far as quotas let
     them: a group larger than a shard's quota fills shard after shard.
+
+    Everything hangs on hashes of ids and texts, nothing on partitions, so reruns agree. Rows of equal id and text are
+    interchangeable: which of them comes first makes no difference to the result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = text_or_empty(text_col).cast("binary")
     base = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.sha2(text, 256).alias("sha"))
-    rows = scratch.save(base.withColumn("key", F.monotonically_increasing_id()), "rows")
+    rows = scratch.save(base, "rows")
     total = rows.count()
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    start = F.pmod(F.xxhash64("id", "key"), F.lit(n_shards)).cast("int")
+    start = F.pmod(F.xxhash64("id", "sha"), F.lit(n_shards)).cast("int")
     votes = rows.groupBy(F.col("sha").alias("g"), start.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     groups = votes.groupBy("g").agg(F.sum("n").alias("members"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("m")).where("members > 1")
     at = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0)))
@@ -105,25 +108,25 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     parts = spark.createDataFrame(placed, "g string, first long, end long, to int")
     names = parts.groupBy("g").agg(F.count(F.lit(1)).alias("parts"), F.min("to").alias("shard"))
 
-    known = rows.join(F.broadcast(names), F.col("sha") == F.col("g"), "left").drop("g").withColumn("cell", F.pmod(F.xxhash64("id", "key"), F.lit(CELLS)).cast("int"))
+    known = rows.join(F.broadcast(names), F.col("sha") == F.col("g"), "left").drop("g").withColumn("cell", F.pmod(F.xxhash64("id", "sha"), F.lit(CELLS)).cast("int"))
     known = scratch.save(known, "known")
     # Few groups have parts: those beyond a quota, and what meets the end of the last room.
-    cut = _numbered(known.where("parts > 1").drop("shard").withColumn("cell", F.col("cell") % 256), "sha", "cell", ["id", "key"])
-    cut = cut.join(F.broadcast(parts), (F.col("sha") == F.col("g")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("end"))).select("id", "size", "crc", "sha", "key", F.col("to").alias("shard"))
-    rest = known.where("parts is null").select("id", "size", "crc", "sha", "key")
+    cut = _numbered(known.where("parts > 1").drop("shard").withColumn("cell", F.col("cell") % 256), "sha", "cell", ["id", "sha"])
+    cut = cut.join(F.broadcast(parts), (F.col("sha") == F.col("g")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("end"))).select("id", "size", "crc", "sha", F.col("to").alias("shard"))
+    rest = known.where("parts is null").select("id", "size", "crc", "sha")
     grants = groups.where("false").select("g", F.lit(0).alias("to"))
     for table in settled:
         grants = grants.unionByName(table)
     light = groups.where(F.col("members") <= bar).select("g").join(scratch.save(grants, "grants"), "g", "left")
-    rest = rest.join(light, F.col("sha") == F.col("g"), "left").select("id", "size", "crc", "sha", "key", F.col("to").alias("shard"), F.col("g").isNotNull().alias("linked"))
-    held = known.where("parts = 1").select("id", "size", "crc", "sha", "key", "shard").unionByName(cut)
+    rest = rest.join(light, F.col("sha") == F.col("g"), "left").select("id", "size", "crc", "sha", F.col("to").alias("shard"), F.col("g").isNotNull().alias("linked"))
+    held = known.where("parts = 1").select("id", "size", "crc", "sha", "shard").unionByName(cut)
     placed = rest.unionByName(held.withColumn("linked", F.lit(True)))
 
     # Groups that no shard could take share a cell, so that they lie side by side.
-    spread = F.when(F.col("shard").isNull() & F.col("linked"), F.xxhash64("sha")).otherwise(F.xxhash64("id", "key"))
+    spread = F.when(F.col("shard").isNull() & F.col("linked"), F.xxhash64("sha")).otherwise(F.xxhash64("id", "sha"))
     placed = scratch.save(placed.withColumn("cell", F.pmod(spread, F.lit(CELLS)).cast("int")), "placed")
-    held = _numbered(placed.where("shard is not null"), "shard", "cell", ["id", "key"])
-    free = _numbered(placed.where("shard is null").withColumn("all", F.lit(0)), "all", "cell", ["sha", "id", "key"])
+    held = _numbered(placed.where("shard is not null"), "shard", "cell", ["id", "sha"])
+    free = _numbered(placed.where("shard is null").withColumn("all", F.lit(0)), "all", "cell", ["sha", "id"])
     taken = [0] * n_shards
     for r in placed.where("shard is not null").groupBy("shard").count().collect():
         taken[r["shard"]] = r["count"]
