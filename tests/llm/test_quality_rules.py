@@ -35,6 +35,28 @@ def test_order_decides_no_verdict():
         assert [q.verdict(q.Document(t), list(order)) is None for t in texts] == [q.verdict(q.Document(t), list(q.RULES)) is None for t in texts]
 
 
+def test_order_is_by_rejections_per_cost_of_what_is_left():
+    import time
+
+    slow = q.Rule("slow", lambda d: time.sleep(0.002) or "a" in d.text)
+    fast = q.Rule("fast", lambda d: time.sleep(0.0002) or "a" in d.text)
+    other = q.Rule("other", lambda d: time.sleep(0.0002) or "b" in d.text)
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "aaaaabbcccc"]
+    # What fast rejects, slow has no chance at, so other goes before it.
+    assert [r.name for r in q.order_rules(texts, (slow, other, fast))] == ["fast", "other", "slow"]
+
+
+def test_letters_are_letters_only():
+    text = "AB² ٣Ⅷ ǅ é" + " x" * 60
+    d = q.Document(text)
+    assert sum(map(len, q._LETTERS.findall(text))) == 64 and sum(map(len, q._CAPITALS.findall(text))) == 2 and not q._shouts(d)
+
+
+def test_sample_of_long_texts(spark):
+    rows = [(i, f"{i} " + "lorem ipsum dolor " * 9000, "s", "", "") for i in range(5)]
+    assert q.apply_rules(frame(spark, rows)).where("base_failed").count() == 5
+
+
 def test_rules_keep_good_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = q.apply_rules(docs).join(labels, "doc_id").where("not base_failed").collect()
