@@ -24,8 +24,6 @@ from .common import Scratch, ensure_workers, text_or_empty
 
 VERSION = "WARC/1.0\r\n"
 _SEP = len(VERSION)
-#: Tables of at most this many narrow rows are broadcast after they were counted; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _header_value(c: Column) -> Column:
@@ -42,10 +40,6 @@ def _marked(c: Column) -> Column:
 _MARKED = re.compile(r"WARC/%(%*)1\.0\Z")
 
 
-def _checked_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def write_warc(pages: DataFrame, path: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 100, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """A record per row under ``path``. Of rows with equal payloads of at least ``revisit_bytes`` bytes, that of the smallest id
     is a response (all rows of it, should the id repeat) and others are revisits that refer to it; smaller payloads are all responses.
@@ -58,7 +52,7 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, id_col: str = "pag
     large = keyed.where(F.col("n") >= revisit_bytes).select("digest", "id")
     firsts = large.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and first is not null").select("d", "first")
     firsts = scratch.save(firsts, "firsts")
-    rows = keyed.join(_checked_broadcast(firsts), (F.col("digest") == F.col("d")) & (F.col("n") >= revisit_bytes), "left")
+    rows = keyed.join(firsts.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("n") >= revisit_bytes), "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(_header_value(F.col(c).cast("string")), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit("\r\n\r\n"))
@@ -145,7 +139,8 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     states it), stated_bytes (of the full payload) and payload (empty for revisits).
 
     A file's records are those that the chain from its start reaches; the chain ends where a header states no length or no
-    record follows, so what stands behind damage is left out. An empty file has no records.
+    record follows, so what stands behind damage is left out. An empty file has no records. One archive's narrow rows (an offset
+    and lengths a candidate) meet in one task, so archives should be of ordinary size.
     """
     ensure_workers(spark)
     lines = spark.read.option("lineSep", VERSION).text(path)
@@ -164,8 +159,8 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
 
     # All candidates are records with their stretches whole, but for those in ``odd``.
     odd = marked.where("real is null or not whole").select("file", "split", "local")
-    records = found.join(_checked_broadcast(odd), ["file", "split", "local"], "left_anti")
-    records = records.join(_checked_broadcast(splits), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s"))).select("file", at.alias("at"), "head_len", "body_len", "seg")
+    records = found.join(odd.hint("merge"), ["file", "split", "local"], "left_anti")
+    records = records.join(splits.hint("merge"), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s"))).select("file", at.alias("at"), "head_len", "body_len", "seg")
     if not marked.where("real and not whole").isEmpty():
         owner = F.last(F.when(F.col("real"), F.struct("at", "head_len", "body_len", "whole")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
         parts = marked.withColumn("owner", owner).where("owner is not null and not owner.whole").select("file", "split", "local", "at", "owner")
