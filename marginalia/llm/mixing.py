@@ -6,7 +6,8 @@ inclusion probability. The flight phase moves those probabilities through the nu
 until a unit reaches 0 or 1 settles a unit. Flights run in blocks of bounded size; the at most two units a block leaves
 open fly again together with other blocks' leftovers, and so on up a tree, until a source has one block left. What is open
 then, with a dozen units held back from the last flight, is landed by trying all outcomes and taking the one
-nearest the totals; a few settled units change sides if giants left the words too far off.
+nearest the totals. The flight keeps all inclusion probabilities. The landing doesn't: its dozen units, and where giants leave
+the words too far off also some of at most ``LANDING`` others of a source, are chosen by the words that are missing.
 
 Blocks, orders and random numbers come from hashes of the rows and a seed, never from partitions, so reruns agree.
 """
@@ -30,8 +31,12 @@ from .common import Scratch, ensure_workers
 BLOCK = 4096
 #: Units that the last flight of a source leaves to the landing, besides those it leaves open: the largest, which no others could make up for.
 HELD_BACK = 12
+#: Units of a source's last flight that the landing may change to make up for giants.
+LANDING = 256
 #: The plan of at most this many sources is broadcast; a longer one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Sources whose targets the driver computes, a row of a few numbers each. More of them are an error, not a silent strain.
+MAX_SOURCES = 2_000_000
 _EPS = 1e-9
 
 
@@ -91,9 +96,11 @@ def land(units: list[tuple[float, float]]) -> list[int]:
     return outcomes[np.lexsort((count, words))[0]].tolist()
 
 
-def repair(sizes: list[float], outcome: list[int], missing: float) -> None:
-    """What no outcome of the landing could reach: takes up (or drops) settled units, largest first, while that comes nearer the words."""
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+def repair(sizes: list[float], outcome: list[int], missing: float, most: int = LANDING) -> None:
+    """What no outcome of the landing could reach: takes up (or drops) some of ``most`` of the last flight's units, evenly spread
+    over the sizes, largest first, while that comes nearer the words."""
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    for k in order[:: -(-len(order) // most)] if order else ():
         step = sizes[k] if outcome[k] == 0 else -sizes[k]
         if abs(missing - step) < abs(missing) and (step > 0) == (missing > 0):
             outcome[k] = 1 - outcome[k]
@@ -106,13 +113,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     Null text has size 0; a null source is a source of its own, the last. Documents without words weigh nothing and get no
     copies; sources without words have target 0. Repeated rows and null ids are units like others: no step joins on the id.
     An empty table gives an empty one. Only the three named columns are read. Copies never exceed ``cap``. The sums per source
-    come to the driver, one row a source, as do no rows of documents.
+    come to the driver, one row a source and at most ``MAX_SOURCES``, as do no rows of documents. Units of equal id, source and
+    size are interchangeable: which of them is taken makes no difference to the result.
     """
     spark = docs.sparkSession
     ensure_workers(spark)
     scratch = Scratch(spark, "mixing")
     sized = scratch.save(docs.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size")), "sized")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("units")).collect()
+    totals = scratch.save(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("units")), "totals")
+    if totals.count() > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources: mix groups of them instead")
+    totals = totals.collect()
     targets = source_targets([(r["source"], r["size"]) for r in totals], weights, cap)
     plan_rows = []
     for r in totals:
