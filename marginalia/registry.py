@@ -444,13 +444,13 @@ def query_types(s, d):
 
 
 @query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '**' || t || '**' WHEN 1 THEN '<u>~~`' || t || '`~~</u>' WHEN 2 THEN '[***==' || t || '==***](http://x/' || turn || ')' WHEN 3 THEN '[[' || t || ']]' ELSE '$' || t || '$' END || '!' AS md
-    FROM (SELECT conv_id, turn, left(text, 20) AS t FROM conversations)""")
+    FROM (SELECT conv_id, turn, text AS t FROM conversations)""")
 def rich_text_markdown(s, d):
     from .functions.richtext import markdown
 
     k = F.col("turn") % 5
     flag = lambda c, n: c.alias(n)
-    first = F.struct(F.when(k == 3, "mention").when(k == 4, "equation").otherwise("text").alias("type"), F.left("text", F.lit(20)).alias("content"), F.when(k == 2, F.concat(F.lit("http://x/"), "turn")).alias("link"), F.lit("none").alias("page_id"), flag(k.isin(0, 2), "bold"), flag(k == 2, "italic"), flag(k == 1, "strike"), flag(k == 1, "underline"), flag(k == 1, "code"), F.when(k == 2, "yellow_background").alias("color"))
+    first = F.struct(F.when(k == 3, "mention").when(k == 4, "equation").otherwise("text").alias("type"), F.col("text").alias("content"), F.when(k == 2, F.concat(F.lit("http://x/"), "turn")).alias("link"), F.lit("none").alias("page_id"), flag(k.isin(0, 2), "bold"), flag(k == 2, "italic"), flag(k == 1, "strike"), flag(k == 1, "underline"), flag(k == 1, "code"), F.when(k == 2, "yellow_background").alias("color"))
     null = F.lit(None).cast("string")
     last = F.struct(F.lit("text").alias("type"), F.lit("!").alias("content"), null.alias("link"), null.alias("page_id"), *(F.lit(False).alias(n) for n in ("bold", "italic", "strike", "underline", "code")), null.alias("color"))
     return v.table(s, d, "conversations").select("conv_id", "turn", markdown(F.array(first, last)).alias("md"))
@@ -464,7 +464,7 @@ def block_batches(s, d):
     return append_batches(blocks, 3).select(F.col("page_key").alias("conv_id"), "turn", "batch", "batch_pos")
 
 
-_EMBEDS = "SELECT c_custkey AS source, (c_custkey * 7 + 3) % 200 AS target FROM customer WHERE c_custkey <= 200"
+_EMBEDS = "SELECT c_custkey AS source, (c_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS target FROM customer"
 
 
 @query(f"""WITH RECURSIVE e AS ({_EMBEDS}), w AS (SELECT source AS root, target, 1 AS depth, [source, target] AS trail, source = target AS cycle FROM e
@@ -473,7 +473,8 @@ _EMBEDS = "SELECT c_custkey AS source, (c_custkey * 7 + 3) % 200 AS target FROM
 def embed_closure(s, d):
     from .operators.embeds import embed_closure as closure
 
-    edges = v.table(s, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("source"), ((F.col("c_custkey") * 7 + 3) % 200).alias("target"), F.lit(False).alias("media"))
+    customers = v.table(s, d, "customer")
+    edges = customers.select(F.col("c_custkey").alias("source"), ((F.col("c_custkey") * 7 + 3) % customers.count()).alias("target"), F.lit(False).alias("media"))
     return closure(edges).select("root", "target", F.col("depth").cast("bigint").alias("depth"), "cycle")
 
 
@@ -618,3 +619,6 @@ def frontmatter_maps(s, d):
     base = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
     merged = fm.merge_maps(fm.delete_key(fm.set_key(base, "b", F.lit("3")), "a"), F.create_map(F.lit("c"), F.col("c_mktsegment")))
     return v.table(s, d, "customer").select("c_custkey", F.array_join(sorted_keys(merged), ",").alias("keys"), merged["c"].alias("c"))
+
+
+from . import registry_more  # noqa: E402, F401
