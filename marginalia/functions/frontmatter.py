@@ -59,7 +59,7 @@ def split_public(content: str) -> tuple[str | None, str]:
 
 
 def _depth(value: object, level: int = 1) -> int:
-    if level > MAX_DEPTH + 1:
+    if level > MAX_DEPTH + 2:
         return level
     inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
     return max((_depth(v, level + 1) for v in inner), default=level)
@@ -108,7 +108,8 @@ def parse(block: str | None, lenient: bool = False) -> dict:
         if lenient:
             return recover(block)
         raise FrontmatterError("frontmatter isn't a mapping")
-    if _depth(value) > MAX_DEPTH + 1:
+    # The mapping itself is level 1 and its values, at depth 0, level 2.
+    if _depth(value) > MAX_DEPTH + 2:
         raise FrontmatterError("frontmatter is nested too deeply")
     return value
 

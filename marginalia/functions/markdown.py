@@ -63,9 +63,9 @@ def _embed(target: str, alias: str | None) -> dict:
     lower = target.lower()
     if lower.endswith(EMBED_IMAGES):
         shown = alias if alias and not re.search(r"[x\d]", alias) else target
-        return run(f"[🖼️ {shown}]", color="gray")
+        return run(f"[🖼️ {shown}]", color="gray_background")
     icon = next((i for ext, i in EMBED_ICONS if lower.endswith(ext)), "📎")
-    return run(f"[{icon} {alias or target}]", color="gray")
+    return run(f"[{icon} {alias or target}]", color="blue_background")
 
 
 def inline(text: str, resolve: Resolver | None = None, style: str = "placeholder", **outer: object) -> list[dict]:
@@ -81,7 +81,7 @@ def inline(text: str, resolve: Resolver | None = None, style: str = "placeholder
         if kind == "escape":
             add(m[0][1])
         elif kind == "query":
-            add(f"[dv: {m['q']}]", code=True)
+            add(f"[dv: {m['q']}]", code=True, color="purple_background")
         elif kind == "code":
             add(re.sub(r"\A (.*\S.*) \Z", r"\1", m["c"]), code=True)
         elif kind == "embed":
@@ -282,7 +282,7 @@ class _Parser:
     def _image(alt: str, url: str) -> Block:
         if is_local(url):
             shown = f"{alt} ({url})" if alt else url
-            return Block("callout", [run("Local Image", bold=True), run("\nLocal image cannot be embedded without upload support.\n"), run(shown, code=True)], {"icon": "🖼️", "color": "gray_background"})
+            return Block("callout", [run("Local Image", bold=True), run("\nThis file is only on the note's own machine.\n"), run(shown, code=True)], {"icon": "🖼️", "color": "gray_background"})
         return Block("image", [run(alt)] if alt else [], {"url": url})
 
 

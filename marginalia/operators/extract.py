@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -60,10 +61,10 @@ def parse_note(content: str, lenient: bool = False) -> dict:
     except fm.FrontmatterError as e:
         return out | {"error": str(e)}
     plain = without_code(body)
-    lines = _block_lines(body)
+    lines, starts = _block_lines(body), [m.end() for m in re.finditer("\n", plain)]
     for m in _LINK.finditer(plain):
         name, heading, block_id = _target(m[2])
-        line = lines[plain.count("\n", 0, m.start())]
+        line = lines[bisect.bisect_right(starts, m.start())]
         out["embeds" if m[1] else "links"].append({"target": name, "alias": m[3] or "", "heading": heading, "block": block_id, "line": line})
     unlinked = _LINK.sub(lambda m: " " * len(m[0]), plain)
     out["tags"] = [m[1] for m in _TAG.finditer(re.sub(r"^#{1,6}\s", lambda m: " " * len(m[0]), unlinked, flags=re.M))]

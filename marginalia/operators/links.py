@@ -55,7 +55,17 @@ def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: st
     keyed = pages.withColumn("last", F.lower(basename(F.col("note_path"))))
     plain = names.where(~wild).withColumn("last", F.lower(F.concat(basename(F.col("norm")), F.lit(".md"))))
     nested = plain.join(keyed, "last").where(F.lower("note_path").endswith(F.lower(F.concat(F.lit("/"), "norm", F.lit(".md"))))).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
-    odd = names.where(wild).join(pages, F.expr("note_path ilike concat('%/', replace(norm, '\\\\', '\\\\\\\\'), '.md')")).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
+    # ``_`` stands for one character, so what follows some slash of the path has the pattern's length, and begins as the pattern
+    # does before its first wildcard (up to three letters are keys). Only names with ``%`` meet all pages.
+    like = F.expr("note_path ilike concat('%/', replace(norm, '\\\\', '\\\\\\\\'), '.md')")
+    any_length = F.contains("norm", F.lit("%"))
+    head = F.least(F.instr("norm", F.lit("_")) - 1, F.lit(3))
+    keys = names.where(wild & ~any_length).select("target", "norm", (F.length("norm") + 3).alias("size"), head.alias("n"), F.lower(F.substr("norm", F.lit(1), head)).alias("head"))
+    parts = F.split("note_path", "/")
+    tails = pages.withColumn("tail", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) + 1), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))).where("tail <> ''")
+    tails = tails.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumns({"size": F.length("tail"), "head": F.lower(F.substr("tail", F.lit(1), F.col("n")))})
+    odd = keys.join(tails, ["size", "n", "head"]).where(like).select("target", "note_path", "page_id")
+    odd = odd.unionByName(names.where(any_length).join(pages, like).select("target", "note_path", "page_id")).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
     known = aliases.select("alias_name", "note_path").join(pages, "note_path")
     named = names.join(known, F.col("target") == F.col("alias_name")).select("target", F.lit(3).alias("arm"), "note_path", "page_id")
     found = reduce(DataFrame.unionByName, [exact, same, root, nested, odd, named])

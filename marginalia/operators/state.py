@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def null_string(c: str) -> Column:
@@ -82,6 +83,8 @@ def expired_count(history: DataFrame, now: Column, age: Column) -> DataFrame:
     return history.agg(F.count_if(F.col("ts") < now - age).alias("removed"))
 
 
+#: Cells of rows that are numbered side by side; their offsets are broadcast.
+NUMBER_CELLS = 4096
 CONFLICT = "local_hash string, remote_hash string, local_mtime timestamp, remote_mtime timestamp"
 
 
@@ -89,12 +92,15 @@ def record_conflicts(state: DataFrame, history: DataFrame, found: DataFrame, at:
     """State with the paths of ``found`` in conflict, and history with a row for each, its details in JSON. Unknown paths are ignored."""
     known = found.join(state.select("note_path"), "note_path", "left_semi")
     new_state = _set_status(state, known, "conflict", at)
-    last = history.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
     rows = known.select("note_path", F.to_json(F.struct("local_hash", "remote_hash", "local_mtime", "remote_mtime")).alias("details"), F.col("local_hash").alias("content_hash"))
-    from pyspark.sql.window import Window
-
-    # Numbered after the last sequence number; conflicts of one run are few beside the state.
-    numbered = rows.select((F.row_number().over(Window.orderBy("note_path")) + last.scalar()).cast("long").alias("seq"), "note_path", F.lit("conflict").alias("action"), at.alias("ts"), "content_hash", "details")
+    # Numbered after the last sequence number: within cells of bounded number, with the cells' offsets.
+    last = history.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    cells = rows.withColumn("cell", F.pmod(F.xxhash64("note_path"), F.lit(NUMBER_CELLS)))
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("cell", before.alias("before")).crossJoin(F.broadcast(last))
+    here = F.row_number().over(Window.partitionBy("cell").orderBy("note_path"))
+    numbered = cells.withColumn("here", here).join(F.broadcast(offsets), "cell").select((F.col("last") + F.col("before") + F.col("here")).cast("long").alias("seq"), "note_path", F.lit("conflict").alias("action"), at.alias("ts"), "content_hash", "details")
     return new_state, history.unionByName(numbered.select(*history.columns))
 
 

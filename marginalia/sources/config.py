@@ -28,7 +28,7 @@ DEFAULTS = {
         "unresolved_links": "placeholder",
         "callouts": {"note": "💡", "warning": "⚠️", "tip": "💡", "info": "ℹ️", "danger": "🔴", "example": "📝", "quote": "💬", "success": "✅", "failure": "❌", "bug": "🐛", "question": "❓"},
     },
-    "sync": {"conflict_strategy": "manual", "ignore": [], "deletion": {"remote": "archive", "local": "archive"}},
+    "sync": {"conflict_strategy": "manual", "ignore": ["templates/**", "**/.excalidraw.md"], "deletion": {"remote": "archive", "local": "archive"}},
     "rate_limit": {"requests_per_second": 3, "batch_size": 100, "workers": 4},
     "watch": {"debounce": "5s", "poll": "5m"},
 }
