@@ -339,23 +339,28 @@ def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: f
     total = inside.count()
     if not total:
         return wide
-    links = scratch.save(_alike(wide.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), sets, least), "alike")
+    # Those alike to their root have its label; labels then merge, so each round's graph holds new links only.
+    stars = _alike(wide.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), sets, least)
+    at = inside.join(stars.select("u", "v"), F.col("node") == F.col("v"), "left").select("node", F.coalesce("u", "node").alias("label"), *_W)
+    at = scratch.save(at, "labelled")
 
-    def labelled() -> DataFrame:
-        roots = components(links, scratch)
-        return scratch.save(inside.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("label"), *_W), "labelled")
+    def merge(at: DataFrame, new: DataFrame) -> DataFrame:
+        one, two = (at.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("u", "v"))
+        roots = components(new.join(one, "u").join(two, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")), scratch)
+        return scratch.save(at.join(roots.withColumnRenamed("node", "old"), F.col("label") == F.col("old"), "left").select("node", F.coalesce("root", "label").alias("label"), *_W), "labelled")
 
     while True:
-        at = labelled()
         near = compare(at, scratch, _nearest, radius, block).groupBy("u").agg(F.min(F.struct("far", "v")).alias("near"))
         new = scratch.save(_alike(near.select(F.least("u", "near.v").alias("u"), F.greatest("u", "near.v").alias("v")), sets, least), "alike")
         merged = new.count()
-        links = scratch.save(links.unionByName(new), "alike")
-        if merged * 50 < total:
+        if merged:
+            at = merge(at, new)
+        if merged * 20 < total:
             break
-    rest = scratch.save(compare(labelled(), scratch, _crossing, radius, block), "crossing")
-    links = scratch.save(links.unionByName(_alike(rest, sets, least)), "alike")
-    return components(links, scratch)
+    rest = scratch.save(_alike(compare(at, scratch, _crossing, radius, block), sets, least), "alike")
+    if not rest.isEmpty():
+        at = merge(at, rest)
+    return at.select("node", F.col("label").alias("root"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, seed: int = 42, radius: int = WIDE_RADIUS) -> DataFrame:
