@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import ensure_workers, text_or_empty
 
-LEAF = 128
+LEAF = 256
 LEAF_BYTES = 16
 LEAF_IDS = 64
 #: Pre-tokens of up to this many characters are remembered, so many at a time.
-MEMO_CHARS, MEMO_SIZE = 64, 1 << 17
+MEMO_CHARS, MEMO_SIZE = 64, 1 << 19
 
 _SPACE = regex.compile(r"\s")
 _LETTER = regex.compile(r"\p{L}")
