@@ -28,11 +28,12 @@ EDGES = {
 }
 
 
+@pytest.mark.parametrize("fold", [40, 1 << 18])
 @pytest.mark.parametrize("name", EDGES)
-def test_components_equal_union_find(spark, name):
+def test_components_equal_union_find(spark, name, fold):
     edges = [tuple(map(int, e)) for e in EDGES[name]]
     table = spark.createDataFrame(edges, "u long, v long").repartition(5)
-    found = components(table, Scratch(spark, "components-test")).collect()
+    found = components(table, Scratch(spark, "components-test"), fold).collect()
     want = roots_of([e for e in edges if e[0] != e[1]])
     got = {r["node"]: r["root"] for r in found}
     assert len(found) == len(got)
