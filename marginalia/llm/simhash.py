@@ -174,6 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE_WORDS, WIDE_RADIUS = 4, 56
 #: Fingerprints in a block of the grid: about a twelfth of all, within these bounds.
 GRID, GRID_LEAST, GRID_MOST = 12, 4096, 1 << 17
+#: The same where nodes carry their sets, whose bytes in a block are bounded too, about.
+SETS_LEAST, SETS_BYTES = 1024, 32 << 20
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)  # fixed constants of the splitmix64 generator
 
 
@@ -207,7 +209,9 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets of hashes; two empty ones are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    joint = np.concatenate([a, b])
+    joint.sort(kind="stable")  # merges the two sorted runs
+    both = int(np.count_nonzero(joint[1:] == joint[:-1]))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
@@ -234,6 +238,7 @@ class Side:
     def __init__(self, table: pa.Table):
         self.words = np.stack([table.column(c).to_numpy() for c in _W], axis=1).view(np.uint64)
         self.node, self.label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        self.sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes")] if "hashes" in table.column_names else None
 
 
 def _forest_links(a: Side, b: Side, same: bool, radius: int) -> tuple[np.ndarray, ...]:
@@ -270,14 +275,33 @@ def _nearest(a: Side, b: Side, same: bool, radius: int) -> tuple[np.ndarray, ...
     return tuple(np.concatenate([none, *column]) for column in zip(*out, strict=True)) if out else (none,) * 3
 
 
-def _crossing(a: Side, b: Side, same: bool, radius: int) -> tuple[np.ndarray, ...]:
-    """All links between nodes of different labels."""
-    out = [(np.zeros(0, np.int64),) * 2]
-    for i, j in _wide_hits(a.words, b.words, radius):
-        cross = a.label[i] != b.label[j]
-        out.append((a.node[i[cross]], b.node[j[cross]]))
-    u, v = (np.concatenate(x) for x in zip(*out, strict=True))
-    return np.minimum(u, v), np.maximum(u, v), np.zeros(len(u), np.int64)
+def _crossing(least: float) -> Callable[..., tuple[np.ndarray, ...]]:
+    """Links between nodes of different labels whose sets are alike by ``least``: enough of them to connect all labels they join.
+
+    Each pair within the radius is checked here, beside its sets, so no pair leaves a cell but a link that joins two groups.
+    """
+
+    def work(a: Side, b: Side, same: bool, radius: int) -> tuple[np.ndarray, ...]:
+        _, at = np.unique(np.concatenate([a.label, b.label]), return_inverse=True)
+        la, lb = at[: len(a.label)], at[len(a.label) :]
+        size_a, size_b = (np.array([len(h) for h in x.sets], np.int64) for x in (a, b))
+        group = np.arange(at.max() + 1)
+        us, vs = [], []
+        for i, j in _wide_hits(a.words, b.words, radius):
+            # A smaller share in size alone rules the similarity out.
+            keep = (group[la[i]] != group[lb[j]]) & (np.minimum(size_a[i], size_b[j]) >= least * np.maximum(size_a[i], size_b[j]))
+            if same:
+                keep &= i < j
+            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                one, two = group[la[x]], group[lb[y]]
+                if one != two and similarity(a.sets[x], b.sets[y]) >= least:
+                    group[group == max(one, two)] = min(one, two)
+                    us.append(a.node[x])
+                    vs.append(b.node[y])
+        u, v = (np.array(x, np.int64) for x in (us, vs))
+        return u, v, np.zeros(len(u), np.int64)
+
+    return work
 
 
 _W = tuple(f"w{k}" for k in range(WIDE_WORDS))
@@ -287,12 +311,14 @@ def compare(nodes: DataFrame, scratch: Scratch, work: Callable[..., tuple[np.nda
     """What ``work`` finds (u, v, far) among all ``nodes`` (node, label, w0 to w3) within the radius of each other.
 
     Tiles are bands of population counts, one more than the radius wide, so tiles that aren't next to each other are skipped.
-    A tile's blocks and its neighbour's make a grid of pairs of blocks; a node goes once to each of its pairs.
+    A tile's blocks and its neighbour's make a grid of pairs of blocks; a node goes once to each of its pairs, with its set
+    (hashes) if it has that column.
     """
+    carried = ["node", "label", *_W, *(c for c in nodes.columns if c == "hashes")]
     count = F.bit_count(_W[0])
     for c in _W[1:]:
         count = count + F.bit_count(c)
-    tiled = scratch.save(nodes.select("node", "label", *_W, F.floor(count / (radius + 1)).cast("int").alias("tile")), "bands")
+    tiled = scratch.save(nodes.select(*carried, F.floor(count / (radius + 1)).cast("int").alias("tile")), "bands")
     block = block or min(GRID_MOST, max(GRID_LEAST, -(-tiled.count() // GRID)))
     # At most 257 tiles.
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).collect()
@@ -300,8 +326,8 @@ def compare(nodes: DataFrame, scratch: Scratch, work: Callable[..., tuple[np.nda
     blocks = lambda t: F.try_element_at(cells, t)
     partners = lambda t: F.when(blocks(t).isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce(blocks(t), F.lit(1)) - 1), lambda k: F.struct(t.alias("t"), k.alias("k")))).otherwise(F.array().cast("array<struct<t:int,k:int>>"))
     me = F.struct(F.col("tile").alias("t"), F.pmod(F.xxhash64("node"), blocks(F.col("tile"))).cast("int").alias("k"))
-    sent = tiled.select("node", "label", *_W, me.alias("me"), F.explode(F.concat(*[partners((F.col("tile") + d).cast("int")) for d in (-1, 0, 1)])).alias("other"))
-    sent = sent.select(F.least("me", "other").alias("one"), F.greatest("me", "other").alias("two"), (F.col("me") <= F.col("other")).alias("first"), "node", "label", *_W)
+    sent = tiled.select(*carried, me.alias("me"), F.explode(F.concat(*[partners((F.col("tile") + d).cast("int")) for d in (-1, 0, 1)])).alias("other"))
+    sent = sent.select(F.least("me", "other").alias("one"), F.greatest("me", "other").alias("two"), (F.col("me") <= F.col("other")).alias("first"), *carried)
 
     def run(table: pa.Table) -> pa.Table:
         same = table.column("one")[0] == table.column("two")[0]
@@ -330,7 +356,7 @@ def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: f
 
     A comparison of all nodes gives the components under the radius alone. Inside those, nodes are checked against the root,
     then in rounds each against the nearest node of another group, which merges groups without listing their pairs; at last
-    all pairs that are left between different groups are checked, so no link is lost.
+    all pairs that are left between different groups are checked in the cells that compare them, so no link is lost.
     """
     own = F.col("node").alias("label")
     wide = components(scratch.save(compare(nodes.select("node", own, *_W), scratch, _forest_links, radius, block), "links"), scratch)
@@ -339,6 +365,7 @@ def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: f
     total = inside.count()
     if not total:
         return wide
+    sets = scratch.save(sets.join(inside.select("node").hint("merge"), "node", "left_semi"), "sets")
     # Those alike to their root have its label; labels then merge, so each round's graph holds new links only.
     stars = _alike(wide.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), sets, least)
     at = inside.join(stars.select("u", "v"), F.col("node") == F.col("v"), "left").select("node", F.coalesce("u", "node").alias("label"), *_W)
@@ -357,7 +384,10 @@ def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: f
             at = merge(at, new)
         if merged * 20 < total:
             break
-    rest = scratch.save(_alike(compare(at, scratch, _crossing, radius, block), sets, least), "alike")
+    # Cells hold sets now, so blocks are bounded by bytes as well.
+    held = sets.agg(F.sum(F.octet_length("hashes"))).first()[0] or 1
+    fits = block or max(1, min(GRID_MOST, max(SETS_LEAST, -(-total // GRID)), SETS_BYTES * total // held))
+    rest = scratch.save(compare(at.join(sets.hint("merge"), "node"), scratch, _crossing(least), radius, fits), "alike")
     if not rest.isEmpty():
         at = merge(at, rest)
     return at.select("node", F.col("label").alias("root"))
