@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, line_dedup, mixing, quality_cnn, quality_rules, sharding, simhash, warc
+from . import bpe, clustering, exact_dedup, html_text, line_dedup, mixing, quality_cnn, quality_rules, sharding, simhash, warc
 from .common import Scratch, input_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -75,6 +75,35 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score_documents(docs, net).select("doc_id", quality_cnn.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors of 64 components after ten rounds, with squared distances and inertias."""
+    return clustering.cluster(input_table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds of ``op11_hamerly``, written out one after the other."""
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (SELECT r, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (
+            SELECT r, c, list_sum(list_transform(list_zip(v.q, c{n}.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{n}) GROUP BY r)"""
+
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < 131072)) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k}))",
+        assigned(0),
+    ]
+    for n in range(1, rounds + 1):
+        steps.append(f"""c{n} AS MATERIALIZED (SELECT c, coalesce(m.q, c{n - 1}.q) AS q FROM c{n - 1} LEFT JOIN (
+            SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS q FROM (
+                SELECT c, i, sum(q[i]) AS s, count(*) AS n FROM a{n - 1} JOIN v USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c) m USING (c))""")
+        steps.append(assigned(n))
+    return "WITH " + ",\n".join(steps) + f"""
+        SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chain": op1_warc_chain,
     "op2_simhash": op2_simhash,
@@ -86,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_cascade": op8_rule_cascade,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_cnn": op10_quality_cnn,
+    "op11_hamerly": op11_hamerly,
 }
 
 ORACLE: dict[str, str] = {
@@ -120,4 +150,5 @@ ORACLE: dict[str, str] = {
                     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * capitals > letters) AS kept
         FROM b
     """,
+    "op11_hamerly": _clusters_sql(),
 }
