@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, clustering, exact_dedup, html_text, line_dedup, mixing, quality_cnn, quality_rules, sharding, simhash, warc
+from . import bpe, clustering, embedding_dedup, exact_dedup, html_text, line_dedup, mixing, quality_cnn, quality_rules, sharding, simhash, warc
 from .common import Scratch, input_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -80,6 +80,11 @@ def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(input_table(spark, sf_dir, "embeddings"))
 
 
+def op12_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector at a cosine of 0.9 or more, and the component it is in."""
+    return embedding_dedup.near_vectors(input_table(spark, sf_dir, "embeddings"))
+
+
 def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
     """The rounds of ``op11_hamerly``, written out one after the other."""
 
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_cnn": op10_quality_cnn,
     "op11_hamerly": op11_hamerly,
+    "op12_itq": op12_itq,
 }
 
 ORACLE: dict[str, str] = {
