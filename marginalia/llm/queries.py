@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, clustering, embedding_dedup, exact_dedup, html_text, line_dedup, mixing, quality_cnn, quality_rules, sharding, simhash, warc
+from . import bpe, clustering, embedding_dedup, exact_dedup, html_text, line_dedup, mixing, quality_cnn, quality_rules, sharding, simhash, spelling, warc
 from .common import Scratch, input_table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -85,6 +85,11 @@ def op12_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(input_table(spark, sf_dir, "embeddings"))
 
 
+def op13_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, near words, and the form that a rare word is probably meant to be."""
+    return spelling.spelling_variants(input_table(spark, sf_dir, "documents"))
+
+
 def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
     """The rounds of ``op11_hamerly``, written out one after the other."""
 
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_cnn": op10_quality_cnn,
     "op11_hamerly": op11_hamerly,
     "op12_itq": op12_itq,
+    "op13_errata_trie": op13_errata_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -157,4 +163,22 @@ ORACLE: dict[str, str] = {
         FROM b
     """,
     "op11_hamerly": _clusters_sql(),
+    "op13_errata_trie": r"""
+        WITH RECURSIVE poly AS (SELECT list(v ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) x(i))),
+        run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents),
+        same AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS b FROM run GROUP BY doc_id, run),
+        crc AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(b) // 2), lambda i: ('0x' || b[2 * i + 1:2 * i + 2])::BIGINT)),
+                    lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS h FROM same, poly),
+        cut AS (SELECT n, CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM crc),
+        words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        gap AS MATERIALIZED (SELECT word, n, i, word[1:i] || word[i + 2:] AS k FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        longer AS (SELECT DISTINCT gap.word, gap.n, words.word AS other, words.n AS other_n FROM gap JOIN words ON k = words.word),
+        near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM gap a JOIN gap b USING (i, k) WHERE a.word <> b.word
+            UNION ALL FROM longer UNION ALL SELECT other, other_n, word, n FROM longer),
+        best AS (SELECT word, count(*) AS n_near, arg_min(other, {'m': -other_n, 'w': other}) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        forms AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS root, form AS nxt FROM forms UNION ALL SELECT walk.word, nxt, forms.form FROM walk JOIN forms ON forms.word = nxt)
+        SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN walk ON walk.word = forms.word AND nxt IS NULL
+    """,
 }
