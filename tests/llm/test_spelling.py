@@ -63,7 +63,7 @@ def test_pairs_forms_and_roots_equal_brute_force(spark, alphabet, longest, size,
 
 
 def test_documents_with_every_awkward_row(spark):
-    rows = awkward_rows() + [(5000 + i, "Spelling spelling SPELLING speling Straße straße Écoleé écoleé ×÷×÷×÷ no-break_word", None, None, None) for i in range(400)]
+    rows = awkward_rows() + [(5000 + i, "Spelling spelling SPELLING spelling Spelling speling Straße straße Écoleé écoleé ×÷×÷×÷ no-break_word", None, None, None) for i in range(400)]
     got = rows_of(spelling.spelling_variants(frame(spark, rows)))
     assert got == brute(brute_counts(rows, 6, 5, 199)) and any(r[1] for r in got)
     got = rows_of(spelling.spelling_variants(frame(spark, rows), least_length=3, least_count=2, drop_one_in=7))
