@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions import matching, text
+from ..functions import text
 from ..functions.globs import basename
+from .fuzzy import candidates, fuzzy_matches, fuzzy_topk
+
+__all__ = ["candidates", "fuzzy_matches", "fuzzy_topk"]
 
 
 def extract_links(notes: DataFrame, path: str = "path", body: str = "content") -> DataFrame:
@@ -120,118 +121,7 @@ def reverse_lookup(page_ids: DataFrame, state: DataFrame) -> DataFrame:
     return page_ids.select("page_id").join(state.select("page_id", "note_path"), "page_id").groupBy("page_id").agg(F.min("note_path").alias("note_path"))
 
 
-# fuzzy matching
-
-
-def candidates(state: DataFrame) -> DataFrame:
-    return state.where(F.coalesce("page_id", F.lit("")) != "").select("note_path", "page_id", matching.match_key(text.note_name(F.col("note_path"))).alias("c_key"))
-
-
-def _sketch(key: Column, max_distance: int) -> Column:
-    """Keys that two names within ``max_distance`` edits share at least one of.
-
-    A name is cut into max_distance + 1 stretches; an edit breaks one stretch at most, so one survives somewhere within
-    max_distance places of where it stood.
-    """
-    parts = max_distance + 1
-    n = F.length(key)
-    out = []
-    for i in range(parts):
-        lo = F.floor(n * i / parts).cast("int")
-        hi = F.floor(n * (i + 1) / parts).cast("int")
-        out.append(F.concat_ws("|", F.lit(i), n, F.substr(key, lo + 1, hi - lo)))
-    return F.array(*out)
-
-
-def _probes(key: Column, max_distance: int) -> Column:
-    """All keys a name must ask for: stretches of names up to max_distance longer or shorter, at the shifts that leave edits
-    enough for both sides. With ``s`` the shift at the stretch and ``d`` the difference in length, the edits before it are
-    |s| at least and those after it |d - s|."""
-    parts = max_distance + 1
-    lengths = F.filter(F.sequence(F.length(key) - max_distance, F.length(key) + max_distance), lambda n: n >= 0)
-
-    def stretch(i: int, n: Column, lo: Column, size: Column) -> Callable[[Column], Column]:
-        return lambda s: F.concat_ws("|", F.lit(i), n, F.substr(key, lo + s + 1, size))
-
-    def of(n: Column) -> Column:
-        differ = F.length(key) - n
-        stretches = []
-        for i in range(parts):
-            lo = F.floor(n * i / parts).cast("int")
-            size = F.floor(n * (i + 1) / parts).cast("int") - lo
-            shifts = F.filter(F.sequence(F.lit(-max_distance), F.lit(max_distance)), _fits(lo, differ, max_distance))
-            stretches.append(F.transform(shifts, stretch(i, n, lo, size)))
-        return F.flatten(F.array(*stretches))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of)))
-
-
-def _fits(lo: Column, differ: Column, max_distance: int) -> Callable[[Column], Column]:
-    return lambda s: (lo + s >= 0) & (F.abs(s) + F.abs(differ - s) <= max_distance)
-
-
-def _keyed(targets: DataFrame, target: str) -> DataFrame:
-    return targets.select(F.col(target).alias("target")).where("target is not null").distinct().withColumn("t_key", matching.match_key(text.note_name(F.col("target"))))
-
-
-def _prefix_pairs(keys: DataFrame, cands: DataFrame) -> DataFrame:
-    """Keys and those candidates' keys that they begin, themselves included."""
-    begun = cands.select("c_key", F.explode(F.transform(F.sequence(F.lit(0), F.length("c_key")), lambda n: F.substr("c_key", F.lit(1), n))).alias("t_key")).distinct()
-    return keys.join(begun, "t_key").select("t_key", "c_key")
-
-
-def _one_edit_pairs(keys: DataFrame, cands: DataFrame) -> DataFrame:
-    """Keys at most one edit apart: they share themselves or one deletion of a character."""
-    cut = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))))
-    asked = keys.where("t_key <> ''").select("t_key", F.explode(cut(F.col("t_key"))).alias("k"))
-    held = cands.select("c_key").distinct().select("c_key", F.explode(cut(F.col("c_key"))).alias("k"))
-    return asked.join(held, "k").select("t_key", "c_key")
-
-
-def _stretch_pairs(keys: DataFrame, cands: DataFrame, max_distance: int) -> DataFrame:
-    """Keys that may be within the distance: they share a stretch that the edits leave whole (``_sketch``)."""
-    asked = keys.where("t_key <> ''").select("t_key", F.explode(_probes(F.col("t_key"), max_distance)).alias("k"))
-    held = cands.select("c_key").distinct().select("c_key", F.explode(F.array_distinct(_sketch(F.col("c_key"), max_distance))).alias("k"))
-    return asked.join(held, "k").select("t_key", "c_key")
-
-
-def _scored(pairs: DataFrame, max_distance: int) -> DataFrame:
-    """(t_key, c_key, score, distance) of the pairs that match, each once. Both sides are match keys, so equal ones are exact
-    matches. Scoring a repeated pair costs less than moving it, so repeats go after the filter."""
-    t, c = F.col("t_key"), F.col("c_key")
-    prefix = c.startswith(t)
-    edits = F.when(c == "", F.octet_length(t)).otherwise(F.levenshtein(t, c, max_distance))
-    score = F.when(t == c, 4).when(prefix, 2).when((edits >= 0) & (edits <= max_distance), 1).otherwise(0)
-    distance = F.when(t == c, 0).when(prefix, F.octet_length(c) - F.octet_length(t)).otherwise(edits)
-    return pairs.select("t_key", "c_key", score.alias("score"), distance.alias("distance")).where("score > 0").distinct()
-
-
-def fuzzy_matches(targets: DataFrame, state: DataFrame, max_distance: int = 3, target: str = "target_name") -> DataFrame:
-    """(target, note_path, page_id, score, distance) of every candidate with a score above 0.
-
-    No pair is scored that shares no key: equal and prefix matches meet on prefixes of the candidates, near ones on stretches
-    that survive the edits. Names of at most max_distance characters have empty stretches and meet all names about as short.
-    """
-    names, cands = _keyed(targets, target), candidates(state)
-    keys = names.select("t_key").distinct()
-    pairs = _prefix_pairs(keys, cands).unionByName(_stretch_pairs(keys, cands, max_distance))
-    return names.join(_scored(pairs, max_distance), "t_key").join(cands, "c_key").select("target", "note_path", "page_id", "score", "distance")
-
-
-def fuzzy_topk(targets: DataFrame, state: DataFrame, k: int = 3, max_distance: int = 3, target: str = "target_name") -> DataFrame:
-    """The k best candidates of each target: score, then distance, then path.
-
-    Exact, prefix and one-edit matches rank before all others and have selective keys, so they are found first; only targets with
-    fewer than k of them go on to the wider search.
-    """
-    names, cands = _keyed(targets, target), candidates(state)
-    keys = names.select("t_key").distinct()
-    close = _scored(_prefix_pairs(keys, cands).unionByName(_one_edit_pairs(keys, cands)), min(1, max_distance))
-    short = keys.join(close.groupBy("t_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k), "t_key", "left_anti")
-    wide = _scored(_stretch_pairs(short, cands, max_distance), max_distance).where((F.col("score") == 1) & (F.col("distance") > 1))
-    found = names.join(close.unionByName(wide), "t_key").join(cands, "c_key")
-    best = Window.partitionBy("target").orderBy(F.desc("score"), "distance", "note_path")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("target", "note_path", "page_id", "score", "distance", "rank")
+# what fuzzy matches are for
 
 
 def suggestions(links: DataFrame, state: DataFrame, k: int = 3) -> DataFrame:
@@ -245,7 +135,8 @@ def resolve_all_fuzzy(links: DataFrame, state: DataFrame, aliases: DataFrame) ->
     match, which also sets the target path."""
     open_ = unresolved(links).select("target_name", text.parse_target(F.col("target_name"))["page"].alias("page")).distinct()
     exact = resolve(open_, state, aliases, "page").select(F.col("target").alias("page"), F.col("page_id").alias("e_page"))
-    fuzzy = fuzzy_topk(open_, state, 1, target="page").select(F.col("target").alias("page"), F.col("page_id").alias("f_page"), F.col("note_path").alias("f_path"))
+    missed = open_.join(exact, "page", "left_anti")
+    fuzzy = fuzzy_topk(missed, state, 1, target="page").select(F.col("target").alias("page"), F.col("page_id").alias("f_page"), F.col("note_path").alias("f_path"))
     found = open_.join(exact, "page", "left").join(fuzzy, "page", "left").drop("page")
     rows = links.join(found, "target_name", "left")
     how = F.when(F.col("resolved"), None).when(F.col("e_page").isNotNull(), "exact").when(F.col("f_page").isNotNull(), "fuzzy")
@@ -256,7 +147,8 @@ def resolve_extended(targets: DataFrame, state: DataFrame, aliases: DataFrame, t
     """Per target its page, heading, block and where it leads: page_id, note_path, exact or fuzzy, and the distance."""
     parts = targets.select(F.col(target).alias("raw")).distinct().select("raw", text.parse_target(F.col("raw")).alias("p")).select("raw", "p.*")
     exact = resolve(parts, state, aliases, "page").select(F.col("target").alias("page"), F.col("page_id").alias("e_page"), F.col("note_path").alias("e_path"))
-    fuzzy = fuzzy_topk(parts, state, 1, target="page").select(F.col("target").alias("page"), F.col("page_id").alias("f_page"), F.col("note_path").alias("f_path"), F.col("distance").alias("f_distance"))
+    missed = parts.join(exact, "page", "left_anti")
+    fuzzy = fuzzy_topk(missed, state, 1, target="page").select(F.col("target").alias("page"), F.col("page_id").alias("f_page"), F.col("note_path").alias("f_path"), F.col("distance").alias("f_distance"))
     both = parts.join(exact, "page", "left").join(fuzzy, "page", "left")
     how = F.when(F.col("e_page").isNotNull(), "exact").when(F.col("f_page").isNotNull(), "fuzzy")
     return both.select(F.col("raw").alias("target"), "page", "heading", "block", F.coalesce("e_page", "f_page").alias("page_id"), F.coalesce("e_path", "f_path").alias("note_path"), how.alias("how"), F.when(how == "fuzzy", F.col("f_distance")).when(how == "exact", 0).alias("distance"))

@@ -204,7 +204,7 @@ def extract_links(s, d):
     return lk.extract_links(v.notes(s, d)).select("source_path", F.col("pos").cast("bigint").alias("pos"), "target", "alias", "heading")
 
 
-@query(with_views("SELECT path AS source_path, 'img-' || (doc_id % 50) || '.png' AS target, true AS image, false AS pdf, CAST(100 AS BIGINT) AS width, CAST(200 AS BIGINT) AS height FROM notes", "notes"))
+@query(with_views("SELECT path AS source_path, 'img-' || (doc_id // 3) || '.png' AS target, true AS image, false AS pdf, CAST(100 AS BIGINT) AS width, CAST(200 AS BIGINT) AS height FROM notes", "notes"))
 def extract_embeds(s, d):
     return lk.extract_embeds(v.notes(s, d)).select("source_path", "target", "image", "pdf", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
 

@@ -19,7 +19,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     content = F.concat(
         F.lit("---\ntitle: Doc "), d, F.lit("\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\n---\n"), "text",
-        F.lit("\n\nSee [["), "lang", F.lit("-"), (7 * d + 3) % 1000, F.lit("]] and [[Doc "), (11 * d + 5) % 1000, F.lit("#Part|alias]] ![[img-"), d % 50, F.lit(".png|100x200]]\n"),
+        F.lit("\n\nSee [["), "lang", F.lit("-"), F.expr("(7 * doc_id + 3) div 5"), F.lit("]] and [[Doc "), F.expr("(11 * doc_id + 5) div 8"), F.lit("#Part|alias]] ![[img-"), F.expr("doc_id div 3"), F.lit(".png|100x200]]\n"),
     )
     return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("-"), d, F.lit(".md")).alias("path"), content.alias("content"), F.timestamp_seconds(EPOCH + d * 60).alias("mtime"))
 
@@ -71,7 +71,7 @@ def _sql_norm(x: str) -> str:
 SQL = {
     "notes": """SELECT doc_id, source || '/' || lang || '-' || doc_id || '.md' AS path, lang, source, text,
         'title: Doc ' || doc_id || chr(10) || 'tags: [' || lang || ', ' || source || ']' AS fm,
-        text || chr(10) || chr(10) || 'See [[' || lang || '-' || ((7 * doc_id + 3) % 1000) || ']] and [[Doc ' || ((11 * doc_id + 5) % 1000) || '#Part|alias]] ![[img-' || (doc_id % 50) || '.png|100x200]]' || chr(10) AS body,
+        text || chr(10) || chr(10) || 'See [[' || lang || '-' || ((7 * doc_id + 3) // 5) || ']] and [[Doc ' || ((11 * doc_id + 5) // 8) || '#Part|alias]] ![[img-' || (doc_id // 3) || '.png|100x200]]' || chr(10) AS body,
         1704067200 + doc_id * 60 AS mtime FROM documents""",
     "hashes": f"""SELECT doc_id, path, mtime, CASE WHEN b = '' THEN '' ELSE sha256(b) END AS body_hash, sha256(fm) AS fm_hash, sha256(fm || chr(10) || b) AS full_hash
         FROM (SELECT *, {_sql_norm("body")} AS b FROM notes)""",
@@ -85,9 +85,9 @@ SQL = {
             CASE WHEN doc_id % 29 = 0 THEN 'page not found: ' || doc_id END AS error, 'Title ' || doc_id AS title FROM documents WHERE doc_id % 23 <> 0
         UNION ALL SELECT 'new-' || doc_id, 1704067200 + (doc_id * 37 % 700) * 3600, false, NULL, CASE WHEN doc_id % 2 = 0 THEN ' ..a/b: ' || doc_id || '?.' END FROM documents WHERE doc_id % 31 = 3""",
     "alias": "SELECT path AS note_path, 'Doc ' || doc_id AS alias_name FROM notes",
-    "edge": """SELECT path AS source_path, 0 AS pos, lang || '-' || ((7 * doc_id + 3) % 1000) AS target, '' AS alias, '' AS heading FROM notes
-        UNION ALL SELECT path, 1, 'Doc ' || ((11 * doc_id + 5) % 1000), 'alias', 'Part' FROM notes
-        UNION ALL SELECT path, 2, 'img-' || (doc_id % 50) || '.png', '100x200', '' FROM notes""",
+    "edge": """SELECT path AS source_path, 0 AS pos, lang || '-' || ((7 * doc_id + 3) // 5) AS target, '' AS alias, '' AS heading FROM notes
+        UNION ALL SELECT path, 1, 'Doc ' || ((11 * doc_id + 5) // 8), 'alias', 'Part' FROM notes
+        UNION ALL SELECT path, 2, 'img-' || (doc_id // 3) || '.png', '100x200', '' FROM notes""",
     "link": "SELECT DISTINCT source_path, target AS target_name FROM edge",
     "page": "SELECT note_path, page_id FROM state WHERE page_id IS NOT NULL",
     "resolved": """SELECT t AS target, r.arm, r.note_path, r.page_id FROM (
