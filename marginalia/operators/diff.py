@@ -11,9 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.hashing import normalise, split_for_hash
+from ..scratch import Scratch
+from .ranks import aligned, ranked
 
 CHANGE = ("path", "old_path", "type", "direction", "local_hash", "remote_hash", "local_mtime", "remote_mtime", "frontmatter_only", "page_id")
 
@@ -51,13 +52,13 @@ def vanished(notes: DataFrame, state: DataFrame) -> DataFrame:
 def renames(notes: DataFrame, state: DataFrame, rename_on: str = "full_hash") -> DataFrame:
     """Vanished and new notes of equal hash, paired one to one in path order per hash; (path, old_path, hash, mtime, page_id).
 
-    The stored hash is compared with the new note's ``rename_on`` hash. Equal empty hashes pair too. The rank within a hash is
-    a window over that hash's notes alone; hot hashes (templates, empty notes) sort and spill in one task each.
+    The stored hash is compared with the new note's ``rename_on`` hash. Equal empty hashes pair too. A hash that many notes share
+    (a template, empty notes) is ranked in cells, so it needn't fit a task.
     """
-    rank = lambda df, h: df.withColumn("__r", F.row_number().over(Window.partitionBy(h).orderBy("note_path")))
-    new = rank(new_notes(notes, state).select("note_path", F.col(rename_on).alias("hash"), "mtime"), "hash")
-    old = rank(vanished(notes, state).select(F.col("note_path"), F.col("content_hash").alias("hash"), "page_id"), "hash").withColumnRenamed("note_path", "old_path")
-    return new.withColumnRenamed("note_path", "path").join(old, ["hash", "__r"]).drop("__r")
+    scratch = Scratch(notes.sparkSession, "renames")
+    new = new_notes(notes, state).select(F.col(rename_on).alias("hash"), F.col("note_path").alias("path"), "mtime").where("hash is not null")
+    old = vanished(notes, state).select(F.col("content_hash").alias("hash"), F.col("note_path").alias("old_path"), "page_id").where("hash is not null")
+    return aligned(new, old, "hash", "path", "old_path", scratch).select("hash", "path", "mtime", "old_path", "page_id")
 
 
 def _change(**values: Column) -> Column:
@@ -65,11 +66,12 @@ def _change(**values: Column) -> Column:
 
 
 def _changes(notes: DataFrame, state: DataFrame, seen: DataFrame | None, rename_on: str) -> DataFrame:
-    """All changes in one pass: notes and state meet in one full outer join on the path; new and vanished notes of equal hash are
-    ranked by path within their side and meet by (hash, rank); every meeting emits its changes.
+    """All changes: notes and state meet in one full outer join on the path, which is written. Notes on both sides give theirs where
+    they are; new and vanished notes of equal hash are ranked by path within their side (``ranks.ranked``) and meet by (hash, rank).
 
     ``seen``: note_path, last_edited, archived of state rows whose page changed remotely.
     """
+    scratch = Scratch(notes.sparkSession, "changes")
     n = notes.select("note_path", F.struct("content_hash", "frontmatter_hash", "full_hash", "mtime").alias("n"))
     s = state.select("note_path", "page_id", "content_hash", "frontmatter_hash", "status", "remote_mtime")
     if seen is not None:
@@ -79,19 +81,18 @@ def _changes(notes: DataFrame, state: DataFrame, seen: DataFrame | None, rename_
     s = s.select("note_path", F.struct(*s.columns[1:]).alias("s"))
     gone = F.col("n").isNull() & (_text("s.page_id") != "") & (F.coalesce(F.col("s.status"), F.lit("")) == "synced")
     side = F.when(F.col("s").isNull(), "new").when(gone, "gone").otherwise("both")
-    hash_ = F.when(F.col("side") == "new", F.col(f"n.{rename_on}")).when(F.col("side") == "gone", F.col("s.content_hash"))
-    rows = n.join(s, "note_path", "full_outer").withColumn("side", side)
-    rows = rows.withColumn("meet", F.coalesce(F.concat(F.lit("h"), hash_), F.concat(F.lit("p"), "note_path")))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("meet", "side").orderBy("note_path")))
+    rows = scratch.save(n.join(s, "note_path", "full_outer").withColumn("side", side), "met")
+    hash_ = F.when(F.col("side") == "new", F.col(f"n.{rename_on}")).otherwise(F.col("s.content_hash"))
+    loose = rows.where("side <> 'both'").withColumn("meet", F.coalesce(F.concat(F.lit("h"), hash_), F.concat(F.lit("p"), "note_path")))
     one = lambda kind: F.first(F.when(F.col("side") == kind, F.struct("note_path", "n", "s")), ignorenulls=True).alias(kind)
-    met = rows.groupBy("meet", "rank").agg(one("new"), one("gone"), one("both"))
+    met = ranked(loose, ["meet", "side"], "note_path", scratch).groupBy("meet", "rank").agg(one("new"), one("gone"))
 
-    n, s = F.col("both.n"), F.col("both.s")
+    n, s = F.col("n"), F.col("s")
     body, front = n["content_hash"] != _text(s["content_hash"]), n["frontmatter_hash"] != _text(s["frontmatter_hash"])
     differs = n.isNotNull() & (body | front)
     touched = F.coalesce(s["seen"], F.lit(False))
     conflict = touched | (F.coalesce(s["status"], F.lit("pending")) == "conflict")
-    changed = _change(path=F.col("both.note_path"), type=F.when(conflict, "conflict").otherwise("modified"), direction=F.when(conflict, "both").otherwise("push"), local_hash=n["full_hash"], local_mtime=n["mtime"], remote_mtime=F.when(touched, s["last_edited"]).otherwise(s["remote_mtime"]), frontmatter_only=front & ~body, page_id=s["page_id"])
+    changed = _change(path=F.col("note_path"), type=F.when(conflict, "conflict").otherwise("modified"), direction=F.when(conflict, "both").otherwise("push"), local_hash=n["full_hash"], local_mtime=n["mtime"], remote_mtime=F.when(touched, s["last_edited"]).otherwise(s["remote_mtime"]), frontmatter_only=front & ~body, page_id=s["page_id"])
     remote_only = lambda path, s: _change(path=path, type=F.when(s["archived"], "deleted").otherwise("modified"), direction=F.lit("pull"), remote_mtime=s["last_edited"], frontmatter_only=F.lit(False), page_id=s["page_id"])
     new, old = F.col("new"), F.col("gone")
     renamed = _change(path=new["note_path"], old_path=old["note_path"], type=F.lit("renamed"), direction=F.lit("push"), local_hash=new["n"][rename_on], local_mtime=new["n"]["mtime"], frontmatter_only=F.lit(False), page_id=old["s"]["page_id"])
@@ -99,12 +100,9 @@ def _changes(notes: DataFrame, state: DataFrame, seen: DataFrame | None, rename_
     old_seen = F.coalesce(old["s"]["seen"], F.lit(False))
     deleted = _change(path=old["note_path"], type=F.when(old_seen, "conflict").otherwise("deleted"), direction=F.when(old_seen, "both").otherwise("push"), remote_hash=old["s"]["content_hash"], remote_mtime=F.when(old_seen, old["s"]["last_edited"]), frontmatter_only=F.lit(False), page_id=old["s"]["page_id"])
     moved = new.isNotNull() & old.isNotNull()
-    out = F.array(
-        F.when(F.col("both").isNotNull(), F.when(differs, changed).when(touched, remote_only(F.col("both.note_path"), s))),
-        F.when(moved, renamed).when(new.isNotNull(), created).when(old.isNotNull(), deleted),
-        F.when(moved & old_seen, remote_only(old["note_path"], old["s"])),
-    )
-    return met.select(F.explode(F.filter(out, lambda c: c.isNotNull())).alias("c")).select("c.*")
+    stayed = rows.where("side = 'both'").select(F.when(differs, changed).when(touched, remote_only(F.col("note_path"), s)).alias("c")).where("c is not null")
+    moves = F.array(F.when(moved, renamed).when(new.isNotNull(), created).otherwise(deleted), F.when(moved & old_seen, remote_only(old["note_path"], old["s"])))
+    return stayed.unionByName(met.select(F.explode(F.filter(moves, lambda c: c.isNotNull())).alias("c"))).select("c.*")
 
 
 def local_changes(notes: DataFrame, state: DataFrame, rename_on: str = "full_hash") -> DataFrame:
