@@ -56,8 +56,8 @@ def renames(notes: DataFrame, state: DataFrame, rename_on: str = "full_hash") ->
     (a template, empty notes) is ranked in cells, so it needn't fit a task.
     """
     scratch = Scratch(notes.sparkSession, "renames")
-    new = new_notes(notes, state).select(F.col(rename_on).alias("hash"), F.col("note_path").alias("path"), "mtime").where("hash is not null")
-    old = vanished(notes, state).select(F.col("content_hash").alias("hash"), F.col("note_path").alias("old_path"), "page_id").where("hash is not null")
+    new = new_notes(notes, state).select(F.col(rename_on).alias("hash"), F.col("note_path").alias("path"), "mtime")
+    old = vanished(notes, state).select(F.col("content_hash").alias("hash"), F.col("note_path").alias("old_path"), "page_id")
     return aligned(new, old, "hash", "path", "old_path", scratch).select("hash", "path", "mtime", "old_path", "page_id")
 
 
@@ -100,9 +100,11 @@ def _changes(notes: DataFrame, state: DataFrame, seen: DataFrame | None, rename_
     old_seen = F.coalesce(old["s"]["seen"], F.lit(False))
     deleted = _change(path=old["note_path"], type=F.when(old_seen, "conflict").otherwise("deleted"), direction=F.when(old_seen, "both").otherwise("push"), remote_hash=old["s"]["content_hash"], remote_mtime=F.when(old_seen, old["s"]["last_edited"]), frontmatter_only=F.lit(False), page_id=old["s"]["page_id"])
     moved = new.isNotNull() & old.isNotNull()
-    stayed = rows.where("side = 'both'").select(F.when(differs, changed).when(touched, remote_only(F.col("note_path"), s)).alias("c")).where("c is not null")
+    stays = F.array(F.when(differs, changed).when(touched, remote_only(F.col("note_path"), s)))
     moves = F.array(F.when(moved, renamed).when(new.isNotNull(), created).otherwise(deleted), F.when(moved & old_seen, remote_only(old["note_path"], old["s"])))
-    return stayed.unionByName(met.select(F.explode(F.filter(moves, lambda c: c.isNotNull())).alias("c"))).select("c.*")
+    # Exploded, so that a change is made once and not anew for each of its fields.
+    each = lambda df, changes: df.select(F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c")).select("c.*")
+    return each(rows.where("side = 'both'"), stays).unionByName(each(met, moves))
 
 
 def local_changes(notes: DataFrame, state: DataFrame, rename_on: str = "full_hash") -> DataFrame:
