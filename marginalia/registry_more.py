@@ -230,6 +230,86 @@ def _turns(s, d):
     return rows.select(F.col("conv_id").alias("page_key"), path.alias("block_path"), (F.size(path) - 1).alias("depth"), kind.alias("type"), "text")
 
 
+#: Conversations, a hundred a page: every fourth turn is a block of the page, the turns up to the next one are its children.
+_PAGED = """WITH top AS (SELECT 'page-' || conv_id // 100 AS parent_id, conv_id || '-' || turn AS block_id, conv_id, turn FROM conversations WHERE turn % 4 = 0),
+    low AS (SELECT c.conv_id || '-' || (c.turn - c.turn % 4) AS parent_id, c.conv_id || '-' || c.turn AS block_id, c.conv_id, c.turn, top.parent_id AS page_id FROM conversations c JOIN top ON top.block_id = c.conv_id || '-' || (c.turn - c.turn % 4) WHERE c.turn % 4 <> 0),
+    blocks AS (SELECT parent_id AS page_id, parent_id, block_id, 0 AS depth, row_number() OVER (PARTITION BY parent_id ORDER BY conv_id, turn) - 1 AS pos FROM top
+        UNION ALL SELECT page_id, parent_id, block_id, 1, row_number() OVER (PARTITION BY parent_id ORDER BY turn) - 1 FROM low)"""
+
+
+def _workspace(s, d):
+    """Exports the conversations as blocks and the documents as pages of a database a source; where they lie."""
+    from .scratch import Scratch
+    from .sources import paged
+
+    scratch = Scratch(s, "workspace")
+    t = F.col("turn")
+    name = lambda turn: F.concat("conv_id", F.lit("-"), turn)
+    rows = v.table(s, d, "conversations").select("conv_id", "turn", "role", "text", name(t).alias("block_id"), name(t - t % 4).alias("top"))
+    parents = rows.where(t % 4 != 0).select(F.col("top").alias("block_id")).distinct().withColumn("has_children", F.lit(True))
+    page = F.concat(F.lit("page-"), F.floor(F.col("conv_id") / 100))
+    blocks = rows.join(parents, "block_id", "left").select("block_id", F.when(t % 4 == 0, page).otherwise(F.col("top")).alias("parent_id"), F.col("role").alias("type"), "text", F.coalesce("has_children", F.lit(False)).alias("has_children"), (F.col("conv_id") * 1000 + t).alias("at"))
+    paged.export_rows(blocks, f"{scratch.base}/blocks", "parent_id", "at", scratch)
+    docs = v.table(s, d, "documents")
+    pages = docs.select(F.coalesce("source", F.lit("none")).alias("database_id"), F.concat(F.lit("page-"), "doc_id").alias("page_id"), F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("lang").alias("tag"), (F.col("doc_id") % 19 == 0).alias("archived"), F.col("doc_id").alias("at"))
+    paged.export_rows(pages, f"{scratch.base}/pages", "database_id", "at", scratch)
+    return scratch.base
+
+
+def _trees(s, d):
+    from .sources import paged
+
+    base = _workspace(s, d)
+    ids = v.table(s, d, "conversations").select(F.concat(F.lit("page-"), F.floor(F.col("conv_id") / 100)).alias("page_id")).distinct()
+    return paged.fetch_trees(ids, lambda: paged.Export(base))
+
+
+@query(_PAGED + "SELECT page_id, parent_id, block_id, depth, pos, (pos // 100 + 1)::INT AS request FROM blocks")
+def paged_children(s, d):
+    """All blocks of all pages by requests of a hundred, level by level."""
+    return _trees(s, d).where("block_id is not null").select("page_id", "parent_id", "block_id", "depth", "pos", "request")
+
+
+@query(_PAGED + ", per AS (SELECT page_id, parent_id, count(*) AS n FROM blocks GROUP BY page_id, parent_id) SELECT page_id, sum(n)::BIGINT AS blocks, sum((n + 99) // 100)::BIGINT AS requests FROM per GROUP BY page_id")
+def page_requests(s, d):
+    from .sources.paged import request_counts
+
+    return request_counts(_trees(s, d))
+
+
+@query("""SELECT database_id, page_id, title, ((row_number() OVER (PARTITION BY database_id ORDER BY doc_id) - 1) // 100 + 1)::INT AS request FROM (
+    SELECT coalesce(source, 'none') AS database_id, doc_id, 'page-' || doc_id AS page_id, 'Doc ' || doc_id AS title FROM documents WHERE lang = 'en' AND doc_id % 19 <> 0)""")
+def database_query(s, d):
+    """The English pages of every database that aren't archived; both filters go with the requests, so pages are of what is wanted."""
+    from .sources import paged
+
+    pages = paged.query_pages(s, _workspace(s, d), wanted={"tag": "en", "archived": False})
+    return pages.select("database_id", "page_id", "title", "request")
+
+
+@query(_PAGED + " SELECT parent_id AS page_id, (pos // 100)::INT AS batch, count(*) AS blocks, 1::BIGINT AS sends FROM blocks WHERE depth = 0 GROUP BY ALL")
+def sent_requests(s, d):
+    """The blocks of all pages sent in batches of a hundred, and sent again: how often each request left."""
+    from .sources import sink
+    from .sources.remote import append_batches
+
+    t = F.col("turn")
+    page = F.concat(F.lit("page-"), F.floor(F.col("conv_id") / 100))
+    top = v.table(s, d, "conversations").where(t % 4 == 0).select(page.alias("page_key"), F.concat("conv_id", F.lit("-"), t).alias("block_id"), F.array("conv_id", t).alias("block_path"), F.lit(0).alias("depth"))
+    requests = sink.append_requests(append_batches(top), "page_key").repartition(2)
+    sink.register(s)
+    from .scratch import Scratch
+
+    base = Scratch(s, "sent").base
+    out = requests.write.format("workspace_requests").mode("append").options(service="marginalia.sources.sink:Outbox", path=f"{base}/outbox", ledger=f"{base}/ledger", perSecond="1000", writers="2")
+    out.save()
+    out.save()
+    left = s.read.schema(sink.REQUEST).json(f"{base}/outbox").withColumn("b", F.from_json("body", "page string, children array<string>"))
+    sends = left.groupBy("request_id", "b").agg(F.count(F.lit(1)).alias("sends"))
+    done = sink.ledger(s, f"{base}/ledger").where("state = 'done'")
+    return sends.join(done, "request_id").select(F.col("b.page").alias("page_id"), F.split("request_id", ":")[1].cast("int").alias("batch"), F.size("b.children").cast("bigint").alias("blocks"), "sends")
+
+
 @query("SELECT conv_id AS page_key, turn FROM conversations WHERE turn % 2 = 1 AND turn - 1 = 2")
 def child_blocks(s, d):
     from .sources.remote import children
