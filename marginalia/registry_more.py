@@ -595,3 +595,32 @@ def rendered_mentions(s, d):
     shown = blocks.render_links(raw, lk.resolve(_links(s, d), v.sync_state(s, d), v.aliases(s, d)))
     runs = shown.select("page_key", F.explode("rich_text").alias("r")).where("r.type = 'mention'")
     return runs.select("page_key", "r.page_id", "r.content").distinct().agg(F.count(F.lit(1)).alias("mentions"))
+
+
+#: A customer embeds those of half and a third of its number; some pairs embed each other.
+_NESTED = """WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM (SELECT c_custkey AS source, c_custkey // 2 AS target FROM customer UNION ALL SELECT c_custkey, c_custkey // 3 FROM customer
+        UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 50 = 17 UNION ALL SELECT c_custkey, c_custkey - 1 FROM customer WHERE c_custkey % 50 = 18)),
+    walk AS (SELECT source AS root, target, 1 AS depth FROM e UNION SELECT root, e.target, depth + 1 FROM walk JOIN e ON e.source = walk.target WHERE depth < 10),
+    reach AS (SELECT root, target, min(depth) AS depth FROM walk GROUP BY root, target)"""
+
+
+def _nested(s, d):
+    c = v.table(s, d, "customer").select(F.col("c_custkey").alias("c"))
+    targets = F.array(F.expr("c div 2"), F.expr("c div 3"), F.when(F.col("c") % 50 == 17, F.col("c") + 1).when(F.col("c") % 50 == 18, F.col("c") - 1))
+    return c.select(F.col("c").alias("source"), F.explode(targets).alias("target"), F.lit(False).alias("media")).where("target is not null")
+
+
+@query(_NESTED + " SELECT root, target, depth FROM reach")
+def embed_reach(s, d):
+    from .operators import embeds
+
+    return embeds.embed_reach(_nested(s, d))
+
+
+@query(_NESTED + """ SELECT root, min(depth)::INT AS depth FROM (SELECT r.root, r.depth + c.depth AS depth FROM reach r JOIN reach c ON c.root = r.target AND c.target = r.target
+    UNION ALL SELECT root, depth FROM reach WHERE root = target) WHERE depth <= 10 GROUP BY root""")
+def embed_repeats(s, d):
+    """At which depth a customer's embeds first come back to one on their way."""
+    from .operators import embeds
+
+    return embeds.first_repeats(_nested(s, d))
