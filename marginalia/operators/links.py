@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -38,6 +38,28 @@ def _targets(state: DataFrame) -> DataFrame:
     return state.where(F.col("page_id").isNotNull()).select("note_path", "page_id")
 
 
+def _grams(text_: Column) -> Column:
+    """All stretches of one to three characters."""
+    size = F.length(text_)
+    of = lambda q: F.when(size >= q, F.transform(F.sequence(F.lit(1), size - (q - 1)), lambda i: F.substr(text_, i, F.lit(q))))
+    return F.flatten(F.array(*(F.coalesce(of(q), F.array().cast("array<string>")) for q in (1, 2, 3))))
+
+
+def _rarest_gram_pairs(patterns: DataFrame, pages: DataFrame) -> DataFrame:
+    """(target, norm, note_path, page_id): each pattern (target, norm) with the pages that hold the rarest of its literal stretches.
+
+    A page that matches holds all of them. Only stretches of some pattern are taken from paths, and each pattern meets pages by one
+    of its own; one that is all wildcards has but those that every path has, and matches them all.
+    """
+    literal = F.flatten(F.transform(F.split(F.lower(F.concat(F.lit("/"), "norm", F.lit(".md"))), "[%_]"), _grams))
+    wanted = patterns.select("target", "norm", F.explode(F.array_distinct(literal)).alias("gram"))
+    held = pages.select("note_path", "page_id", F.explode(F.array_distinct(_grams(F.lower("note_path")))).alias("gram"))
+    held = held.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    counts = wanted.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+    rarest = counts.groupBy("target", "norm").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    return rarest.where("r.n > 0").select("target", "norm", F.col("r.gram").alias("gram")).join(held, "gram").drop("gram")
+
+
 def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: str = "target_name") -> DataFrame:
     """(target, page_id, note_path) of each distinct target that resolves, by the first arm that finds a page, ties by path:
 
@@ -45,7 +67,7 @@ def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: st
     regard to case, ``%`` and ``_`` standing for anything); 3 an alias equal to the raw target.
 
     The arms are equi-joins. The suffix arm joins on the lower-cased last path segment, then checks the whole; targets with
-    wildcards, which no key can serve, are matched against paths in a join of their own.
+    wildcards are checked against the paths that share a length or a rare stretch with them.
     """
     names = targets.select(F.col(target).alias("target")).where("target is not null").distinct().withColumn("norm", text.normalise_target(F.col("target")))
     pages = _targets(state)
@@ -57,7 +79,7 @@ def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: st
     plain = names.where(~wild).withColumn("last", F.lower(F.concat(basename(F.col("norm")), F.lit(".md"))))
     nested = plain.join(keyed, "last").where(F.lower("note_path").endswith(F.lower(F.concat(F.lit("/"), "norm", F.lit(".md"))))).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
     # ``_`` stands for one character, so what follows some slash of the path has the pattern's length, and begins as the pattern
-    # does before its first wildcard (up to three letters are keys). Only names with ``%`` meet all pages.
+    # does before its first wildcard (up to three letters are keys). Names with ``%`` meet pages by their rarest literal stretch.
     like = F.expr("note_path ilike concat('%/', replace(norm, '\\\\', '\\\\\\\\'), '.md')")
     any_length = F.contains("norm", F.lit("%"))
     head = F.least(F.instr("norm", F.lit("_")) - 1, F.lit(3))
@@ -66,7 +88,7 @@ def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: st
     tails = pages.withColumn("tail", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) + 1), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))).where("tail <> ''")
     tails = tails.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumns({"size": F.length("tail"), "head": F.lower(F.substr("tail", F.lit(1), F.col("n")))})
     odd = keys.join(tails, ["size", "n", "head"]).where(like).select("target", "note_path", "page_id")
-    odd = odd.unionByName(names.where(any_length).join(pages, like).select("target", "note_path", "page_id")).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
+    odd = odd.unionByName(_rarest_gram_pairs(names.where(any_length).select("target", "norm"), pages).where(like).select("target", "note_path", "page_id")).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
     known = aliases.select("alias_name", "note_path").join(pages, "note_path")
     named = names.join(known, F.col("target") == F.col("alias_name")).select("target", F.lit(3).alias("arm"), "note_path", "page_id")
     found = reduce(DataFrame.unionByName, [exact, same, root, nested, odd, named])

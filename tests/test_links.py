@@ -35,6 +35,29 @@ def test_wildcards_in_targets(spark):
     assert links.resolve(links_of(spark, [("s", "a_b"), ("s", "a%")]), state, none).count() == 2
 
 
+def test_wildcards_equal_brute_force_without_a_nested_loop(spark):
+    import re
+
+    rng = random.Random(4)
+    name = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    pages = {f"{name('ab', 2)}/{name('abC.é', 6)}.md": str(i) for i in range(120)} | {"x/100%.md": "p", "x/a\\\\b.md": "q", "top.md": "r"}
+    targets = sorted({name("abC%_.é", 5) for _ in range(80)} | {"%", "%%", "_%", "%é%", "zzz%", "100%", "a\\\\%", "x/%"})
+    state, none = state_of(spark, pages), spark.createDataFrame([], schema.PAGE_ALIASES)
+    found = links.resolve(links_of(spark, [("s", t) for t in targets]), state, none)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+    def fits(t, path):
+        t = t.removesuffix(".md")
+        if path in (t, f"{t}.md"):
+            return True
+        like = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in f"%/{t.lower()}.md")
+        return re.fullmatch(like, path.lower(), re.S) is not None
+
+    want = {t: min((p for p in pages if fits(t, p)), default=None) for t in targets}
+    assert {r["target"]: r["note_path"] for r in found.collect()} == {t: p for t, p in want.items() if p}
+
+
 def test_registry_and_stats(spark):
     state = state_of(spark, {"T.md": "p"})
     none = spark.createDataFrame([], schema.PAGE_ALIASES)
