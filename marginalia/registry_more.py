@@ -624,3 +624,29 @@ def embed_repeats(s, d):
     from .operators import embeds
 
     return embeds.first_repeats(_nested(s, d))
+
+
+@query("""SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g""")
+def debounce_timers(s, d):
+    """All events replayed as a stream; the last burst of each user comes out by its timer."""
+    import time
+
+    from .scratch import Scratch
+    from .streaming.timers import debounce_timers as bursts
+
+    base = Scratch(s, "debounce").base
+    table = v.table(s, d, "events")
+    stream = s.readStream.schema(table.schema).parquet(f"{d}/events.parquet*").select("user_id", "ts", F.col("event_type").alias("op"))
+    out = bursts(stream, 1800, 0.5, key="user_id").writeStream.format("parquet").option("path", f"{base}/bursts").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").start()
+    todo = table.count()
+    try:
+        while out.isActive and (todo > 0 or out.lastProgress is None or sum(o.numRowsTotal for o in out.lastProgress.stateOperators)):
+            time.sleep(0.2)
+            todo = table.count() - sum(p.numInputRows for p in out.recentProgress) if todo > 0 else todo
+        if out.exception():
+            raise out.exception()
+    finally:
+        out.stop()
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return s.read.parquet(f"{base}/bursts").select("user_id", ntz("first_ts"), ntz("last_ts"), "events")
