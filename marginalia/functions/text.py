@@ -130,6 +130,28 @@ def queries(body: Column) -> Column:
     return F.concat(found(QUERY_BLOCK, query_type, False), found(QUERY_JS, "JS", False), found(QUERY_INLINE, "INLINE", True))
 
 
+def _located(body: Column, regex: str) -> Column:
+    """Matches of a pattern with one group, in order: array of struct(raw, start_pos, end_pos). Offsets are in bytes, from 0; a match
+    begins after all pieces and matches before it."""
+    whole = F.regexp_extract_all(body, F.lit(regex), 0)
+    parts = F.arrays_zip(F.slice(F.split(body, regex, -1), F.lit(1), F.size(whole)).alias("before"), whole.alias("whole"), F.regexp_extract_all(body, F.lit(regex), 1).alias("raw"))
+    none = F.array().cast("array<struct<raw:string,start_pos:int,end_pos:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.octet_length(x["before"])
+        end = start + F.octet_length(x["whole"])
+        found = F.struct(x["raw"].alias("raw"), start.alias("start_pos"), end.alias("end_pos"))
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+
+
+def located_queries(body: Column) -> Column:
+    """As ``queries``, with the byte offsets of each one's first and behind its last character, its fence or quotes included."""
+    found = lambda regex, kind, inline: F.transform(_located(body, regex), lambda q: F.struct(q["raw"].alias("raw"), (kind(q["raw"]) if callable(kind) else F.lit(kind)).alias("type"), q["start_pos"].alias("start_pos"), q["end_pos"].alias("end_pos"), F.lit(inline).alias("inline")))
+    return F.concat(found(QUERY_BLOCK, query_type, False), found(QUERY_JS, "JS", False), found(QUERY_INLINE, "INLINE", True))
+
+
 def contains_query(body: Column) -> Column:
     return body.rlike(QUERY_BLOCK) | body.rlike(QUERY_INLINE) | body.rlike(QUERY_JS)
 

@@ -650,3 +650,16 @@ def debounce_timers(s, d):
         out.stop()
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return s.read.parquet(f"{base}/bursts").select("user_id", ntz("first_ts"), ntz("last_ts"), "events")
+
+
+@query("""WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, 'list ' || repeat('é', doc_id % 4) AS word, strlen('é `=this.é` ') AS before FROM documents),
+    b AS (SELECT *, before + n + 1 AS start_pos, before + n + 1 + strlen('```dataview' || chr(10) || word || chr(10) || '```') AS end_pos FROM t)
+    SELECT doc_id, 0 AS nth, 'LIST' AS type, word AS raw, start_pos, end_pos FROM b
+    UNION ALL SELECT doc_id, 1, 'INLINE', 'this.é', strlen('é '), strlen('é `=this.é`') FROM b
+    UNION ALL SELECT doc_id, 2, 'INLINE', 'b', end_pos + 1, end_pos + 1 + strlen('`=b`') FROM b""")
+def query_offsets(s, d):
+    """Byte offsets of queries before, behind and far behind each document's text, all with letters of several bytes."""
+    docs = v.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("list "), F.repeat(F.lit("é"), (F.col("doc_id") % 4).cast("int"))).alias("word"))
+    body = F.concat(F.lit("é `=this.é` "), "text", F.lit("\n```dataview\n"), "word", F.lit("\n```\n`=b`"))
+    found = docs.select("doc_id", F.posexplode(text.located_queries(body)).alias("nth", "q"))
+    return found.select("doc_id", "nth", "q.type", "q.raw", F.col("q.start_pos").cast("bigint").alias("start_pos"), F.col("q.end_pos").cast("bigint").alias("end_pos"))

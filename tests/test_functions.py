@@ -121,3 +121,19 @@ def test_typed_access(spark):
     assert column(spark, j, v(lambda c: fm.get_int(c, "n"))) == [3] and column(spark, j, v(lambda c: fm.get_int(c, "s"))) == [0]
     assert column(spark, j, v(lambda c: fm.get_bool(c, "b"))) == [True] and column(spark, j, v(lambda c: fm.get_bool(c, "s"))) == [False]
     assert column(spark, j, v(lambda c: fm.get_time(c, "d")))[0].year == 2024 and column(spark, j, v(lambda c: fm.has(c, "x"))) == [False]
+
+
+def test_query_offsets_are_bytes_of_the_whole_match(spark):
+    """Every match's bytes, cut out by its offsets, are its fence or quotes with what it holds."""
+    from marginalia.functions import text
+
+    bodies = ["", "no query", "`=a``=b`", "漢字 `=x` and `=漢` end", "```dataview\nlist é\n```\n`=y`\n```dataviewjs\ndv.é()\n```\n```dataview\ntask\n```", "```dataview\nopen", "`=a` `=a` `=a`"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    for r in df.select("body", text.located_queries(df["body"]).alias("q"), text.queries(df["body"]).alias("plain")).collect():
+        data = r["body"].encode()
+        for q in r["q"]:
+            cut = data[q["start_pos"] : q["end_pos"]].decode()
+            fence = "```dataviewjs\n%s\n```" if q["type"] == "JS" else "`=%s`" if q["inline"] else "```dataview\n%s\n```"
+            assert cut == fence % q["raw"]
+        assert [(q["raw"], q["type"], q["inline"]) for q in r["q"]] == [(q["raw"], q["type"], q["inline"]) for q in r["plain"]]
+        assert len({q["start_pos"] for q in r["q"]}) == len(r["q"])
