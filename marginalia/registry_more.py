@@ -663,3 +663,30 @@ def query_offsets(s, d):
     body = F.concat(F.lit("é `=this.é` "), "text", F.lit("\n```dataview\n"), "word", F.lit("\n```\n`=b`"))
     found = docs.select("doc_id", F.posexplode(text.located_queries(body)).alias("nth", "q"))
     return found.select("doc_id", "nth", "q.type", "q.raw", F.col("q.start_pos").cast("bigint").alias("start_pos"), F.col("q.end_pos").cast("bigint").alias("end_pos"))
+
+
+@query(with_views("""SELECT note_path, page_id, sum(resolved)::BIGINT AS resolved, sum(renamed)::BIGINT AS renamed FROM (
+        SELECT source_path AS note_path, 1 AS resolved, 0 AS renamed FROM link WHERE target_name NOT IN (SELECT target FROM resolved) AND target_name IN (
+            SELECT t.target FROM (SELECT DISTINCT target FROM edge) t JOIN diff2 n ON n.type = 'created' AND (n.path = t.target OR n.path = t.target || '.md' OR lower(n.path) LIKE '%/' || lower(t.target) || '.md')
+            UNION SELECT alias_name FROM alias JOIN diff2 n ON n.type = 'created' AND n.path = note_path)
+        UNION ALL SELECT source_path, 0, 1 FROM link JOIN resolved r ON r.target = target_name WHERE r.page_id IN (SELECT o.page_id FROM diff2 d JOIN state o ON o.note_path = d.old_path)) u
+    JOIN (SELECT note_path, page_id FROM state WHERE page_id <> '' AND note_path NOT IN (SELECT old_path FROM diff2 WHERE old_path IS NOT NULL)
+        UNION ALL SELECT path, 'made-' || path FROM diff2 WHERE type = 'created'
+        UNION ALL SELECT d.path, o.page_id FROM diff2 d JOIN state o ON o.note_path = d.old_path) p USING (note_path) GROUP BY note_path, page_id""", "link", "edge", "resolved", "alias", "diff2", "state"))
+def pages_to_render(s, d):
+    """After a push that made pages for new notes and moved renamed ones: the notes whose links changed by that."""
+    from .operators import relink
+
+    state, aliases = v.sync_state(s, d), v.aliases(s, d)
+    changes = _local(s, d)
+    created = changes.where("type = 'created'").select(F.col("path").alias("note_path"), F.concat(F.lit("made-"), "path").alias("page_id"))
+    moves = changes.where("type = 'renamed'").select("old_path", "path", "page_id")
+    after, _, _ = st.apply_renames(state, _links(s, d), aliases, moves.withColumnRenamed("path", "new_path"), _at())
+    return relink.pages_to_render(_resolved(s, d), created, moves, relink.with_pages(after, created), aliases)
+
+
+@query(with_views("SELECT o.page_id, regexp_replace(regexp_extract(d.path, '[^/]*$'), '[.][^.]*$', '') AS title FROM diff2 d JOIN state o ON o.note_path = d.old_path", "diff2", "state"))
+def renamed_titles(s, d):
+    from .operators import relink
+
+    return relink.rename_titles(_local(s, d).where("type = 'renamed'"))
