@@ -204,9 +204,13 @@ def extract_links(s, d):
     return lk.extract_links(v.notes(s, d)).select("source_path", F.col("pos").cast("bigint").alias("pos"), "target", "alias", "heading")
 
 
-@query(with_views("SELECT path AS source_path, 'img-' || (doc_id // 3) || '.png' AS target, true AS image, false AS pdf, CAST(100 AS BIGINT) AS width, CAST(200 AS BIGINT) AS height FROM notes", "notes"))
+@query(with_views("""SELECT path AS source_path, 'img-' || (doc_id // 3) || ['.png', '.pdf', '.mp3', '.webm', '.mkv', ''][doc_id % 6 + 1] AS target, doc_id % 6 = 0 AS image, doc_id % 6 = 1 AS pdf, doc_id % 6 IN (2, 3) AS audio, doc_id % 6 IN (3, 4) AS video,
+    [100, 0, 50, 7, 0, 12][doc_id % 6 + 1]::BIGINT AS width, [200, 0, 0, 9, 0, 0][doc_id % 6 + 1]::BIGINT AS height FROM notes""", "notes"))
 def extract_embeds(s, d):
-    return lk.extract_embeds(v.notes(s, d)).select("source_path", "target", "image", "pdf", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
+    """Embeds of six kinds, with both dimensions, one, none, or an alias that is none."""
+    ends = F.array(*map(F.lit, (".png|100x200", ".pdf", ".mp3|50", ".webm|7x9", ".mkv|wide", "|12x")))
+    notes = v.notes(s, d).select("path", F.replace("content", F.lit(".png|100x200"), F.element_at(ends, (F.col("doc_id") % 6 + 1).cast("int"))).alias("content"))
+    return lk.extract_embeds(notes).select("source_path", "target", "image", "pdf", "audio", "video", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
 
 
 @query(r"""SELECT page_id, regexp_extract(h, '^[^#^]*') AS page, CASE WHEN contains(h, '#') THEN regexp_extract(h, '^[^#]*#([^^]*)', 1) ELSE '' END AS heading FROM (SELECT page_id, regexp_extract(url, '//[^/]*/(.*)$', 1) AS h FROM pages)""")
@@ -424,7 +428,7 @@ def map_properties(s, d):
     return out.select("p_partkey", get("Name", "str").alias("title"), get("Size", "num").alias("size"), get("Even", "bool").alias("even"), F.array_join(get("Tags", "list"), ",").alias("tags"))
 
 
-@query("""SELECT p_partkey, 'Brand,Name' AS keys FROM part""")
+@query("""SELECT p_partkey, p_name AS name, p_brand AS brand, 'Brand,Name' AS keys FROM part""")
 def properties_round_trip(s, d):
     from .operators import properties as p
 
@@ -432,7 +436,7 @@ def properties_round_trip(s, d):
     fm = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))
     props = v.table(s, d, "part").select("p_partkey", fm.alias("fm"), p.to_properties(fm, F.array().cast("array<string>"), rules).alias("p"))
     back = props.select("p_partkey", "fm", "p", p.to_frontmatter(F.col("p"), rules).alias("back"))
-    return back.where((F.col("fm")["name"] == F.col("back")["name"]) & (F.col("fm")["brand"] == F.col("back")["brand"])).select("p_partkey", F.array_join(p.sorted_keys(F.col("p")), ",").alias("keys"))
+    return back.select("p_partkey", F.col("back")["name"].alias("name"), F.col("back")["brand"].alias("brand"), F.array_join(p.sorted_keys(F.col("p")), ",").alias("keys"))
 
 
 @query("""SELECT item_id, CAST(n AS BIGINT) AS n, CASE item_id % 5 WHEN 1 THEN 'LIST' WHEN 2 THEN 'TASK' WHEN 3 THEN 'CALENDAR' ELSE 'TABLE' END AS first_type, 'JS' AS second_type, 'INLINE' AS last_type FROM (SELECT item_id, 3 AS n FROM benchmark)""")

@@ -167,16 +167,15 @@ def recorded_conflicts(s, d):
     return _recorded(s, d)[0].select("note_path", "status")
 
 
-@query(with_views(f"SELECT note_path, content_hash, (SELECT max(seq) FROM history) AS before, (SELECT max(seq) + count(*) FROM history, ({_FOUND})) IS NOT NULL AS numbered FROM state WHERE note_path IN ({_FOUND})", "state", "history"))
+@query(with_views(f"""SELECT note_path, content_hash, (SELECT max(seq) FROM history) AS before, (SELECT max(seq) FROM history) + 1 AS first, (SELECT max(seq) FROM history) + (SELECT count(*) FROM state WHERE note_path IN ({_FOUND})) AS last,
+    (SELECT count(*) FROM state WHERE note_path IN ({_FOUND})) AS numbers FROM state WHERE note_path IN ({_FOUND})""", "state", "history"))
 def conflict_history(s, d):
     """The rows added to the history; their numbers follow the last one without gaps."""
-    from pyspark.sql import Window
-
     old = v.history(s, d)
     added = _recorded(s, d)[1].where("action = 'conflict' and details like '%\"remote_hash\":\"r\"%'")
     last = old.agg(F.max("seq").alias("before"))
-    marked = added.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(added.agg(F.max("seq").alias("top"), F.countDistinct("seq").alias("n"))))
-    return marked.select("note_path", "content_hash", "before", (F.col("top") - F.col("before") == F.col("n")).alias("numbered"))
+    given = added.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.countDistinct("seq").alias("numbers"))
+    return added.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(given)).select("note_path", "content_hash", "before", "first", "last", "numbers")
 
 
 @query(with_views("SELECT note_path, CASE WHEN status = 'conflict' AND length(note_path) % 2 = 0 THEN 'synced' ELSE status END AS status FROM state", "state"))
