@@ -27,7 +27,7 @@ def _after_last(c: Column, ch: str) -> Column:
     return F.when(F.contains(c, F.lit(ch)), F.regexp_extract(c, rf"(?s)\{ch}([^\{ch}]*)$", 1)).otherwise(F.lit(""))
 
 
-def _link(target: Column, alias: Column) -> Column:
+def link_struct(target: Column, alias: Column) -> Column:
     """The last ``^`` begins the block, then the last ``#`` the heading."""
     page = _before_last(target, "^")
     return F.struct(_before_last(page, "#").alias("target"), alias.alias("alias"), _after_last(page, "#").alias("heading"), _after_last(target, "^").alias("block"))
@@ -36,20 +36,20 @@ def _link(target: Column, alias: Column) -> Column:
 def links(body: Column) -> Column:
     """All ``[[target|alias]]`` of a text, the insides of embeds included, in order."""
     pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(LINK), 1).alias("t"), F.regexp_extract_all(body, F.lit(LINK), 2).alias("a"))
-    return F.transform(pairs, lambda x: _link(x["t"], F.coalesce(x["a"], F.lit(""))))
+    return F.transform(pairs, lambda x: link_struct(x["t"], F.coalesce(x["a"], F.lit(""))))
 
 
 def embeds(body: Column) -> Column:
     """All ``![[target|alias]]`` of a text, in order."""
     pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit("!" + LINK), 1).alias("t"), F.regexp_extract_all(body, F.lit("!" + LINK), 2).alias("a"))
-    return F.transform(pairs, lambda x: _link(x["t"], F.coalesce(x["a"], F.lit(""))))
+    return F.transform(pairs, lambda x: link_struct(x["t"], F.coalesce(x["a"], F.lit(""))))
 
 
 def parse_link(raw: Column) -> Column:
     """A single ``[[...]]`` or ``![[...]]``; null if it is none. The last ``|`` begins the alias."""
     embed = raw.startswith("![[")
     inner = F.regexp_extract(raw, r"(?s)^!?\[\[(.*)\]\]$", 1)
-    parts = _link(_before_last(inner, "|"), _after_last(inner, "|"))
+    parts = link_struct(_before_last(inner, "|"), _after_last(inner, "|"))
     return F.when(raw.rlike(r"(?s)^!?\[\[.*\]\]$"), F.struct(parts["target"].alias("target"), parts["alias"].alias("alias"), parts["heading"].alias("heading"), parts["block"].alias("block"), embed.alias("is_embed")))
 
 

@@ -1,96 +1,58 @@
-"""Whole notes parsed: frontmatter, links, embeds, tags and queries outside code. Arrow batches in Python, as YAML needs it."""
+"""Whole notes parsed: frontmatter, links, embeds, tags and queries outside code. Texts are read by expressions; only the
+frontmatter's block goes to Python, in Arrow batches, as YAML needs it."""
 
 from __future__ import annotations
 
-import bisect
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
+from ..functions import notes as nt
 from ..functions import text
 from ..session import share_package
 
-_FENCE = re.compile(r"^( {0,3})(`{3,}|~{3,})[^\n]*$", re.M)
-_CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-_LINK = re.compile(r"(!?)\[\[([^\[\]|]+)(?:\|([^\[\]]+))?\]\]")
-_TAG = re.compile(r"(?<![\w#&/\[])#((?=[\w/-]*[^\W\d])[\w/-]+)")
-_BLOCK_START = re.compile(r"^\s*(?:#{1,6}\s|[-*+]\s|\d+[.)]\s|>|\|)")
-
-
-def without_code(body: str) -> str:
-    """The body with fenced and inline code blanked out, every line and offset where it was."""
-    blank = lambda s: re.sub(r"[^\n]", " ", s)
-    out, at = [], 0
-    while m := _FENCE.search(body, at):
-        close = re.compile(rf"^ {{0,3}}{re.escape(m[2][0])}{{{len(m[2])},}}[ \t]*$", re.M).search(body, m.end())
-        end = close.end() if close else len(body)
-        out += [body[at : m.start()], blank(body[m.start() : end])]
-        at = end
-    out.append(body[at:])
-    return _CODE.sub(lambda m: blank(m[0]), "".join(out))
-
-
-def _block_lines(body: str) -> list[int]:
-    """Per line the number, from 1, of the line its block begins on."""
-    out, start, previous_blank = [], 1, True
-    for n, line in enumerate(body.split("\n"), 1):
-        if not line.strip():
-            previous_blank = True
-        elif previous_blank or _BLOCK_START.match(line):
-            start, previous_blank = n, False
-        out.append(start)
-    return out
-
-
-def _target(raw: str) -> tuple[str, str, str]:
-    page, _, block = raw.rpartition("^") if "^" in raw else (raw, "", "")
-    name, _, heading = page.rpartition("#") if "#" in page else (page, "", "")
-    return name, heading, block
-
-
-def parse_note(content: str, lenient: bool = False) -> dict:
-    """All parts of a note; ``error`` instead where its frontmatter is broken and the reading strict."""
-    out: dict = {"frontmatter": "{}", "body": content, "links": [], "embeds": [], "tags": [], "error": None}
-    try:
-        block, body = fm.split(content, lenient)
-        mapping = fm.parse(block, lenient)
-    except fm.FrontmatterError as e:
-        return out | {"error": str(e)}
-    plain = without_code(body)
-    lines, starts = _block_lines(body), [m.end() for m in re.finditer("\n", plain)]
-    for m in _LINK.finditer(plain):
-        name, heading, block_id = _target(m[2])
-        line = lines[bisect.bisect_right(starts, m.start())]
-        out["embeds" if m[1] else "links"].append({"target": name, "alias": m[3] or "", "heading": heading, "block": block_id, "line": line})
-    unlinked = _LINK.sub(lambda m: " " * len(m[0]), plain)
-    out["tags"] = [m[1] for m in _TAG.finditer(re.sub(r"^#{1,6}\s", lambda m: " " * len(m[0]), unlinked, flags=re.M))]
-    listed = mapping.get("tags")
-    if isinstance(listed, list):
-        out["tags"] += [str(t) for t in listed]
-    return out | {"frontmatter": fm.to_json(mapping), "body": body}
-
-
-_EDGE = pa.struct([("target", pa.string()), ("alias", pa.string()), ("heading", pa.string()), ("block", pa.string()), ("line", pa.int32())])
-_KINDS = {"frontmatter": pa.string(), "body": pa.string(), "links": pa.list_(_EDGE), "embeds": pa.list_(_EDGE), "tags": pa.list_(pa.string()), "error": pa.string()}
-_EDGES = "array<struct<target:string,alias:string,heading:string,block:string,line:int>>"
 
+def _read_yaml(lenient: bool):
+    """From blocks to struct(json, error)."""
 
-def parse_notes(notes: DataFrame, path: str = "path", content: str = "content", lenient: bool = False) -> DataFrame:
-    """path, frontmatter (VARIANT), body, links, embeds, tags, queries, error of every note; null content counts as empty."""
+    @F.pandas_udf("json string, error string")
+    def read(blocks: pd.Series) -> pd.DataFrame:
+        rows = []
+        for block in blocks:
+            try:
+                rows.append((fm.to_json(fm.parse(block, lenient)), None))
+            except fm.FrontmatterError as e:
+                rows.append(("{}", str(e)))
+        return pd.DataFrame(rows, columns=["json", "error"])
+
+    return read
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [parse_note(c or "", lenient) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in _KINDS.items())], ["path", *_KINDS])
 
+def parse_notes(notes: DataFrame, path: str = "path", content: str = "content", lenient: bool = False) -> DataFrame:
+    """path, frontmatter (VARIANT), body, links, embeds, tags, queries, error of every note; null content counts as empty.
+
+    Broken or unclosed frontmatter is an error: the content stays whole and links, embeds and tags are none. Leniently it is
+    read by lines, or all body. Tags are those of the text, then those of the frontmatter's list.
+    """
     share_package(notes.sparkSession)
-    schema = f"path string, frontmatter string, body string, links {_EDGES}, embeds {_EDGES}, tags array<string>, error string"
-    parsed = notes.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, schema)
-    return parsed.withColumns({"frontmatter": fm.variant(F.col("frontmatter")), "queries": text.queries(F.col("body"))})
+    whole = notes.select(F.col(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
+    cut = whole.withColumn("cut", nt.split_frontmatter(F.col("content"), lenient))
+    read = cut.withColumn("read", F.when(F.col("cut.block").rlike(r"\S"), _read_yaml(lenient)(F.col("cut.block"))))
+    error = F.when(F.col("cut.unclosed"), "frontmatter isn't closed").otherwise(F.col("read.error"))
+    read = read.select("path", fm.variant(F.coalesce("read.json", F.lit("{}"))).alias("frontmatter"), F.when(error.isNull(), F.col("cut.body")).otherwise(F.col("content")).alias("body"), error.alias("error"))
+    parts = read.withColumn("parts", nt.note_parts(F.when(F.col("error").isNull(), F.col("body"))))
+    kind = F.schema_of_variant(F.try_variant_get("frontmatter", "$.tags", "variant"))
+    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get("frontmatter", "$.tags", "array<string>"))
+    return parts.select("path", "frontmatter", "body", "parts.links", "parts.embeds", text.merge_tags(F.col("parts.tags"), listed).alias("tags"), "error", text.queries(F.col("body")).alias("queries"))
+
+
+def note_edges(notes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, links, embeds and the text's own tags of every note, without a Python worker: frontmatter is cut off unread, and what
+    isn't closed is text."""
+    body = nt.split_frontmatter(F.coalesce(F.col(content), F.lit("")), lenient=True)["body"]
+    parts = notes.select(F.col(path).alias("path"), body.alias("body")).withColumn("parts", nt.note_parts(F.col("body")))
+    return parts.select("path", "parts.links", "parts.embeds", "parts.tags")
 
 
 def page_aliases(parsed: DataFrame) -> DataFrame:

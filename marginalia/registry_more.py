@@ -76,13 +76,32 @@ def watched_paths(s, d):
     return wanted(v.notes(s, d).select(path.alias("path")), ["src1/*", "fr-1*"])
 
 
-@query(with_views("SELECT path, length(text) - length(replace(text, chr(10), '')) + 3 AS line, 'alias' AS alias, 'Part' AS heading FROM notes WHERE NOT contains(text, '`') AND NOT contains(text, '~~~')", "notes"))
+@query(with_views("SELECT path, length(text) - length(replace(text, chr(10), '')) + 3 AS line, 'alias' AS alias, 'Part' AS heading FROM notes", "notes"))
 def link_lines(s, d):
     from .operators import extract
 
-    plain = v.notes(s, d).where(~F.contains("content", F.lit("`")) & ~F.contains("content", F.lit("~~~")))
     at = F.element_at(F.filter("links", lambda e: e["heading"] == "Part"), 1)
-    return extract.parse_notes(plain).select("path", at["line"].cast("bigint").alias("line"), at["alias"].alias("alias"), at["heading"].alias("heading"))
+    return extract.note_edges(v.notes(s, d)).select("path", at["line"].cast("bigint").alias("line"), at["alias"].alias("alias"), at["heading"].alias("heading"))
+
+
+@query(with_views("""SELECT path, unnest([{'kind': 'link', 'target': 'before ' || doc_id, 'line': 1}, {'kind': 'link', 'target': 'behind ' || doc_id, 'line': n + CASE doc_id % 3 WHEN 0 THEN 9 WHEN 1 THEN 7 ELSE 4 END},
+    {'kind': 'embed', 'target': 'img-' || doc_id || '.png', 'line': n + CASE doc_id % 3 WHEN 0 THEN 9 WHEN 1 THEN 7 ELSE 4 END}, {'kind': 'tag', 'target': 'seen/' || lang, 'line': NULL}], recursive := true)
+    FROM (SELECT *, length(text) - length(replace(text, chr(10), '')) AS n FROM notes)""", "notes"))
+def edges_behind_code(s, d):
+    """Links, embeds and tags in front of the text and behind code of three kinds, none of those in the code. A fence of four marks holds one of
+    three, one of tildes one of backticks, and code in a line has a mark of its own inside; all go behind the note's whole text."""
+    from .operators import extract
+
+    k, doc = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    body = F.regexp_replace("content", r"(?s)\A---\n.*?\n---\n(.*)\n\nSee \[\[[^\n]*\n\z", "$1")
+    hidden = F.concat(F.lit("[[hidden "), doc, F.lit("]] ![[hidden.png]] #hidden"))
+    code = F.when(k == 0, F.concat(F.lit("````sql\n"), hidden, F.lit("\n```\n\n````"))).when(k == 1, F.concat(F.lit("~~~\n"), hidden, F.lit(" ```\n~~~"))).otherwise(F.concat(F.lit("`` ` "), hidden, F.lit(" ``")))
+    behind = F.concat(F.when(k == 2, " ").otherwise("\n"), F.lit("[[behind "), doc, F.lit("|x]] ![["), F.lit("img-"), doc, F.lit(".png|10]] #seen/"), F.regexp_extract("path", "/([a-z]+)-", 1))
+    content = F.concat(F.lit("---\na: [\n---\n[[before "), doc, F.lit("#h^b]]\n"), body, F.lit("\n\n"), code, behind, F.lit("\n"))
+    found = extract.note_edges(v.notes(s, d).select("path", content.alias("content")))
+    edge = lambda kind: lambda e: F.struct(F.lit(kind).alias("kind"), e["target"].alias("target"), e["line"].alias("line"))
+    tag = lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("target"), F.lit(None).cast("int").alias("line"))
+    return found.select("path", F.explode(F.concat(F.transform("links", edge("link")), F.transform("embeds", edge("embed")), F.transform("tags", tag))).alias("e")).select("path", "e.*")
 
 
 @query(with_views("SELECT path, sha256(body) AS body_hash, doc_id % 3 = 1 AS failed FROM (SELECT doc_id, path, CASE doc_id % 3 WHEN 0 THEN body WHEN 1 THEN '---' || chr(10) || 'title: [' || chr(10) || '---' || chr(10) || body ELSE body END AS body FROM notes)", "notes"))

@@ -23,13 +23,16 @@ second line [[C]]
 """
 
 
-def test_parse_note():
-    n = extract.parse_note(NOTE)
-    assert [(x["target"], x["alias"], x["heading"], x["block"], x["line"]) for x in n["links"]] == [("A/B.md", "al", "h", "b", 3), ("C", "", "", "", 9)]
-    assert [(x["target"], x["alias"]) for x in n["embeds"]] == [("img.png", "100x200")]
-    assert n["tags"] == ["no", "inline-tag", "second/tag", "one", "two"] or n["tags"] == ["inline-tag", "second/tag", "one", "two"]
-    assert extract.parse_note("---\na: [1\n---\nx")["error"] and extract.parse_note("---\na: [1\n---\nx", lenient=True)["error"] is None
-    assert extract.parse_note("---\nopen", lenient=True)["body"] == "---\nopen"
+def test_parse_note(spark):
+    texts = {"n": NOTE, "broken": "---\na: [1\n---\nx [[y]]", "open": "---\nopen"}
+    df = spark.createDataFrame(list(texts.items()), "path string, content string")
+    n = {r["path"]: r for r in extract.parse_notes(df).drop("frontmatter").collect()}
+    assert [tuple(x) for x in n["n"]["links"]] == [("A/B.md", "al", "h", "b", 3), ("C", "", "", "", 9)]
+    assert [(x["target"], x["alias"], x["line"]) for x in n["n"]["embeds"]] == [("img.png", "100x200", 9)]
+    assert n["n"]["tags"] == ["no", "inline-tag", "second/tag", "one", "two"]
+    assert n["broken"]["error"] and n["broken"]["links"] == [] and n["broken"]["body"] == texts["broken"]
+    lenient = {r["path"]: r for r in extract.parse_notes(df, lenient=True).drop("frontmatter").collect()}
+    assert lenient["broken"]["error"] is None and lenient["broken"]["body"] == "x [[y]]" and lenient["open"]["body"] == "---\nopen"
 
 
 def test_parse_notes(spark):
