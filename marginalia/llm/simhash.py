@@ -285,6 +285,13 @@ def _crossing(least: float) -> Callable[..., tuple[np.ndarray, ...]]:
         _, at = np.unique(np.concatenate([a.label, b.label]), return_inverse=True)
         la, lb = at[: len(a.label)], at[len(a.label) :]
         size_a, size_b = (np.array([len(h) for h in x.sets], np.int64) for x in (a, b))
+        parent = list(range(at.max() + 1))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
         group = np.arange(at.max() + 1)
         us, vs = [], []
         for i, j in _wide_hits(a.words, b.words, radius):
@@ -292,12 +299,15 @@ def _crossing(least: float) -> Callable[..., tuple[np.ndarray, ...]]:
             keep = (group[la[i]] != group[lb[j]]) & (np.minimum(size_a[i], size_b[j]) >= least * np.maximum(size_a[i], size_b[j]))
             if same:
                 keep &= i < j
+            found = len(us)
             for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-                one, two = group[la[x]], group[lb[y]]
+                one, two = root(la[x]), root(lb[y])
                 if one != two and similarity(a.sets[x], b.sets[y]) >= least:
-                    group[group == max(one, two)] = min(one, two)
+                    parent[max(one, two)] = min(one, two)
                     us.append(a.node[x])
                     vs.append(b.node[y])
+            if len(us) > found:
+                group = np.array([root(x) for x in range(len(parent))])
         u, v = (np.array(x, np.int64) for x in (us, vs))
         return u, v, np.zeros(len(u), np.int64)
 
