@@ -361,12 +361,14 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: float = 0.8, radius: int = WIDE_RADIUS, block: int | None = None) -> DataFrame:
+def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: float = 0.8, radius: int = WIDE_RADIUS, block: int | None = None, spent: DataFrame | None = None) -> DataFrame:
     """(node, root) of ``nodes`` (node, w0 to w3) linked to others: links are pairs within the radius whose ``sets`` are alike by ``least``.
 
     A comparison of all nodes gives the components under the radius alone. Inside those, nodes are checked against the root,
     then in rounds each against the nearest node of another group, which merges groups without listing their pairs; at last
-    all pairs that are left between different groups are checked in the cells that compare them, so no link is lost.
+    all pairs that are left between different groups are checked in the cells that compare them, so no link is lost. Only nodes
+    that the last round still found near another group go there with their sets: groups merge and never part, so the others
+    have no such pair. ``spent``, a saved table that ``sets`` is read from, is freed once those needed are copied.
     """
     own = F.col("node").alias("label")
     wide = components(scratch.save(compare(nodes.select("node", own, *_W), scratch, _forest_links, radius, block), "links"), scratch)
@@ -376,6 +378,8 @@ def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: f
     if not total:
         return wide
     sets = scratch.save(sets.join(inside.select("node").hint("merge"), "node", "left_semi"), "sets")
+    if spent is not None:
+        scratch.drop(spent)
     # Those alike to their root have its label; labels then merge, so each round's graph holds new links only.
     stars = _alike(wide.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), sets, least)
     at = inside.join(stars.select("u", "v"), F.col("node") == F.col("v"), "left").select("node", F.coalesce("u", "node").alias("label"), *_W)
@@ -387,7 +391,7 @@ def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: f
         return scratch.save(at.join(roots.withColumnRenamed("node", "old"), F.col("label") == F.col("old"), "left").select("node", F.coalesce("root", "label").alias("label"), *_W), "labelled")
 
     while True:
-        near = compare(at, scratch, _nearest, radius, block).groupBy("u").agg(F.min(F.struct("far", "v")).alias("near"))
+        near = scratch.save(compare(at, scratch, _nearest, radius, block).groupBy("u").agg(F.min(F.struct("far", "v")).alias("near")), "near")
         new = scratch.save(_alike(near.select(F.least("u", "near.v").alias("u"), F.greatest("u", "near.v").alias("v")), sets, least), "alike")
         merged = new.count()
         if merged:
@@ -395,9 +399,11 @@ def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: f
         if merged * 20 < total:
             break
     # Cells hold sets now, so blocks are bounded by bytes as well.
-    held = sets.agg(F.sum(F.octet_length("hashes"))).first()[0] or 1
-    fits = block or max(1, min(GRID_MOST, max(SETS_LEAST, -(-total // GRID)), SETS_BYTES * total // held))
-    rest = scratch.save(compare(at.join(sets.hint("merge"), "node"), scratch, _crossing(least), radius, fits), "alike")
+    open_nodes = at.join(near.select("u"), F.col("node") == F.col("u"), "left_semi")
+    crossing = scratch.save(open_nodes.join(sets.hint("merge"), "node"), "crossing")
+    left, held = crossing.agg(F.count(F.lit(1)), F.sum(F.octet_length("hashes"))).first()
+    fits = block or max(1, min(GRID_MOST, max(SETS_LEAST, -(-left // GRID)), SETS_BYTES * left // (held or 1)))
+    rest = scratch.save(compare(crossing, scratch, _crossing(least), radius, fits), "alike")
     if not rest.isEmpty():
         at = merge(at, rest)
     return at.select("node", F.col("label").alias("root"))
@@ -429,7 +435,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A node is a text, known by one of its rows; equal texts are compared once.
     nodes = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"), F.min("row").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(w).alias(w) for w in _W])
     nodes = scratch.save(nodes, "nodes")
-    groups = similar_groups(nodes, rows.select(F.col("row").alias("node"), "hashes"), scratch, least, radius)
+    groups = similar_groups(nodes, rows.select(F.col("row").alias("node"), "hashes"), scratch, least, radius, spent=rows)
     placed = nodes.select(F.col("node").alias("one"), "sha", "least").join(groups, F.col("one") == F.col("node"), "left").select("sha", "least", F.coalesce("root", "one").alias("root"))
     stay = placed.groupBy("root").agg(F.min(F.struct("least", "sha")).alias("one"))
     stay = scratch.save(stay.select(F.col("one.least.id").alias("__id"), F.col("one.sha").alias("__sha")), "stay")
