@@ -7,12 +7,13 @@ whole with numpy's exclusive-or and bit counts. From a pair of blocks only a spa
 all pairs, which loses no component. Components are then found over the links.
 
 ``near_duplicates`` links 64-bit fingerprints. ``drop_similar`` finds near copies by the similarity of their shingles: 256-bit
-fingerprints give the candidates, whose shingles are then compared.
+fingerprints, compared where texts share a shingle of their prefixes, give the candidates, whose shingles are then compared.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, ensure_workers, text_or_empty
-from .components import components
+from .components import components, stars
 
 PARTS, PART_BITS = 4, 16
 #: Fingerprints in a block, about.
@@ -176,6 +177,12 @@ WIDE_WORDS, WIDE_RADIUS = 4, 56
 GRID, GRID_LEAST, GRID_MOST = 12, 4096, 1 << 17
 #: The same where nodes carry their sets, whose bytes in a block are bounded too, about.
 SETS_LEAST, SETS_BYTES = 1024, 32 << 20
+#: Nodes that share a key and are compared in place; nodes of keys with more meet in the grid.
+KEY_MOST = 1000
+#: Texts whose shingles show which are common, how many of them a common one is in at least, and how many common ones are told apart.
+SEEN, COMMON, COMMON_MOST = 2000, 5, 50_000
+#: Tiles of components in the grid, at most.
+TILES = 1024
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)  # fixed constants of the splitmix64 generator
 
 
@@ -207,6 +214,17 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
+def prefix_keys(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first of a text's sorted shingles, so many that two texts with a similarity of ``least`` share at least one: what is left out
+    is less than the overlap that they need. The order is by hash, ``common`` (sorted) ones last; any order gives the same links."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets of hashes; two empty ones are alike."""
     joint = np.concatenate([a, b])
@@ -322,21 +340,25 @@ def compare(nodes: DataFrame, scratch: Scratch, work: Callable[..., tuple[np.nda
 
     Tiles are bands of population counts, one more than the radius wide, so tiles that aren't next to each other are skipped.
     A tile's blocks and its neighbour's make a grid of pairs of blocks; a node goes once to each of its pairs, with its set
-    (hashes) if it has that column.
+    (hashes) if it has that column. If nodes have a ``root``, only those of one root need to meet: tiles are then of whole roots.
     """
     carried = ["node", "label", *_W, *(c for c in nodes.columns if c == "hashes")]
     count = F.bit_count(_W[0])
     for c in _W[1:]:
         count = count + F.bit_count(c)
-    tiled = scratch.save(nodes.select(*carried, F.floor(count / (radius + 1)).cast("int").alias("tile")), "bands")
+    tile, steps = F.floor(count / (radius + 1)), (-1, 0, 1)
+    if "root" in nodes.columns:
+        nodes = scratch.save(nodes, "rooted")
+        tile, steps = F.pmod(F.xxhash64("root"), F.lit(max(1, min(TILES, nodes.count() // GRID_LEAST)))), (0,)
+    tiled = scratch.save(nodes.select(*carried, tile.cast("int").alias("tile")), "bands")
     block = block or min(GRID_MOST, max(GRID_LEAST, -(-tiled.count() // GRID)))
-    # At most 257 tiles.
+    # At most 257 bands, or TILES.
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).collect()
     cells = F.map_from_entries(F.array(*[F.struct(F.lit(r["tile"]), F.lit(r["blocks"])) for r in sizes])) if sizes else F.lit(None).cast("map<int,int>")
     blocks = lambda t: F.try_element_at(cells, t)
     partners = lambda t: F.when(blocks(t).isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce(blocks(t), F.lit(1)) - 1), lambda k: F.struct(t.alias("t"), k.alias("k")))).otherwise(F.array().cast("array<struct<t:int,k:int>>"))
     me = F.struct(F.col("tile").alias("t"), F.pmod(F.xxhash64("node"), blocks(F.col("tile"))).cast("int").alias("k"))
-    sent = tiled.select(*carried, me.alias("me"), F.explode(F.concat(*[partners((F.col("tile") + d).cast("int")) for d in (-1, 0, 1)])).alias("other"))
+    sent = tiled.select(*carried, me.alias("me"), F.explode(F.concat(*[partners((F.col("tile") + d).cast("int")) for d in steps])).alias("other"))
     sent = sent.select(F.least("me", "other").alias("one"), F.greatest("me", "other").alias("two"), (F.col("me") <= F.col("other")).alias("first"), *carried)
 
     def run(table: pa.Table) -> pa.Table:
@@ -361,34 +383,88 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def similar_groups(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: float = 0.8, radius: int = WIDE_RADIUS, block: int | None = None, spent: DataFrame | None = None) -> DataFrame:
-    """(node, root) of ``nodes`` (node, w0 to w3) linked to others: links are pairs within the radius whose ``sets`` are alike by ``least``.
+def _key_pairs(ends: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places (i, j) within lists that lie one after the other, each place's list ending at ``ends``; about ``most`` at a time."""
+    after = ends - np.arange(len(ends)) - 1
+    upto = np.cumsum(after)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most)))
+        n = after[at:stop]
+        i = np.repeat(np.arange(at, at + len(n)), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = stop
+
+
+def key_links(nodes: DataFrame, scratch: Scratch, least: float, radius: int = WIDE_RADIUS, block: int | None = None, most: int = KEY_MOST) -> DataFrame:
+    """Links (u, v) that connect all ``nodes`` (node, size, keys, w0 to w3) within the radius of each other that share a key and
+    whose sizes allow a similarity of ``least``. Nodes of keys that more than ``most`` have are compared in the grid, each pair once."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    counts = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    shared = keyed.join(counts.where(F.col("n") <= most).select("key").hint("merge"), "key")
+    member = F.struct("node", F.col("size").cast("long").alias("size"), *_W)
+    lists = shared.join(nodes.select("node", "size", *_W).hint("merge"), "node").groupBy("key").agg(F.collect_list(member).alias("all")).select("all")
 
-    A comparison of all nodes gives the components under the radius alone. Inside those, nodes are checked against the root,
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            ends = np.diff(lists.offsets.to_numpy())
+            ends = np.repeat(np.cumsum(ends), ends)
+            node, size, *words = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            words = [w.view(np.uint64) for w in words]
+            us, vs = [none], [none]
+            for i, j in _key_pairs(ends):
+                keep = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+                i, j = i[keep], j[keep]
+                far = np.zeros(len(i), np.int64)
+                for w in words:
+                    far += np.bitwise_count(w[i] ^ w[j])
+                i, j = i[far <= radius], j[far <= radius]
+                u, v = stars(node[i], node[j]) if len(i) else (none, none)
+                us.append(u)
+                vs.append(v)
+            u, v = np.concatenate(us), np.concatenate(vs)
+            u, v = stars(u, v) if len(u) else (none, none)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    links = lists.mapInArrow(run, "u long, v long")
+    many = counts.where(F.col("n") > most)
+    if many.isEmpty():
+        return links
+    often = keyed.join(many.select("key").hint("merge"), "key", "left_semi").select("node").distinct()
+    often = nodes.select("node", F.col("node").alias("label"), *_W).join(often.hint("merge"), "node")
+    return links.unionByName(compare(often, scratch, _forest_links, radius, block).select("u", "v"))
+
+
+def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, least: float = 0.8, radius: int = WIDE_RADIUS, block: int | None = None) -> DataFrame:
+    """(node, root) of ``nodes`` (node, size, keys, w0 to w3) linked to others: links are pairs within the radius whose sets are alike by
+    ``least``. ``sets_of``: gives the sets (node, hashes) of some nodes (node).
+
+    Nodes that are alike share a key, so those of a key are compared, which gives components of nodes within the radius. What is in
+    different components is never alike. Inside components, nodes are checked against the root,
     then in rounds each against the nearest node of another group, which merges groups without listing their pairs; at last
     all pairs that are left between different groups are checked in the cells that compare them, so no link is lost. Only nodes
     that the last round still found near another group go there with their sets: groups merge and never part, so the others
-    have no such pair. ``spent``, a saved table that ``sets`` is read from, is freed once those needed are copied.
+    have no such pair.
     """
-    own = F.col("node").alias("label")
-    wide = components(scratch.save(compare(nodes.select("node", own, *_W), scratch, _forest_links, radius, block), "links"), scratch)
+    wide = components(scratch.save(key_links(nodes, scratch, least, radius, block), "links"), scratch)
     wide = scratch.save(wide, "wide")
-    inside = scratch.save(nodes.join(wide.select("node"), "node", "left_semi").select("node", *_W), "inside")
+    inside = scratch.save(nodes.join(wide, "node").select("node", *_W, "root"), "inside")
     total = inside.count()
     if not total:
         return wide
-    sets = scratch.save(sets.join(inside.select("node").hint("merge"), "node", "left_semi"), "sets")
-    if spent is not None:
-        scratch.drop(spent)
+    sets = scratch.save(sets_of(inside.select("node")), "sets")
     # Those alike to their root have its label; labels then merge, so each round's graph holds new links only.
     stars = _alike(wide.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), sets, least)
-    at = inside.join(stars.select("u", "v"), F.col("node") == F.col("v"), "left").select("node", F.coalesce("u", "node").alias("label"), *_W)
+    at = inside.join(stars.select("u", "v"), F.col("node") == F.col("v"), "left").select("node", F.coalesce("u", "node").alias("label"), *_W, "root")
     at = scratch.save(at, "labelled")
 
     def merge(at: DataFrame, new: DataFrame) -> DataFrame:
         one, two = (at.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("u", "v"))
         roots = components(new.join(one, "u").join(two, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")), scratch)
-        return scratch.save(at.join(roots.withColumnRenamed("node", "old"), F.col("label") == F.col("old"), "left").select("node", F.coalesce("root", "label").alias("label"), *_W), "labelled")
+        roots = roots.select(F.col("node").alias("old"), F.col("root").alias("now"))
+        return scratch.save(at.join(roots, F.col("label") == F.col("old"), "left").select("node", F.coalesce("now", "label").alias("label"), *_W, "root"), "labelled")
 
     while True:
         near = scratch.save(compare(at, scratch, _nearest, radius, block).groupBy("u").agg(F.min(F.struct("far", "v")).alias("near")), "near")
@@ -413,29 +489,62 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` that stay, with all columns: of each group of texts linked by a Jaccard similarity of ``least`` or more of
     their sets of word shingles one row of the smallest id, that of the least text hash if the id repeats in it.
 
-    Candidates are texts whose wide fingerprints lie within the radius, three standard deviations beyond a similarity of 0.8;
-    their similarity is then checked. Null text counts as empty, and texts without words are alike. A null id stays only if
+    Candidates are texts that share a shingle of their prefixes and whose wide fingerprints lie within the radius, three standard
+    deviations beyond a similarity of 0.8; their similarity is then checked. Null text counts as empty, and texts without words are alike. A null id stays only if
     its group has no other. Of wholly repeated rows one stays. An empty table gives an empty one. Other columns pass through,
     whatever their names.
     """
     ensure_workers(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash-kept")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t.as_py(), words, seed) for t in batch.column(1)]
-            fps = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            hashes = pa.array([h.tobytes() for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), hashes, *(pa.array(fps[:, k]) for k in range(WIDE_WORDS))], ["id", "sha", "hashes", *_W])
+            found = [shingle_hashes(t.as_py(), words, seed) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
 
     text = text_or_empty(text_col)
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("sha", T.BinaryType()), T.StructField("hashes", T.BinaryType()), *[T.StructField(w, T.LongType()) for w in _W]])
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha")).mapInArrow(run, schema)
+    # The sample tells which shingles go last in the order of the keys: it saves comparisons and leaves the links as they are.
+    seen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SEEN))) == 0)
+    often = seen.mapInArrow(shingled, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    common = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect()], np.int64).view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys, fps = [], [], []
+            for t in batch.column(1):
+                h = shingle_hashes(t.as_py(), words, seed)
+                sizes.append(len(h))
+                keys.append(prefix_keys(h, common, least).view(np.int64))
+                fps.append(wide_fingerprint(h))
+            fps = np.array(fps, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            offsets = np.cumsum([0, *map(len, keys)])
+            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), keys, *(pa.array(fps[:, k]) for k in range(WIDE_WORDS))], ["id", "sha", "size", "keys", *_W])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t.as_py(), words, seed).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
+
+    sha = F.unhex(F.sha2(text.cast("binary"), 256))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("sha", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), *[T.StructField(w, T.LongType()) for w in _W]])
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), sha.alias("sha")).mapInArrow(run, schema)
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     # A node is a text, known by one of its rows; equal texts are compared once.
-    nodes = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"), F.min("row").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(w).alias(w) for w in _W])
+    nodes = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"), F.min("row").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", "keys", *_W)])
     nodes = scratch.save(nodes, "nodes")
-    groups = similar_groups(nodes, rows.select(F.col("row").alias("node"), "hashes"), scratch, least, radius, spent=rows)
+    scratch.drop(rows)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets are made again for the few texts near others, which is less than to keep them all."""
+        wanted = nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", "sha", "least.id", "n")
+        texts = docs.select(F.col(id_col).alias("__id"), sha.alias("__sha"), text.alias("text"))
+        found = texts.join(wanted.hint("merge"), (F.col("__sha") == F.col("sha")) & F.col("__id").eqNullSafe(F.col("id")))
+        if not wanted.where("n > 1").isEmpty():
+            found = found.dropDuplicates(["node"])  # an id may repeat with the same text
+        return found.select("node", "text").mapInArrow(sets, "node long, hashes binary")
+
+    groups = similar_groups(nodes, sets_of, scratch, least, radius)
     placed = nodes.select(F.col("node").alias("one"), "sha", "least").join(groups, F.col("one") == F.col("node"), "left").select("sha", "least", F.coalesce("root", "one").alias("root"))
     stay = placed.groupBy("root").agg(F.min(F.struct("least", "sha")).alias("one"))
     stay = scratch.save(stay.select(F.col("one.least.id").alias("__id"), F.col("one.sha").alias("__sha")), "stay")

@@ -124,3 +124,41 @@ def test_distance_stands_for_similarity():
 def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.drop_similar(frame(spark, [])).count() == 0
+
+
+def test_keys_are_compared_but_not_all_pairs(spark, monkeypatch):
+    """Texts that share nothing never meet; those of a key do, in place or, if many have it, in the grid."""
+    met, compare = [], simhash.compare
+    monkeypatch.setattr(simhash, "compare", lambda nodes, *rest: met.append(nodes.count()) or compare(nodes, *rest))
+    rng = random.Random(5)
+    alone = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)), "s", "k", "s") for i in range(300)]
+    twins = [(1000 + r[0], r[1] + " more", *r[2:]) for r in alone[:20]]
+    assert simhash.drop_similar(frame(spark, alone + twins)).count() == 300
+    assert max(met) == 40
+
+
+def test_key_pairs_are_all_pairs_of_each_list():
+    sizes = [1, 5, 2, 7]
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    for most in (1, 6, 1000):
+        found = [(int(a), int(b)) for i, j in simhash._key_pairs(ends, most) for a, b in zip(i, j, strict=True)]
+        assert sorted(found) == [(a, b) for a in range(15) for b in range(a + 1, 15) if ends[a] == ends[b]]
+
+
+def test_alike_sets_share_a_key_whatever_is_common():
+    rng = random.Random(2)
+    for n in (1, 4, 5, 9, 10, 37, 400):
+        for _ in range(20):
+            base = [rng.getrandbits(64) for _ in range(n)]
+            kept = math.ceil(0.8 * n)
+            a, b = np.unique(np.array(base, np.uint64)), np.unique(np.array(rng.sample(base, kept), np.uint64))
+            common = np.sort(np.array(rng.sample(base, rng.randrange(n + 1)), np.uint64))
+            assert simhash.similarity(a, b) >= 0.8
+            assert np.intersect1d(simhash.prefix_keys(a, common, 0.8), simhash.prefix_keys(b, common, 0.8)).size
+
+
+@pytest.mark.parametrize("most", [2, 1000])
+def test_links_of_keys_in_place_and_in_the_grid(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash.key_links, "__defaults__", (simhash.WIDE_RADIUS, None, most))
+    rows = awkward_rows() + [(1000 + r[0], *r[1:]) for r in near_copies(11)]
+    assert sorted(str(r["doc_id"]) for r in simhash.drop_similar(frame(spark, rows)).collect()) == brute_similar(rows)
