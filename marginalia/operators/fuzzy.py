@@ -7,6 +7,9 @@ names one of ``d + 1`` stretches survives the edits near its place (``_sketch``)
 
 The search widens distance by distance: a target that has found enough goes no further, so the wide and dear neighbourhoods are
 made only for targets that still lack matches.
+
+Joins are sort-merge joins at every size: a plan takes what a row explodes to for as large as the row, and would broadcast a
+neighbourhood of hundreds of times that through the driver.
 """
 
 from __future__ import annotations
@@ -59,8 +62,12 @@ def neighbourhood(names: DataFrame, name: str, distance: int) -> DataFrame:
 
 
 def _short_pairs(keys: DataFrame, held: DataFrame, distance: int) -> DataFrame:
-    asked, held = neighbourhood(keys, "t_key", distance), neighbourhood(held, "c_key", distance).withColumnRenamed("n", "c_n")
-    return asked.join(held, ["m", "left"]).where(F.col("m") == F.greatest("n", "c_n")).select("t_key", "c_key")
+    # Longs sort and move faster than strings; a hash that two have by chance adds a pair, whose distance is counted.
+    met = F.xxhash64("m", "left").alias("met")
+    asked = neighbourhood(keys, "t_key", distance).select("t_key", "m", met)
+    held = neighbourhood(held, "c_key", distance).select("c_key", met)
+    pairs = asked.join(held.hint("merge"), "met").where(F.col("m") == F.greatest(F.length("t_key"), F.length("c_key")))
+    return pairs.select("t_key", "c_key")
 
 
 # longer names
@@ -111,9 +118,9 @@ def _fits(lo: Column, differ: Column, distance: int) -> Callable[[Column], Colum
 
 def _long_pairs(keys: DataFrame, held: DataFrame, distance: int) -> DataFrame:
     near = SHORT - distance
-    asked = _dealt(keys.where(F.length("t_key") > near), "t_key").select("t_key", F.explode(_probes(F.col("t_key"), distance)).alias("k"))
-    held = held.where(F.length("c_key") > near).select("c_key", F.explode(F.array_distinct(_sketch(F.col("c_key"), distance))).alias("k"))
-    return asked.join(held, "k").select("t_key", "c_key")
+    asked = _dealt(keys.where(F.length("t_key") > near), "t_key").select("t_key", F.explode(_probes(F.col("t_key"), distance)).alias("k")).select("t_key", F.xxhash64("k").alias("met"))
+    held = held.where(F.length("c_key") > near).select("c_key", F.explode(F.array_distinct(_sketch(F.col("c_key"), distance))).alias("k")).select("c_key", F.xxhash64("k").alias("met"))
+    return asked.join(held.hint("merge"), "met").select("t_key", "c_key")
 
 
 def near_pairs(keys: DataFrame, held: DataFrame, distance: int) -> DataFrame:
@@ -128,14 +135,14 @@ def near_pairs(keys: DataFrame, held: DataFrame, distance: int) -> DataFrame:
 def prefix_pairs(keys: DataFrame, cands: DataFrame) -> DataFrame:
     """Keys and those candidates' keys that they begin, themselves included."""
     begun = cands.select("c_key", F.explode(F.transform(F.sequence(F.lit(0), F.length("c_key")), lambda n: F.substr("c_key", F.lit(1), n))).alias("t_key")).distinct()
-    return keys.join(begun, "t_key").select("t_key", "c_key")
+    return keys.join(begun.hint("merge"), "t_key").select("t_key", "c_key")
 
 
 def first_of_prefix(keys: DataFrame, cands: DataFrame, k: int) -> DataFrame:
     """(t_key, c_key, note_path, page_id): the k candidates nearest in length, then path, of those that each key begins. Only k rows
     of a prefix leave a task."""
     ends = F.transform(F.sequence(F.lit(0), F.length("c_key")), lambda n: F.substr("c_key", F.lit(1), n))
-    begun = cands.select("c_key", "note_path", "page_id", F.explode(ends).alias("t_key")).join(keys, "t_key", "left_semi")
+    begun = cands.select("c_key", "note_path", "page_id", F.explode(ends).alias("t_key")).join(keys.hint("merge"), "t_key", "left_semi")
     nearest = Window.partitionBy("t_key").orderBy(F.octet_length("c_key"), "note_path")
     return begun.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= k).drop("at")
 
@@ -159,7 +166,7 @@ def fuzzy_matches(targets: DataFrame, state: DataFrame, max_distance: int = 3, t
     names, cands = keyed(targets, target), candidates(state)
     keys, held = names.select("t_key").distinct(), cands.select("c_key").distinct()
     pairs = prefix_pairs(keys, held).unionByName(near_pairs(keys, held, max_distance)).distinct()
-    return names.join(scored(pairs, max_distance), "t_key").join(cands, "c_key").select("target", "note_path", "page_id", "score", "distance")
+    return names.join(scored(pairs, max_distance).hint("merge"), "t_key").join(cands.hint("merge"), "c_key").select("target", "note_path", "page_id", "score", "distance")
 
 
 def fuzzy_topk(targets: DataFrame, state: DataFrame, k: int = 3, max_distance: int = 3, target: str = "target_name", compared: list[int] | None = None) -> DataFrame:
@@ -178,9 +185,9 @@ def fuzzy_topk(targets: DataFrame, state: DataFrame, k: int = 3, max_distance: i
     for distance in range(1, max_distance + 1):
         has = found[-1].groupBy("t_key").agg(F.count(F.lit(1)).alias("n"))
         if distance == 1:
-            keys = keys.join(has, "t_key", "left").select("t_key", F.coalesce("n", F.lit(0)).alias("n"))
+            keys = keys.join(has.hint("merge"), "t_key", "left").select("t_key", F.coalesce("n", F.lit(0)).alias("n"))
         else:
-            keys = keys.join(has.withColumnRenamed("n", "more"), "t_key", "left").select("t_key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+            keys = keys.join(has.withColumnRenamed("n", "more").hint("merge"), "t_key", "left").select("t_key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
         keys = scratch.save(keys.where(F.col("n") < k), "open")
         if keys.isEmpty():
             break
@@ -188,7 +195,7 @@ def fuzzy_topk(targets: DataFrame, state: DataFrame, k: int = 3, max_distance: i
         if compared is not None:
             pairs = scratch.save(pairs, "pairs")
             compared.append(pairs.count())
-        at = scored(pairs, distance).where((F.col("score") == 1) & (F.col("distance") == distance)).join(cands, "c_key")
+        at = scored(pairs, distance).where((F.col("score") == 1) & (F.col("distance") == distance)).join(cands.hint("merge"), "c_key")
         at = at.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k).drop("at")
         found.append(scratch.save(at.select(*found[0].columns), "found"))
     every = found[0]
@@ -196,4 +203,4 @@ def fuzzy_topk(targets: DataFrame, state: DataFrame, k: int = 3, max_distance: i
         every = every.unionByName(more)
     best = Window.partitionBy("t_key").orderBy(F.desc("score"), "distance", "note_path")
     ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return names.join(ranked, "t_key").select("target", "note_path", "page_id", "score", "distance", "rank")
+    return names.join(ranked.hint("merge"), "t_key").select("target", "note_path", "page_id", "score", "distance", "rank")

@@ -54,10 +54,10 @@ def _rarest_gram_pairs(patterns: DataFrame, pages: DataFrame) -> DataFrame:
     literal = F.flatten(F.transform(F.split(F.lower(F.concat(F.lit("/"), "norm", F.lit(".md"))), "[%_]"), _grams))
     wanted = patterns.select("target", "norm", F.explode(F.array_distinct(literal)).alias("gram"))
     held = pages.select("note_path", "page_id", F.explode(F.array_distinct(_grams(F.lower("note_path")))).alias("gram"))
-    held = held.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = held.join(wanted.select("gram").distinct().hint("merge"), "gram", "left_semi")
     counts = wanted.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
     rarest = counts.groupBy("target", "norm").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    return rarest.where("r.n > 0").select("target", "norm", F.col("r.gram").alias("gram")).join(held, "gram").drop("gram")
+    return rarest.where("r.n > 0").select("target", "norm", F.col("r.gram").alias("gram")).join(held.hint("merge"), "gram").drop("gram")
 
 
 def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: str = "target_name") -> DataFrame:
@@ -87,7 +87,7 @@ def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: st
     parts = F.split("note_path", "/")
     tails = pages.withColumn("tail", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) + 1), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))).where("tail <> ''")
     tails = tails.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumns({"size": F.length("tail"), "head": F.lower(F.substr("tail", F.lit(1), F.col("n")))})
-    odd = keys.join(tails, ["size", "n", "head"]).where(like).select("target", "note_path", "page_id")
+    odd = keys.join(tails.hint("merge"), ["size", "n", "head"]).where(like).select("target", "note_path", "page_id")
     odd = odd.unionByName(_rarest_gram_pairs(names.where(any_length).select("target", "norm"), pages).where(like).select("target", "note_path", "page_id")).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
     known = aliases.select("alias_name", "note_path").join(pages, "note_path")
     named = names.join(known, F.col("target") == F.col("alias_name")).select("target", F.lit(3).alias("arm"), "note_path", "page_id")

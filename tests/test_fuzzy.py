@@ -67,3 +67,14 @@ def test_empty_sides(spark):
     assert links.fuzzy_topk(none, state_of(spark, {"a.md": "1"})).count() == 0
     assert links.fuzzy_topk(some, state_of(spark, {"a.md": None})).count() == 0
     assert fuzzy.fuzzy_matches(some, state_of(spark, {"a.md": ""})).count() == 0
+
+
+def test_neighbourhoods_are_never_broadcast(spark):
+    """What names explode to is hundreds of times what the plan takes it for, so it must not go through the driver."""
+    names = spark.createDataFrame([(f"name {i}",) for i in range(50)], "t_key string")
+    held = names.withColumnRenamed("t_key", "c_key")
+    for distance in (1, 3):
+        plan = fuzzy.near_pairs(names, held, distance)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    cands = held.selectExpr("c_key", "c_key AS note_path", "c_key AS page_id")
+    assert "Broadcast" not in fuzzy.first_of_prefix(names, cands, 3)._jdf.queryExecution().sparkPlan().toString()
