@@ -17,11 +17,18 @@ _RUN = pa.struct([(n, pa.string() if n in ("type", "content", "link", "page_id",
 _KINDS = {"page_key": pa.string(), "block_path": pa.list_(pa.int32()), "depth": pa.int32(), "type": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "rich_text": pa.list_(_RUN)}
 
 
+#: Notes whose blocks are held at once.
+NOTES = 250
+
+
 def note_blocks(notes: DataFrame, key: str = "path", body: str = "body", icons: dict[str, str] | None = None) -> DataFrame:
-    """schema.BLOCKS of every note's body. Links stay unresolved runs of type ``link`` until ``render_links``."""
+    """schema.BLOCKS of every note's body. Links stay unresolved runs of type ``link`` until ``render_links``.
+
+    Notes are dealt out over all tasks first: reading one takes long, and a table of one file or row group would be one task's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, NOTES) for b in batches for at in range(0, b.num_rows, NOTES)):
             rows = []
             for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for path, b in md.flat(md.parse(text or "", icons=icons)):
@@ -30,7 +37,8 @@ def note_blocks(notes: DataFrame, key: str = "path", body: str = "body", icons:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, _KINDS.values(), strict=True)], list(_KINDS))
 
     share_package(notes.sparkSession)
-    return notes.select(F.col(key).cast("string").alias("page_key"), F.col(body).alias("body")).mapInArrow(run, BLOCKS)
+    pages = notes.select(F.col(key).cast("string").alias("page_key"), F.col(body).alias("body"))
+    return pages.repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_key").mapInArrow(run, BLOCKS)
 
 
 def render_links(blocks: DataFrame, resolved: DataFrame, style: str = "placeholder") -> DataFrame:

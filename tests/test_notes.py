@@ -109,3 +109,12 @@ def test_edges_need_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
     parsed = extract.parse_notes(df)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in parsed and "ArrowEvalPython" in parsed
+
+
+def test_notes_of_one_file_are_dealt_out(spark, tmp_path):
+    """A table in one row group is one task's to read, but not to parse."""
+    from marginalia.operators import blocks
+
+    spark.range(40).selectExpr("id AS path", "concat('- a ', id) AS body").coalesce(1).write.parquet(f"{tmp_path}/notes")
+    made = blocks.note_blocks(spark.read.parquet(f"{tmp_path}/notes")).withColumn("task", F.spark_partition_id())
+    assert made.count() == 40 and made.select("task").distinct().count() > 1
