@@ -64,12 +64,14 @@ def blocks_markdown(blocks: DataFrame, paths: DataFrame | None = None, icons: di
     if paths is not None:
         mentions = blocks.select("page_key", F.explode("rich_text").alias("r")).where("r.type = 'mention'").select("page_key", F.col("r.page_id").alias("page_id")).distinct()
         named = mentions.join(paths.select("page_id", "note_path"), "page_id").groupBy("page_key").agg(F.map_from_entries(F.collect_list(F.struct("page_id", F.regexp_replace("note_path", r"\.md\z", "").alias("p")))).alias("paths"))
-    pages = blocks.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("block_path", "type", "attrs", "rich_text")), lambda a, b: F.when(a["block_path"] < b["block_path"], -1).when(a["block_path"] > b["block_path"], 1).otherwise(0)).alias("blocks"))
+    # Dealt by number, which adaptive plans leave as it is: few bytes of blocks take long to render.
+    dealt = blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_key")
+    pages = dealt.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("block_path", "type", "attrs", "rich_text")), lambda a, b: F.when(a["block_path"] < b["block_path"], -1).when(a["block_path"] > b["block_path"], 1).otherwise(0)).alias("blocks"))
     none = F.lit(None).cast("map<string,string>")
     pages = pages.join(named, "page_key", "left") if paths is not None else pages.withColumn("paths", none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, NOTES) for b in batches for at in range(0, b.num_rows, NOTES)):
             texts = []
             for rows, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 tree = md.nest([(r["block_path"], md.Block(r["type"], r["rich_text"] or [], dict(r["attrs"] or []))) for r in rows])
