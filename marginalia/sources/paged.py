@@ -8,13 +8,16 @@ gives ``databases()`` and ``query(database_id, wanted, cursor, size)``. ``Export
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from importlib import import_module
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,9 @@ PAGE = "database_id string, page_id string, title string, tag string, archived b
 
 Answer = tuple[pa.Table, int | None]
 
+#: Bytes of a row group of an export, about: what a request reads at most before its first row.
+ROW_GROUP = 1 << 20
+
 
 def _names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
@@ -54,24 +60,74 @@ def cursor_loop(ask: Callable[[int | None], Answer], wait: Callable[[], None] =
 def export_rows(rows: DataFrame, path: str, parent: str, order: str, scratch: Scratch) -> None:
     """Writes rows by parent and place (``pos``, from 0, by ``order``), in files that each hold a range of them."""
     placed = ranked(rows, [parent], order, scratch).withColumn("pos", F.col("rank") - 1).drop("rank", order)
-    placed.repartitionByRange(parent, "pos").sortWithinPartitions(parent, "pos").write.parquet(path)
+    placed.repartitionByRange(parent, "pos").sortWithinPartitions(parent, "pos").write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
 
 
 class Export:
     """A service over two exported tables, ``blocks`` (``BLOCK``) and ``pages`` (``PAGE``), below ``path``, which tasks can read. A
-    cursor is the place of the next row."""
+    cursor is the place of the next row.
+
+    Rows lie in order over files and row groups, whose footers say which parents they hold, so a request reads the row groups of its
+    rows alone. The last one read is kept: parents asked in order read each about once.
+    """
 
     def __init__(self, path: str):
         self._fs, self._root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        self._open: dict[str, ds.Dataset] = {}
+        self._open: dict[str, list[tuple[str, str, int, int, str, int]]] = {}
+        self._none: dict[str, pa.Table] = {}
+        self._last: tuple[tuple[str, int] | None, pa.Table | None] = (None, None)
+        self._goes_on: tuple[tuple[str, str, int | None] | None, int] = (None, 0)
+        #: Row groups read.
+        self.reads = 0
+
+    def _groups(self, table: str, parent: str) -> list[tuple[str, str, int, int, str, int]]:
+        """Row groups in the order of their rows: first and last parent, least and greatest pos, file, number. Read once a task."""
+        if table not in self._open:
+            found = []
+            for info in self._fs.get_file_info(fs.FileSelector(f"{self._root}/{table}")):
+                if not info.path.endswith(".parquet"):
+                    continue
+                with pq.ParquetFile(info.path, filesystem=self._fs) as file:
+                    self._none[table] = file.schema_arrow.empty_table()
+                    at = {name: file.schema_arrow.get_field_index(name) for name in (parent, "pos")}
+                    for g in range(file.num_row_groups):
+                        names, places = (file.metadata.row_group(g).column(at[c]).statistics for c in (parent, "pos"))
+                        if names is not None and names.has_min_max and places is not None and places.has_min_max:
+                            found.append((names.min, names.max, places.min, places.max, info.path, g))
+                        elif names is None or names.null_count != file.metadata.row_group(g).num_rows:
+                            rows = file.read_row_group(g, columns=[parent, "pos"]).drop_null()
+                            if len(rows):
+                                ends = (pc.min_max(rows.column(c)).as_py() for c in (parent, "pos"))
+                                found.append((*(e[k] for e in ends for k in ("min", "max")), info.path, g))
+            self._open[table] = sorted(found)
+        return self._open[table]
+
+    def _read(self, path: str, group: int) -> pa.Table:
+        if self._last[0] != (path, group):
+            with pq.ParquetFile(path, filesystem=self._fs) as file:
+                self._last = (path, group), file.read_row_group(group)
+            self.reads += 1
+        return self._last[1]
 
     def _page(self, table: str, parent: str, parent_id: str, cursor: int | None, size: int, also: ds.Expression | None = None) -> Answer:
-        if table not in self._open:
-            self._open[table] = ds.dataset(f"{self._root}/{table}", filesystem=self._fs, format="parquet")
+        groups = self._groups(table, parent)
         which = (ds.field(parent) == parent_id) & (ds.field("pos") >= (cursor or 0))
-        # Files and their rows lie in order, so the first rows found are the page; one more tells whether there is a next.
-        found = self._open[table].scanner(filter=which if also is None else which & also).head(size + 1)
-        return found.slice(0, size), found.column("pos")[size].as_py() if len(found) > size else None
+        # A page that goes on begins in the row group that the one before it ended in.
+        at = self._goes_on[1] if self._goes_on[0] == (table, parent_id, cursor) else bisect_left(groups, parent_id, key=lambda g: g[1])
+        parts, n = [], 0
+        # The first rows found are the page; one more tells whether there is a next.
+        while at < len(groups) and groups[at][0] <= parent_id and n <= size:
+            _, _, _, last, path, group = groups[at]
+            if last >= (cursor or 0):
+                parts.append(self._read(path, group).filter(which if also is None else which & also).slice(0, size + 1 - n))
+                n += len(parts[-1])
+            at += 1
+        if not parts:
+            return self._none[table], None
+        found = pa.concat_tables(parts)
+        after = found.column("pos")[size].as_py() if len(found) > size else None
+        self._goes_on = (table, parent_id, after), at - 1
+        return found.slice(0, size), after
 
     def children(self, parent_id: str, cursor: int | None, size: int) -> Answer:
         return self._page("blocks", "parent_id", parent_id, cursor, size)
@@ -134,7 +190,8 @@ def fetch_trees(pages: DataFrame, connect: Callable[[], object], size: int = PAG
             break
         if depth == deepest:
             raise ValueError(f"blocks more than {deepest} deep")
-        asked = parents.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "parent_id")
+        # In ranges and in order, as services keep their rows: neighbours are read together.
+        asked = parents.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "parent_id").sortWithinPartitions("parent_id")
         # Written before the join, so that no request is made twice.
         got = scratch.save(fetch_children(asked, connect, size, limiter), "level")
         level = got.join(parents, "parent_id").select("page_id", F.when(F.col("block_id").isNotNull(), F.concat("above", F.array("pos"))).alias("block_path"), F.lit(depth).alias("depth"), "block_id", "parent_id", "type", "text", "has_children", "pos", "request")

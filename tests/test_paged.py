@@ -86,3 +86,22 @@ def test_an_export_gives_back_its_rows(spark, size):
     for p in range(5):
         got = [(n, x) for n, page in paged.cursor_loop(lambda at, p=p: service.children(f"p{p}", at, size)) for x in page.column("block_id").to_pylist()]
         assert got == [(i // size + 1, f"b{p}-{i}") for i in range(p * 11)]
+
+
+def test_a_request_reads_the_row_groups_of_its_rows(spark, monkeypatch):
+    """Parents asked in order read each row group about once, however many there are; a page may begin in one and end in the next."""
+    monkeypatch.setattr(paged, "ROW_GROUP", 2000)
+    scratch = Scratch(spark, "export-groups")
+    spark.range(6000).selectExpr("concat('b', id) AS block_id", "concat('p', lpad(cast(pow(id / 6000, 2) * 400 AS int), 3, '0')) AS parent_id", "'x' AS type", "sha2(cast(id AS string), 256) AS text", "false AS has_children", "id AS at").createOrReplaceTempView("made")
+    rows = spark.table("made")
+    paged.export_rows(rows, f"{scratch.base}/blocks", "parent_id", "at", scratch)
+    service = paged.Export(scratch.base)
+    want = {}
+    for r in rows.orderBy("at").collect():
+        want.setdefault(r["parent_id"], []).append(r["block_id"])
+    for p in sorted(want):
+        assert [x for _, page in paged.cursor_loop(lambda at, p=p: service.children(p, at, 7)) for x in page.column("block_id").to_pylist()] == want[p]
+    groups = len(service._groups("blocks", "parent_id"))
+    assert groups > 10 and service.reads <= 2 * groups
+    for p in ("a", "p2000", "q"):
+        assert service.children(p, None, 7)[1] is None and not len(service.children(p, None, 7)[0])
