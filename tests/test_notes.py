@@ -118,3 +118,12 @@ def test_notes_of_one_file_are_dealt_out(spark, tmp_path):
     spark.range(40).selectExpr("id AS path", "concat('- a ', id) AS body").coalesce(1).write.parquet(f"{tmp_path}/notes")
     made = blocks.note_blocks(spark.read.parquet(f"{tmp_path}/notes")).withColumn("task", F.spark_partition_id())
     assert made.count() == 40 and made.select("task").distinct().count() > 1
+
+
+def test_pages_of_few_bytes_are_rendered_in_several_tasks(spark):
+    """Adaptive plans would gather them into one task."""
+    from marginalia.operators import blocks
+
+    made = blocks.note_blocks(spark.range(40).selectExpr("id AS path", "concat('- a ', id) AS body"))
+    pages = blocks.blocks_markdown(made).withColumn("task", F.spark_partition_id())
+    assert pages.count() == 40 and pages.select("task").distinct().count() > 1
