@@ -128,7 +128,8 @@ class Sent(WriterCommitMessage):
 
 class _Requests:
     def __init__(self, options: dict[str, str]):
-        self.options = dict(options)
+        # Spark hands option names over in lower case.
+        self.options = {k.lower(): v for k, v in options.items()}
         for needed in ("service", "ledger"):
             if needed not in self.options:
                 raise ValueError(f"option {needed} is missing")
@@ -137,7 +138,7 @@ class _Requests:
     def write(self, iterator: Iterator[Row]) -> Sent:
         module, _, name = self.options["service"].partition(":")
         service = getattr(import_module(module), name)(self.options.get("path"))
-        slots = Slots(float(self.options.get("perSecond", 3)), TaskContext.get().partitionId(), int(self.options.get("writers", 1)), self.start)
+        slots = Slots(float(self.options.get("persecond", 3)), TaskContext.get().partitionId(), int(self.options.get("writers", 1)), self.start)
         return Sent(send_all(iterator, service, Ledger(self.options["ledger"]), slots.wait, self.options.get("resend", "false") == "true"))
 
     def totals(self, messages: list[Sent | None]) -> dict[str, int]:

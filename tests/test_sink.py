@@ -1,6 +1,7 @@
 """The sink: each request once, whatever fails, at one rate for all writers."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -61,6 +62,24 @@ def test_a_second_run_sends_only_what_is_new(spark, tmp_path):
     assert {r["state"] for r in sink.ledger(spark, f"{tmp_path}/ledger").collect()} == {"done"}
 
 
+class Timed(sink.Outbox):
+    """Notes when each request left."""
+
+    def send(self, request_id, kind, body):
+        name = super().send(request_id, kind, body)
+        return f"{time.time()} {name}"
+
+
+def test_the_rate_is_the_one_asked_for(spark, tmp_path):
+    """Not the default of three a second, whatever Spark does to the case of an option's name."""
+    for rate, least, most in (("1000", 0, 3), ("10", 1.7, 5)):
+        folder = tmp_path / rate
+        folder.mkdir()
+        write(spark, requests(20), folder, service="tests.test_sink:Timed", perSecond=rate)
+        at = [float(r["answer"].split()[0]) for r in sink.ledger(spark, f"{folder}/ledger").collect()]
+        assert len(at) == 20 and least <= max(at) - min(at) < most
+
+
 def test_refusals_are_tried_again_and_then_fail_the_batch(spark, tmp_path):
     write(spark, requests(4, "refuse"), tmp_path)
     assert sent(tmp_path) == ["id0", "id1", "id2", "id3"]
