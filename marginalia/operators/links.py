@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.globs import basename
+from ..scratch import Scratch
 from .fuzzy import candidates, fuzzy_matches, fuzzy_topk
 
 __all__ = ["candidates", "fuzzy_matches", "fuzzy_topk"]
@@ -60,6 +61,21 @@ def _rarest_gram_pairs(patterns: DataFrame, pages: DataFrame) -> DataFrame:
     return rarest.where("r.n > 0").select("target", "norm", F.col("r.gram").alias("gram")).join(held.hint("merge"), "gram").drop("gram")
 
 
+def _wildcards(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """(target, note_path, page_id) of names (target, norm) with ``_`` or ``%`` and the paths whose end matches."""
+    # ``_`` stands for one character, so what follows some slash of the path has the pattern's length, and begins as the pattern
+    # does before its first wildcard (up to three letters are keys). Names with ``%`` meet pages by their rarest literal stretch.
+    like = F.expr("note_path ilike concat('%/', replace(norm, '\\\\', '\\\\\\\\'), '.md')")
+    any_length = F.contains("norm", F.lit("%"))
+    head = F.least(F.instr("norm", F.lit("_")) - 1, F.lit(3))
+    keys = names.where(F.contains("norm", F.lit("_")) & ~any_length).select("target", "norm", (F.length("norm") + 3).alias("size"), head.alias("n"), F.lower(F.substr("norm", F.lit(1), head)).alias("head"))
+    parts = F.split("note_path", "/")
+    tails = pages.withColumn("tail", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) + 1), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))).where("tail <> ''")
+    tails = tails.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumns({"size": F.length("tail"), "head": F.lower(F.substr("tail", F.lit(1), F.col("n")))})
+    odd = keys.join(tails.hint("merge"), ["size", "n", "head"]).where(like).select("target", "note_path", "page_id")
+    return odd.unionByName(_rarest_gram_pairs(names.where(any_length).select("target", "norm"), pages).where(like).select("target", "note_path", "page_id"))
+
+
 def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: str = "target_name") -> DataFrame:
     """(target, page_id, note_path) of each distinct target that resolves, by the first arm that finds a page, ties by path:
 
@@ -67,31 +83,25 @@ def resolve(targets: DataFrame, state: DataFrame, aliases: DataFrame, target: st
     regard to case, ``%`` and ``_`` standing for anything); 3 an alias equal to the raw target.
 
     The arms are equi-joins. The suffix arm joins on the lower-cased last path segment, then checks the whole; targets with
-    wildcards are checked against the paths that share a length or a rare stretch with them.
+    wildcards are checked against the paths that share a length or a rare stretch with them, which is left out where no target has
+    any. Distinct targets and pages are written once and read by all arms.
     """
-    names = targets.select(F.col(target).alias("target")).where("target is not null").distinct().withColumn("norm", text.normalise_target(F.col("target")))
-    pages = _targets(state)
-    exact = names.where(F.contains("target", F.lit("/"))).join(pages, F.col("norm") == F.col("note_path")).select("target", F.lit(1).alias("arm"), "note_path", "page_id")
-    same = names.join(pages, F.col("norm") == F.col("note_path")).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
-    root = names.join(pages, F.concat("norm", F.lit(".md")) == F.col("note_path")).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
+    scratch = Scratch(targets.sparkSession, "resolve")
+    names = targets.select(F.col(target).alias("target")).where("target is not null").distinct()
+    names = scratch.save(names.withColumn("norm", text.normalise_target(F.col("target"))), "names")
+    pages = scratch.save(_targets(state), "pages")
+    # The whole path for targets with a slash is the first arm, the path itself or root ``name.md`` the second.
+    whole = F.when(F.contains("target", F.lit("/")), 1).otherwise(2)
+    direct = names.select("target", F.explode(F.array(F.struct(whole.alias("arm"), F.col("norm").alias("at")), F.struct(F.lit(2).alias("arm"), F.concat("norm", F.lit(".md")).alias("at")))).alias("k")).select("target", "k.*")
+    direct = direct.join(pages.hint("merge"), F.col("at") == F.col("note_path")).select("target", "arm", "note_path", "page_id")
     wild = F.col("norm").rlike("[%_]")
     keyed = pages.withColumn("last", F.lower(basename(F.col("note_path"))))
     plain = names.where(~wild).withColumn("last", F.lower(F.concat(basename(F.col("norm")), F.lit(".md"))))
-    nested = plain.join(keyed, "last").where(F.lower("note_path").endswith(F.lower(F.concat(F.lit("/"), "norm", F.lit(".md"))))).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
-    # ``_`` stands for one character, so what follows some slash of the path has the pattern's length, and begins as the pattern
-    # does before its first wildcard (up to three letters are keys). Names with ``%`` meet pages by their rarest literal stretch.
-    like = F.expr("note_path ilike concat('%/', replace(norm, '\\\\', '\\\\\\\\'), '.md')")
-    any_length = F.contains("norm", F.lit("%"))
-    head = F.least(F.instr("norm", F.lit("_")) - 1, F.lit(3))
-    keys = names.where(wild & ~any_length).select("target", "norm", (F.length("norm") + 3).alias("size"), head.alias("n"), F.lower(F.substr("norm", F.lit(1), head)).alias("head"))
-    parts = F.split("note_path", "/")
-    tails = pages.withColumn("tail", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) + 1), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))).where("tail <> ''")
-    tails = tails.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumns({"size": F.length("tail"), "head": F.lower(F.substr("tail", F.lit(1), F.col("n")))})
-    odd = keys.join(tails.hint("merge"), ["size", "n", "head"]).where(like).select("target", "note_path", "page_id")
-    odd = odd.unionByName(_rarest_gram_pairs(names.where(any_length).select("target", "norm"), pages).where(like).select("target", "note_path", "page_id")).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
-    known = aliases.select("alias_name", "note_path").join(pages, "note_path")
-    named = names.join(known, F.col("target") == F.col("alias_name")).select("target", F.lit(3).alias("arm"), "note_path", "page_id")
-    found = reduce(DataFrame.unionByName, [exact, same, root, nested, odd, named])
+    nested = plain.join(keyed.hint("merge"), "last").where(F.lower("note_path").endswith(F.lower(F.concat(F.lit("/"), "norm", F.lit(".md"))))).select("target", F.lit(2).alias("arm"), "note_path", "page_id")
+    odd = [] if names.where(wild).isEmpty() else [_wildcards(names, pages).select("target", F.lit(2).alias("arm"), "note_path", "page_id")]
+    known = aliases.select("alias_name", "note_path").join(pages.hint("merge"), "note_path")
+    named = names.join(known.hint("merge"), F.col("target") == F.col("alias_name")).select("target", F.lit(3).alias("arm"), "note_path", "page_id")
+    found = reduce(DataFrame.unionByName, [direct, nested, *odd, named])
     best = found.groupBy("target").agg(F.min(F.struct("arm", "note_path", "page_id")).alias("b"))
     return best.select("target", "b.arm", "b.note_path", "b.page_id")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import basename
+from ..scratch import Scratch
 from . import links as lk
 
 
@@ -39,12 +40,14 @@ def pages_to_render(links: DataFrame, created: DataFrame, moves: DataFrame, stat
     how many lead to a renamed one.
 
     ``links`` as they were before the pass, ``state`` as it is after it; ``moves``: old_path, path, page_id. A note that moved itself is
-    looked up by its new path.
+    looked up by its new path. Links and moves are written once, as several steps read them.
     """
+    scratch = Scratch(links.sparkSession, "relink")
+    links, moves = scratch.save(links, "links"), scratch.save(moves.select("old_path", "path", "page_id"), "moves")
     fresh = newly_resolved(links, created, aliases).select("source_path", F.lit(1).alias("resolved"), F.lit(0).alias("renamed"))
-    old = links.where("resolved").join(moves.select("page_id").distinct(), "page_id", "left_semi").select("source_path", F.lit(0).alias("resolved"), F.lit(1).alias("renamed"))
+    old = links.where("resolved").join(moves.select("page_id").distinct().hint("merge"), "page_id", "left_semi").select("source_path", F.lit(0).alias("resolved"), F.lit(1).alias("renamed"))
     touched = fresh.unionByName(old).groupBy("source_path").agg(F.sum("resolved").alias("resolved"), F.sum("renamed").alias("renamed"))
-    now = touched.join(moves.select(F.col("old_path").alias("source_path"), F.col("path").alias("__to")), "source_path", "left")
+    now = touched.join(moves.select(F.col("old_path").alias("source_path"), F.col("path").alias("__to")).hint("merge"), "source_path", "left")
     now = now.select(F.coalesce("__to", "source_path").alias("note_path"), "resolved", "renamed")
     pages = state.where(F.coalesce("page_id", F.lit("")) != "").select("note_path", "page_id")
     return now.join(pages, "note_path").select("note_path", "page_id", "resolved", "renamed")

@@ -12,6 +12,7 @@ from .functions import globs, hashing, matching, text
 from .operators import diff
 from .operators import links as lk
 from .operators import state as st
+from .scratch import Scratch
 from .views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,7 +191,8 @@ def status_summary(s, d):
 
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:
-    return lk.resolve_all(_links(s, d), v.sync_state(s, d), v.aliases(s, d))
+    links = Scratch(s, "links").save(_links(s, d), "links")
+    return lk.resolve_all(links, v.sync_state(s, d), v.aliases(s, d))
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:

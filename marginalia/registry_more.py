@@ -694,9 +694,10 @@ def query_offsets(s, d):
 def pages_to_render(s, d):
     """After a push that made pages for new notes and moved renamed ones: the notes whose links changed by that."""
     from .operators import relink
+    from .scratch import Scratch
 
     state, aliases = v.sync_state(s, d), v.aliases(s, d)
-    changes = _local(s, d)
+    changes = Scratch(s, "push").save(_local(s, d).where("type in ('created', 'renamed')").select("type", "path", "old_path", "page_id"), "changes")
     created = changes.where("type = 'created'").select(F.col("path").alias("note_path"), F.concat(F.lit("made-"), "path").alias("page_id"))
     moves = changes.where("type = 'renamed'").select("old_path", "path", "page_id")
     after, _, _ = st.apply_renames(state, _links(s, d), aliases, moves.withColumnRenamed("path", "new_path"), _at())

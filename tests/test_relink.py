@@ -1,8 +1,10 @@
 """The second pass of a push."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia import schema
+from marginalia.operators import links as lk
 from marginalia.operators import relink
 
 from .test_links import state_of
@@ -41,3 +43,34 @@ def test_pages_of_a_first_pass_enter_the_state(spark):
     state = state_of(spark, {"a.md": None, "b.md": "pb"})
     after = relink.with_pages(state, table(spark, [("a.md", "pa"), ("c.md", "pc")], "note_path string, page_id string"))
     assert {(r["note_path"], r["page_id"], r["status"]) for r in after.collect()} == {("a.md", "pa", "synced"), ("b.md", "pb", "synced"), ("c.md", "pc", "synced")}
+
+
+def test_what_several_steps_read_is_made_once(spark):
+    """Each link, each move and each page is made once, however many steps look at it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        made.add(1)
+        return value
+
+    once = lambda df, name: df.withColumn(name, F.udf(counted, "string")(name))
+    links = table(spark, [("a.md", "Fresh", None, None, False), ("a.md", "t", None, "pt", True), ("b.md", "x/y", None, None, False)], schema.LINKS)
+    created = table(spark, [("x/Fresh.md", "pf")], "note_path string, page_id string")
+    aliases = table(spark, [("x/Fresh.md", "Alias", "title")], schema.PAGE_ALIASES)
+    moves = table(spark, [("old.md", "t.md", "pt")], "old_path string, path string, page_id string")
+    state = state_of(spark, {"a.md": "pa", "t.md": "pt"})
+    assert relink.pages_to_render(once(links, "source_path"), created, once(moves, "path"), state, aliases).count() == 1
+    assert made.value == 4
+    before = made.value
+    assert lk.resolve(links, once(state, "note_path"), aliases).count() == 1
+    assert made.value - before == 2
+
+
+@pytest.mark.parametrize("pattern", ["Fre_h", "F%h", "%", "______"])
+def test_wildcards_alone_and_beside_plain_names(spark, pattern):
+    """The steps for wildcards are left out only where there are none."""
+    state = state_of(spark, {"x/Fresh.md": "pf", "t.md": "pt"})
+    aliases = table(spark, [("t.md", "Alias", "title")], schema.PAGE_ALIASES)
+    got = lk.resolve(table(spark, [("Alias",), (pattern,), ("t",)], "target_name string"), state, aliases)
+    want = {"Fre_h": "pf", "F%h": "pf", "%": "pf"}
+    assert {r["target"]: r["page_id"] for r in got.collect()} == {"Alias": "pt", "t": "pt"} | ({pattern: want[pattern]} if pattern in want else {})
