@@ -25,6 +25,9 @@ from .common import Scratch, ensure_workers, text_or_empty
 VERSION = "WARC/1.0\r\n"
 _SEP = len(VERSION)
 
+#: Rows, counted first, up to which a narrow table is sent to the stretches; beyond, both are sorted.
+BROADCAST_ROWS = 100_000
+
 
 def _header_value(c: Column) -> Column:
     """Without line ends, which would end the header line."""
@@ -92,6 +95,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    return df.hint("broadcast" if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "merge")
+
+
 def reachable(chain: DataFrame, scratch: Scratch) -> DataFrame:
     """(file, at) of what pointer jumping reaches from at = 0 in ``chain`` (file, at, next).
 
@@ -157,14 +164,15 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     reached = reachable(placed.where("head_len is not null").select("file", "at", "next"), scratch)
     marked = scratch.save(placed.join(reached.withColumn("real", F.lit(True)).hint("merge"), ["file", "at"], "left"), "marked")
 
-    # All candidates are records with their stretches whole, but for those in ``odd``.
+    # All candidates are records with their stretches whole, but for those in ``odd``. Stretches hold the payloads, so they aren't
+    # shuffled for the few rows of ``odd``, ``splits`` and ``parts``.
     odd = marked.where("real is null or not whole").select("file", "split", "local")
-    records = found.join(odd.hint("merge"), ["file", "split", "local"], "left_anti")
-    records = records.join(splits.hint("merge"), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s"))).select("file", at.alias("at"), "head_len", "body_len", "seg")
+    records = found.join(_counted(odd), ["file", "split", "local"], "left_anti")
+    records = records.join(_counted(splits), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s"))).select("file", at.alias("at"), "head_len", "body_len", "seg")
     if not marked.where("real and not whole").isEmpty():
         owner = F.last(F.when(F.col("real"), F.struct("at", "head_len", "body_len", "whole")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
         parts = marked.withColumn("owner", owner).where("owner is not null and not owner.whole").select("file", "split", "local", "at", "owner")
-        parts = parts.join(found.select("file", "split", "local", "seg"), ["file", "split", "local"])
+        parts = found.select("file", "split", "local", "seg").join(_counted(scratch.save(parts, "parts")), ["file", "split", "local"])
         joined = F.transform(F.array_sort(F.collect_list(F.struct("at", "seg"))), lambda p: p["seg"])
         merged = parts.groupBy("file", "owner").agg(joined.alias("segs"))
         whole = F.aggregate(F.slice("segs", 2, F.greatest(F.size("segs") - 1, F.lit(0))), F.element_at("segs", 1), lambda acc, x: F.concat(acc, F.lit(VERSION).cast("binary"), x))
