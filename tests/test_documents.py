@@ -102,6 +102,39 @@ def test_blocks_and_back(spark):
     assert native == "see [[Target]] and [[None]]"
 
 
+def test_notes_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    source = "plain\n\nsee [[Target]]\n\n```py\n*x*\n```\n\n"
+    notes = spark.createDataFrame([(f"{i}.md", source) for i in range(5)], "path string, body string").withColumn("body", F.udf(count)("body"))
+    resolved = spark.createDataFrame([("Target", "pg")], "target string, page_id string")
+    # Of two notes with one page the first by path is named.
+    paths = spark.createDataFrame([("pg", "b.md"), ("pg", "a.md"), (None, "c.md")], "page_id string, note_path string")
+    out = blocks.blocks_markdown(blocks.render_links(blocks.note_blocks(notes), resolved), paths).collect()
+    assert {(r["page_key"], r["markdown"]) for r in out} == {(f"{i}.md", source.replace("[[Target]]", "[[a]]")) for i in range(5)}
+    assert len(out) == 5 and read.value == 5
+
+
+@pytest.mark.parametrize("text", ["", "a  \nb \nc\\\nd   \n", " ** a **b** `c` ``d` e`` _f_ g_h_ ~~i~~ ==j== $k$ $ l", "![[a.png|b]] [[c|d]] ![e](f) [g](h) <http://i> [[j", "\\* `=k` ! [ = == ~ <  \n  \n"])
+def test_marks_are_tried_where_they_begin(text):
+    assert [m.span() for m in md._marks(text)] == [m.span() for m in md._INLINE.finditer(text)]
+
+
+@pytest.mark.parametrize("block", ["title: Doc 1\ntags: [en, src1]", "a: b\na: c\n", "a: true", "Null: x", "a: [x, null]", "a: [x,y]", "a: 1", "a: b: c", "a: b\n c", "a:  b ", "a: b # c", "[a]: b", "a"])
+def test_plain_frontmatter_is_what_yaml_makes_of_it(block):
+    import yaml
+
+    from marginalia.functions import frontmatter as fm
+
+    plain = fm._plain_mapping(block)
+    assert plain is None or plain == yaml.load(block, fm._Loader)
+    assert (plain is not None) == (block in ("title: Doc 1\ntags: [en, src1]", "a: b\na: c\n"))
+
+
 def test_properties(spark):
     rules = (properties.Rule("title", "Name", "title"), properties.Rule("tags", "Tags", "multi_select"), properties.Rule("done", "Done", "checkbox"), properties.Rule("n", "N", "number"), properties.Rule("d", "D", "date"), properties.Rule("bad", "Bad", "date"), properties.Rule("u", "U", "rich_text", F.upper))
     row = ({"title": "T", "done": "yes", "n": "2.5", "d": "2024-12-25", "bad": "never", "u": "up"}, ["x", "y"])
